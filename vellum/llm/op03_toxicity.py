@@ -6,8 +6,10 @@ strongly that among all terms less than one such chance find is expected (log-li
 are indexed in blocks of similar examples with each term's largest weight per block; a query visits
 blocks by falling upper bound and stops when no block can beat its k-th neighbour, so the
 neighbours are exact. Their votes, weighted by cosine, and the share of the label among the
-examples at large give the score; the neighbours are the evidence. A text without terms has no
-neighbour and takes the share among the examples without terms.
+examples at large give the score; the neighbours are the evidence. All the other words of a text
+are one component of fixed weight, so one chance term in a text isn't taken for many. Examples
+without terms are nothing but that component and so stand at one distance; they fill the places
+among the neighbours that no nearer example takes.
 
 Examples are at most `bound` labelled rows of the training folds (the smallest id hashes). Defined
 cases: null and empty texts have no terms; without labelled rows every score is 0.5 (predicted 1);
@@ -31,6 +33,8 @@ from vellum.llm.common import held_out, labelled_sample, small_batches, table, t
 
 #: Labelled examples, terms, neighbours, examples a block, threshold of the prediction.
 BOUND, TERMS, NEIGHBOURS, BLOCK, THRESHOLD = 20_000, 2_000, 15, 64, 0.5
+#: Weight of the other words, in means of the terms' IDF.
+REST = 1.0
 #: Lengths of the word beginnings that are terms too (marked by ^).
 BEGINNINGS = (4, 5)
 _WORD = re.compile(r"[^\W\d_]+")
@@ -69,11 +73,14 @@ class NearestExamples:
 
     def __init__(self, idf: np.ndarray, ids: list[int], labels: list[int], counts: list[dict[int, int]], bare: tuple[int, int], neighbours: int = NEIGHBOURS):
         self.idf, self.neighbours = idf, neighbours
+        self.rest = REST * float(idf.mean()) if len(idf) else 0.0
         order = sorted(range(len(ids)), key=lambda i: (max(counts[i], key=lambda t: (counts[i][t] * idf[t], -t)), ids[i]))
         self.ids = np.array([ids[i] for i in order], np.int64)
         self.labels = np.array([labels[i] for i in order], np.float64)
         self.blocks = -(-len(order) // BLOCK)
         self.most = np.zeros((len(idf), self.blocks), np.float64)
+        self.rests = np.array([math.sqrt(max(1 - float((self.vector(counts[i])[1] ** 2).sum()), 0.0)) for i in order])
+        self.most_rest = np.array([self.rests[b * BLOCK : (b + 1) * BLOCK].max() for b in range(self.blocks)])
         self.postings: list[dict[int, tuple[np.ndarray, np.ndarray]]] = []
         for b in range(self.blocks):
             lists: dict[int, list] = {}
@@ -85,18 +92,20 @@ class NearestExamples:
                 self.most[t, b] = max(w for _, w in p)
         n, y = len(ids) + bare[0], sum(labels) + bare[1]
         self.share = y / n if n else 0.5
+        self.bare_examples = bare[0]
         self.bare = (bare[1] + self.share) / (bare[0] + 1) if n else 0.5
         self.seen: dict[tuple, tuple[float, list]] = {}
 
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         t = np.array(sorted(counts))
-        w = np.array([1 + math.log(counts[i]) for i in t]) * self.idf[t]
-        return t, w / (np.sqrt((w**2).sum()) or 1.0)
+        w = np.array([counts[i] for i in t], dtype=np.float64) * self.idf[t]
+        return t, w / np.sqrt((w**2).sum() + self.rest**2)
 
-    def nearest(self, counts: dict[int, int]) -> list[tuple[float, int, float]]:
-        """(cosine, example id, label), nearest first."""
+    def nearest(self, counts: dict[int, int]) -> tuple[list[tuple[float, int, float]], float]:
+        """(cosine, example id, label), nearest first; and the cosine with an example without terms."""
         t, w = self.vector(counts)
-        bounds = w @ self.most[t]
+        own = math.sqrt(max(1 - float((w**2).sum()), 0.0))  # the component of the other words
+        bounds = w @ self.most[t] + own * self.most_rest
         best: list[tuple[float, int, float]] = []
         for b in np.argsort(-bounds, kind="stable"):
             if bounds[b] <= 0 or len(best) == self.neighbours and bounds[b] + 1e-12 < -best[-1][0]:
@@ -106,9 +115,12 @@ class NearestExamples:
             for term, weight in zip(t, w):
                 if (p := self.postings[b].get(int(term))) is not None:
                     score[p[0]] += weight * p[1]
+            score += own * self.rests[lo : lo + BLOCK]
             at = np.flatnonzero(score > 0)
             best = sorted(best + [(-score[i], int(self.ids[lo + i]), float(self.labels[lo + i])) for i in at])[: self.neighbours]
-        return [(-s, i, y) for s, i, y in best]
+        if self.bare_examples:
+            best = [x for x in best if -x[0] > own]
+        return [(-s, i, y) for s, i, y in best], own
 
     def score(self, counts: dict[int, int]) -> tuple[float, list[tuple[float, int, float]]]:
         if not counts or not len(self.ids):
@@ -117,9 +129,10 @@ class NearestExamples:
         if key not in self.seen:
             if len(self.seen) > 20_000:
                 self.seen.clear()
-            near = self.nearest(counts)
-            votes = sum(s for s, _, _ in near)
-            self.seen[key] = (sum(s * y for s, _, y in near) + self.share) / (votes + 1), near
+            near, own = self.nearest(counts)
+            more = min(self.neighbours - len(near), self.bare_examples)
+            votes = sum(s for s, _, _ in near) + more * own
+            self.seen[key] = (sum(s * y for s, _, y in near) + more * own * self.bare + self.share) / (votes + 1), near
         return self.seen[key]
 
 
