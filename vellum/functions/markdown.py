@@ -7,6 +7,11 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
+
+CODE_BLOCK = StructType().add("idx", IntegerType()).add("lang", StringType()).add("kernel", StringType()).add("version", StringType()).add("code", StringType())
+PROPERTY = StructType().add("key", StringType()).add("values", ArrayType(StringType()))
+CALLOUT = StructType().add("kind", StringType()).add("title", StringType()).add("icon", StringType()).add("depth", IntegerType()).add("text", StringType())
 
 # A leading block between whole-line fences, and a link [[target#heading|label]].
 FRONTMATTER = r"(?ms)\A---[ \t]*\r?\n(.*?)^---[ \t]*(?:\r?\n|\z)"
@@ -111,12 +116,12 @@ def code_blocks_of(body: str) -> list[dict]:
     return found
 
 
-@F.pandas_udf("array<struct<idx: int, lang: string, kernel: string, version: string, code: string>>")
+@F.pandas_udf(ArrayType(CODE_BLOCK))
 def code_blocks(body: pd.Series) -> pd.Series:
     return body.fillna("").map(code_blocks_of)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def without_code(body: pd.Series) -> pd.Series:
     """The note with fenced blocks and code spans blanked, so that links in code don't count."""
 
@@ -133,7 +138,7 @@ def wikilinks(body: Column) -> Column:
     return F.transform(whole, lambda x: F.struct(F.trim(F.regexp_extract(x, WIKILINK, 1)).alias("target"), F.regexp_extract(x, WIKILINK, 2).alias("heading"), F.regexp_extract(x, WIKILINK, 3).alias("label")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def first_heading(body: pd.Series) -> pd.Series:
     """Text of the first heading outside code; null without one."""
 
@@ -146,7 +151,7 @@ def first_heading(body: pd.Series) -> pd.Series:
     return body.fillna("").map(find)
 
 
-@F.pandas_udf("array<struct<key: string, values: array<string>>>")
+@F.pandas_udf(ArrayType(PROPERTY))
 def properties(block: pd.Series) -> pd.Series:
     """Ordered properties of a leading block: scalars as written, sequences as several values."""
     import yaml
@@ -186,6 +191,6 @@ def callouts_of(body: str) -> list[dict]:
     return out
 
 
-@F.pandas_udf("array<struct<kind: string, title: string, icon: string, depth: int, text: string>>")
+@F.pandas_udf(ArrayType(CALLOUT))
 def callouts(body: pd.Series) -> pd.Series:
     return body.fillna("").map(callouts_of)

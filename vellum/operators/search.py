@@ -34,13 +34,13 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, floor: float, scope: li
     blocks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     keys = [*scope, "_block"]
     rows = rows.where("u is not null").select(*scope, "id", "u", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("_block"))
-    asked = queries.where("u is not null").select(*scope, "qid", "own", "u", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
+    asked = queries.where("u is not null").select(*scope, "qid", "own", F.col("u").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
 
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if a.num_rows and b.num_rows:
             x, ids = _matrix(a.column("u")), a.column("id").to_numpy()
-            q, qids, own = _matrix(b.column("u")), b.column("qid").to_numpy(), b.column("own").to_pandas().fillna(-1).to_numpy().astype(np.int64)
+            q, qids, own = _matrix(b.column("q")), b.column("qid").to_numpy(), b.column("own").to_pandas().fillna(-1).to_numpy().astype(np.int64)
             for lo in range(0, len(q), 256):
                 sims = q[lo : lo + 256] @ x.T
                 sims[own[lo : lo + 256, None] == ids] = -np.inf
@@ -128,9 +128,9 @@ def bm25(queries: DataFrame, chunks: DataFrame, weights=(2.0, 1.5, 1.0), stopwor
 
 
 def keyword_leg(queries: DataFrame, chunks: DataFrame, options: SearchOptions, **how) -> DataFrame:
-    """Pool of the best BM25 chunks: qid, id, score, rn; ties by path and idx."""
+    """Pool of the best BM25 chunks: qid, id, score, rn; scores equal to nine places are ties, by path and idx."""
     scored = bm25(queries, chunks, options.weights, **how).join(chunks.select("id", "path", "idx"), "id")
-    best = Window.partitionBy("qid").orderBy(F.desc("score"), "path", "idx")
+    best = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "path", "idx")
     return scored.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= options.pool).select("qid", "id", "score", "rn")
 
 

@@ -1,10 +1,546 @@
-"""Registered queries and the SQL they are checked against."""
+"""Registered queries; the SQL they are checked against is in oracle.py."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from vellum.functions import markdown as M
+from vellum.functions import text as T
+from vellum.operators import evaluation, graph, multisearch, search, stores, sync
+from vellum.operators.chunking import chunk_notes
+from vellum.plans import model
+from vellum.plans.oracle import SQL
+from vellum.schema import GraphOptions, SearchOptions
+from vellum.sources.html import html_to_markdown
+from vellum.sources.notes import import_route, note_relative
+from vellum.sources.office import indent_level, join_runs, list_marker, looks_like_heading
+from vellum.streaming.changes import classify, complete_runs, debounced
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+OPTIONS = SearchOptions()
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def six(*columns: str) -> list:
+    return [F.round(c, 6).alias(c) for c in columns]
+
+
+# Vector search
+
+
+def _leg(spark, d):
+    found = model.chunks(spark, d)
+    return found, search.vector_leg(model.vector_queries(found), found.drop("vault", "model"), OPTIONS)
+
+
+@query
+def vector_topk(spark, d):
+    return _leg(spark, d)[1].where(F.col("rn") <= OPTIONS.k).select("qid", "rn", "id", *six("sim"))
+
+
+@query
+def vector_band(spark, d):
+    return search.band(_leg(spark, d)[1], OPTIONS).select("qid", "rn", "id", *six("sim"))
+
+
+@query
+def vector_dedup_adjacent(spark, d):
+    found, leg = _leg(spark, d)
+    hits = search.band(leg, OPTIONS).join(found.select("id", "path", "idx"), "id").withColumnRenamed("rn", "pos")
+    return search.drop_adjacent(hits).where(F.col("final") <= OPTIONS.k).select("qid", "final", "id", "pos")
+
+
+# Keyword search
+
+
+@query
+def tokens_df(spark, d):
+    posted = search.postings(model.chunks(spark, d))
+    return posted.groupBy("term").agg(F.count("*").alias("n"), F.count_distinct("id").alias("df"))
+
+
+@query
+def sanitize_query(spark, d):
+    return model.table(spark, d, "conversations").select("conv_id", "turn", T.match_expression(F.col("text")).alias("expression"))
+
+
+def _keywords(spark, d):
+    found = model.chunks(spark, d)
+    return found, model.hybrid_queries(spark, d, found)
+
+
+@query
+def bm25_topk(spark, d):
+    found, asked = _keywords(spark, d)
+    return search.keyword_leg(asked, found, SearchOptions(weights=(1.0, 1.0, 1.0))).select("qid", "id", "rn", *six("score"))
+
+
+@query
+def bm25_weighted(spark, d):
+    found, asked = _keywords(spark, d)
+    return search.keyword_leg(asked, found, OPTIONS).select("qid", "id", "rn", *six("score"))
+
+
+@query
+def stopdrop_variant(spark, d):
+    found, asked = _keywords(spark, d)
+    return search.keyword_leg(asked, found, OPTIONS, stopwords=T.VARIANT_STOPWORDS, trim=T.VARIANT_TRIM).select("qid", "id", "rn", *six("score"))
+
+
+@query
+def and_or_variant(spark, d):
+    found, asked = _keywords(spark, d)
+    return search.and_then_or(asked, found, OPTIONS)
+
+
+@query
+def phrase_match(spark, d):
+    """Places of every benchmark passage's first sentence as one phrase in the chunks."""
+    found = model.chunks(spark, d)
+    first = F.split("text", r"[.\n]")[0]
+    asked = model.table(spark, d, "benchmark").select(T.tokens(first).alias("terms")).where("size(terms) > 0").select(F.array_join("terms", " ").alias("phrase"), "terms")
+    return search.phrase_matches(asked, search.postings(found)).groupBy("phrase", "id").agg(F.sum("tf").alias("places"))
+
+
+# Fusion
+
+
+@query
+def rrf_hybrid(spark, d):
+    found, asked = _keywords(spark, d)
+    return search.search(asked, found, OPTIONS).select("qid", "pos", "id", "path", "idx", "vec_rank", "fts_rank", *six("score", "sim"))
+
+
+@query
+def rrf_weighted(spark, d):
+    found, asked = _keywords(spark, d)
+    return search.search(asked, found, SearchOptions(vector_weight=2.0, keyword_weight=0.5, rrf=20)).select("qid", "pos", "id", "vec_rank", "fts_rank", *six("score"))
+
+
+@query
+def keyword_only_degrade(spark, d):
+    found, asked = _keywords(spark, d)
+    return search.search(asked.withColumn("vec", F.lit(None).cast("array<float>")), found, OPTIONS).select("qid", "pos", "id", "vec_rank", "fts_rank", *six("score", "sim"))
+
+
+# Across vaults
+
+
+@query
+def multi_vector_merge(spark, d):
+    found = model.chunks(spark, d)
+    return multisearch.merged_vectors(model.everywhere(model.vector_queries(found), found), found, OPTIONS).select("qid", "model", "rn", "vault", "id", *six("sim"))
+
+
+@query
+def keyword_interleave(spark, d):
+    found, asked = _keywords(spark, d)
+    return multisearch.interleaved_keywords(asked, found, OPTIONS).select("qid", "model", "rn", "vault", "id")
+
+
+@query
+def model_groups(spark, d):
+    found, asked = _keywords(spark, d)
+    return multisearch.model_groups(model.everywhere(asked, found), found, OPTIONS).select("qid", "group_pos", "model", "pos", "vault", "id", *six("score"))
+
+
+@query
+def group_runs(spark, d):
+    return multisearch.runs_of(model.table(spark, d, "events"), "user_id", "event_id", "event_type")
+
+
+# Graph
+
+
+def _notes(spark, d):
+    return graph.centroids(model.chunks(spark, d)).withColumnRenamed("note", "id")
+
+
+@query
+def note_centroids(spark, d):
+    return _notes(spark, d).select("id", F.posexplode("u").alias("i", "x")).select("id", "i", *six("x"))
+
+
+GRAPH = GraphOptions(6, 0.2)
+
+
+@query
+def knn_edges(spark, d):
+    return graph.knn_edges(_notes(spark, d), GRAPH).select("a", "b", *six("weight"))
+
+
+@query
+def knn_degrees(spark, d):
+    notes = _notes(spark, d)
+    return graph.degrees(notes, graph.knn_edges(notes, GRAPH))
+
+
+@query
+def title_filter(spark, d):
+    return model.notes(spark, d).where(T.matches_all_words(F.concat_ws(" ", M.note_title(F.col("path")), "vault"), F.lit(" EN doc-1 "))).select("doc_id", "path")
+
+
+# Evaluation
+
+
+def _ranked(spark, d, options=OPTIONS):
+    found = model.chunks(spark, d)
+    leg = search.band(search.vector_leg(model.vector_queries(found), found.drop("vault", "model"), options), options)
+    hits = leg.join(found.select("id", "note"), "id").select("qid", F.col("rn").alias("pos"), "note")
+    asked = found.where(F.col("id") % 20 == 0).select(F.col("id").alias("qid"), F.col("note").alias("own"), "label")
+    others = found.groupBy("label", "note").agg(F.lit(1).alias("_"))
+    grades = asked.join(others, "label").select("qid", "note", F.when(F.col("note") == F.col("own"), 3).otherwise(2).alias("grade"))
+    return evaluation.collapse(hits), grades, asked
+
+
+@query
+def ndcg_mrr_recall(spark, d):
+    ranked, grades, _ = _ranked(spark, d)
+    return evaluation.scores(ranked, grades).select("qid", *six("ndcg10", "mrr10", "recall5", "recall10"))
+
+
+@query
+def metrics_by_kind(spark, d):
+    ranked, grades, asked = _ranked(spark, d)
+    return evaluation.macro(evaluation.scores(ranked, grades).join(asked, "qid"), "label").select("label", "queries", *six("ndcg10", "mrr10", "recall5", "recall10"))
+
+
+@query
+def param_sweep(spark, d):
+    rows = None
+    for ratio in (0.6, 0.75, 0.9):
+        ranked, grades, _ = _ranked(spark, d, SearchOptions(top_ratio=ratio))
+        one = evaluation.macro(evaluation.scores(ranked, grades)).select(F.lit(ratio).alias("top_ratio"), "queries", *six("ndcg10", "mrr10", "recall5", "recall10"))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
+@query
+def parity_check(spark, d):
+    """Search over one vault alone equals the fused search over just that vault, query by query."""
+    found, asked = _keywords(spark, d)
+    one = found.where("vault = 'v0'")
+    plain = search.search(asked, one, OPTIONS).select("qid", "pos", F.col("id").alias("note"))
+    fused = multisearch.model_groups(model.everywhere(asked, one), one, OPTIONS).select("qid", "pos", F.col("id").alias("note"))
+    return evaluation.parity(plain, fused)
+
+
+# Sync and stores
+
+
+def _stored(spark, d):
+    """The index knows the labelled documents, those of low quality with an old hash, and the pages' notes."""
+    known = model.notes(spark, d).join(model.table(spark, d, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality")), "doc_id")
+    known = known.select("path", F.when(F.col("quality") == 1, F.col("doc_hash")).otherwise("old").alias("doc_hash"))
+    return known.unionByName(model.table(spark, d, "pages").select(F.concat(F.lit("gone/page-"), F.col("page_id").cast("string"), F.lit(".md")).alias("path"), F.lit("x").alias("doc_hash")))
+
+
+@query
+def sync_plan(spark, d):
+    return sync.plan(model.notes(spark, d), _stored(spark, d))
+
+
+@query
+def sync_prune(spark, d):
+    return sync.plan(model.notes(spark, d), _stored(spark, d)).where("action = 'prune'").select("path")
+
+
+@query
+def sync_stats(spark, d):
+    return sync.stats(sync.plan(model.notes(spark, d), _stored(spark, d)))
+
+
+@query
+def sync_forced(spark, d):
+    return sync.stats(sync.plan(model.notes(spark, d), _stored(spark, d), force=True))
+
+
+@query
+def replace_note(spark, d):
+    disk, old = model.notes(spark, d), _stored(spark, d)
+    planned = sync.plan(disk, old)
+    new = disk.join(planned.where("action = 'index'"), "path", "left_semi").select("path", "doc_hash")
+    return sync.replace_notes(old, planned.where("action <> 'skip'"), new)
+
+
+@query
+def error_sample(spark, d):
+    failures = model.table(spark, d, "labels").where("quality = 0").select(F.concat(F.lit("doc-"), F.lpad(F.col("doc_id").cast("string"), 8, "0")).alias("path"), F.concat(F.lit("toxic "), F.col("toxic").cast("string")).alias("error"))
+    return sync.error_sample(failures)
+
+
+@query
+def sessions_recent(spark, d):
+    heads, turns = model.sessions(spark, d)
+    bumped = stores.bump(heads, turns)
+    return bumped.select("id", "updated_at", T.session_title(F.col("first")).alias("title"))
+
+
+@query
+def add_turn_bump(spark, d):
+    heads, turns = model.sessions(spark, d)
+    return stores.bump(heads, turns.where("kind = 'user'")).select("id", "created_at", "updated_at")
+
+
+@query
+def cascade_delete(spark, d):
+    heads, turns = model.sessions(spark, d)
+    short = turns.groupBy("session_id").agg(F.count("*").alias("n")).where("n < 4").select(F.col("session_id").alias("id"))
+    kept, left = stores.delete_cascade(heads, turns, short, "id", "session_id")
+    return kept.select("id").join(left.groupBy(F.col("session_id").alias("id")).agg(F.count("*").alias("turns")), "id", "left")
+
+
+@query
+def run_upsert(spark, d):
+    rows = model.runs(spark, d)
+    late = F.col("event_type") == "purchase"
+    return stores.upsert(rows.where(~late), rows.where(late), ["note_path", "block_hash"], ["ts", "event_id"]).select("note_path", "block_hash", "event_id")
+
+
+@query
+def run_insert_if_absent(spark, d):
+    rows = model.runs(spark, d).select("note_path", "event_type", "event_id")
+    return stores.insert_if_absent(rows.where("event_type <> 'view'").select("note_path", "event_type"), rows, ["note_path", "event_type"], ["event_id"])
+
+
+@query
+def run_prune_not_in(spark, d):
+    rows = model.runs(spark, d).select("note_path", "event_type", "event_id")
+    kept = rows.where("event_type in ('click', 'purchase')")
+    edited = model.runs(spark, d).where("value > 50").select("note_path")
+    return stores.prune_not_in(rows, kept, edited, ["note_path", "event_type"], "note_path")
+
+
+@query
+def folder_prefix_rename(spark, d):
+    rows = model.notes(spark, d).select("path", "doc_id").unionByName(model.notes(spark, d).select(F.regexp_replace("path", "^src1/", "moved/").alias("path"), (-F.col("doc_id") - 1).alias("doc_id")))
+    rows = rows.groupBy("path").agg(F.max("doc_id").alias("doc_id"))
+    return stores.rename_prefix(rows, "src1", "moved", "path", ["path"])
+
+
+def _trash(spark, d):
+    return model.runs(spark, d).select(F.concat(F.date_format("ts", "yyyyMMdd'T'HHmmss"), F.lit("-"), F.col("event_id").cast("string")).alias("trash_id"), F.concat("event_type", F.lit("/"), "note_path").alias("rel"))
+
+
+@query
+def trash_listing(spark, d):
+    return stores.trash_listing(_trash(spark, d)).withColumn("deleted_at", F.date_format("deleted_at", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query
+def restore_names(spark, d):
+    """Where several trashed files had one path, the later ones get a restored suffix."""
+    rows = _trash(spark, d).withColumn("n", (F.row_number().over(Window.partitionBy("rel").orderBy("trash_id")) - 1).cast("int"))
+    return rows.select("trash_id", stores.numbered(F.col("rel"), F.col("n"), 1, "restored").alias("target"))
+
+
+@query
+def collision_suffix(spark, d):
+    imports = model.table(spark, d, "events").select(F.col("event_id").alias("ord"), F.concat("event_type", F.lit("-"), (F.col("user_id") % 50).cast("string"), F.lit(".md")).alias("name"))
+    existing = model.table(spark, d, "events").where("event_type = 'click'").select(F.concat(F.lit("click-"), (F.col("user_id") % 50).cast("string"), F.lit(".md")).alias("name"))
+    return stores.collision_names(imports, existing)
+
+
+@query
+def unique_anchor_edit(spark, d):
+    edited = stores.anchor_edit(F.col("text"), F.lit("ing."), F.lit("[edited]"))
+    return model.table(spark, d, "documents").select("doc_id", edited.alias("e")).select("doc_id", "e.status", F.sha2(F.col("e.body").cast("binary"), 256).alias("body_hash"))
+
+
+@query
+def vault_status(spark, d):
+    vaults = model.notes(spark, d).groupBy("vault").agg(F.count("*").alias("notes"))
+    live = model.chunks(spark, d).groupBy(F.col("heading").alias("vault")).agg(F.count("*").alias("chunks"))
+    return vaults.join(live, "vault", "left").select("vault", "notes", F.coalesce("chunks", F.lit(0)).alias("chunks"), F.col("chunks").isNotNull().alias("available"))
+
+
+# Markdown
+
+
+def _marked(spark, d):
+    """Notes with properties, headings, links and code built from the documents' columns."""
+    docs = model.table(spark, d, "documents")
+    link = F.concat(F.lit("[[doc-"), ((F.col("doc_id") * 7) % 100).cast("string"), F.lit("#part|see]] and [["), "source", F.lit("/doc-"), (F.col("doc_id") + 1).cast("string"), F.lit("]]"))
+    body = F.concat(
+        F.lit("---\ntags: [a, "), F.col("lang"), F.lit("]\nsource: "), "source", F.lit("\n---\n# "), "source", F.lit("\n\n"), link, F.lit("\n\n```"), "lang",
+        F.lit(' kernel="k"\n# no heading [[none]]\nprint(1)\n```\n\n## Text\n\n'), "text",
+    )
+    path = F.concat("source", F.lit("/doc-"), F.col("doc_id").cast("string"), F.lit(".md"))
+    return docs.select("doc_id", "lang", "source", path.alias("path"), body.alias("body"))
+
+
+@query
+def frontmatter_split(spark, d):
+    return _marked(spark, d).select("doc_id", M.frontmatter_block(F.col("body")).alias("block"), F.sha2(M.note_body(F.col("body")).cast("binary"), 256).alias("body_hash"))
+
+
+@query
+def frontmatter_props(spark, d):
+    props = M.properties(M.frontmatter_block(F.col("body")))
+    return _marked(spark, d).select("doc_id", props.alias("p")).select("doc_id", F.array_join(M.property_values(F.col("p"), "tags", "tag"), ",").alias("tags"), F.array_join(M.property_values(F.col("p"), "source"), ",").alias("source"))
+
+
+@query
+def wikilinks(spark, d):
+    links = M.wikilinks(M.without_code(M.note_body(F.col("body"))))
+    return _marked(spark, d).select("doc_id", F.posexplode(links).alias("n", "l")).select("doc_id", "n", "l.*")
+
+
+@query
+def resolve_links(spark, d):
+    links = M.wikilinks(M.without_code(M.note_body(F.col("body"))))
+    rows = _marked(spark, d).select("doc_id", F.posexplode(links).alias("n", "l")).select((F.col("doc_id") * 10 + F.col("n")).alias("link_id"), "l.target")
+    return stores.resolve_links(rows, _marked(spark, d).select("path"))
+
+
+@query
+def code_blocks(spark, d):
+    return _marked(spark, d).select("doc_id", F.explode(M.code_blocks(M.note_body(F.col("body")))).alias("b")).select("doc_id", "b.idx", "b.lang", "b.kernel", M.block_hash(F.col("b.code")).alias("block_hash"))
+
+
+@query
+def block_hash(spark, d):
+    code = F.concat("text", F.lit("\n"))
+    return model.table(spark, d, "documents").select("doc_id", M.block_hash(code).alias("block_hash"))
+
+
+@query
+def first_heading(spark, d):
+    return _marked(spark, d).select("doc_id", M.first_heading(M.note_body(F.col("body"))).alias("heading"))
+
+
+@query
+def tree_listing(spark, d):
+    return stores.tree(model.notes(spark, d))
+
+
+@query
+def chunk_documents(spark, d):
+    return chunk_notes(_marked(spark, d).select("path", M.note_body(F.col("body")).alias("body"))).select("path", "idx", "heading", F.octet_length("text").alias("bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("text_hash"))
+
+
+@query
+def chunk_stats(spark, d):
+    rows = chunk_documents(spark, d)
+    return rows.groupBy("heading").agg(F.count("*").alias("chunks"), F.count_distinct("path").alias("notes"), F.max("bytes").alias("largest"))
+
+
+# Conversion
+
+
+@query
+def html_headings(spark, d):
+    return model.table(spark, d, "pages").select("page_id", F.posexplode(M.html_headings(F.col("html"))).alias("n", "heading"))
+
+
+@query
+def html_markdown(spark, d):
+    return model.table(spark, d, "pages").select("page_id", html_to_markdown(F.col("html")).alias("markdown"))
+
+
+@query
+def office_markers(spark, d):
+    lines = model.table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    marked = F.concat(F.element_at(F.array(F.lit("• "), F.lit("12. "), F.lit("b) "), F.lit("")), F.col("n") % 4 + 1), F.col("line"))
+    return lines.select("doc_id", "n", list_marker(marked).alias("m"), looks_like_heading(F.col("line")).alias("is_heading"), indent_level(F.col("n") * 200).alias("level")).select("doc_id", "n", "m.kind", F.sha2(F.col("m.rest").cast("binary"), 256).alias("rest_hash"), "is_heading", "level")
+
+
+@query
+def pdf_line_join(spark, d):
+    """Events as positioned runs: a page per user, three runs a line."""
+    i = F.col("event_id")
+    x, y = (i % 10) * 30.0, F.floor(i / 3).cast("double")
+    runs = model.table(spark, d, "events").select(F.col("user_id").alias("doc"), F.lit(1).alias("page"), i.alias("ord"), F.col("event_type").alias("s"), x.alias("x"), y.alias("y"), F.when(i % 2 == 0, 30.0).otherwise(20.0).alias("w"), F.lit(12.0).alias("font_size"))
+    return join_runs(runs).select("doc", "page", F.sha2(F.col("text").cast("binary"), 256).alias("text_hash"))
+
+
+@query
+def import_router(spark, d):
+    ext = F.element_at(F.array(*[F.lit(x) for x in ("md", "HTML", "docx", "odt", "pdf", "exe", "txt")]), (F.col("page_id") % 7 + 1).cast("int"))
+    rows = model.table(spark, d, "pages").select("page_id", F.concat(F.lit("p."), ext).alias("name"), F.octet_length("html").alias("size"))
+    return rows.select("page_id", import_route(F.col("name"), F.col("size"), 2000).alias("r")).select("page_id", "r.*")
+
+
+@query
+def image_paths(spark, d):
+    src = F.element_at(F.array(F.lit("a.png"), F.lit("../b.png"), F.lit("../../c.png"), F.lit("/x/./d.png")), (F.col("doc_id") % 4 + 1).cast("int"))
+    return model.notes(spark, d).select("doc_id", note_relative(F.col("path"), src).alias("path"))
+
+
+# Streaming
+
+
+@query
+def debounce_sessions(spark, d):
+    events = model.table(spark, d, "events").select(F.col("user_id").alias("path"), F.col("ts").cast("timestamp").alias("ts"))
+    out = debounced(events)
+    return out.select("path", F.date_format("first", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("first"), F.date_format("last", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("last"), "n")
+
+
+@query
+def event_classes(spark, d):
+    op = F.element_at(F.array(F.lit("create"), F.lit("remove"), F.lit("write")), (F.col("event_id") % 3 + 1).cast("int"))
+    path = F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("n/"), F.col("event_type"), F.lit(".md"))).otherwise(F.concat(F.lit("n/"), "event_type"))
+    return model.table(spark, d, "events").select("event_id", classify(op, path, F.col("user_id") % 5 == 0).alias("kind"))
+
+
+@query
+def run_events_complete(spark, d):
+    rows = model.table(spark, d, "conversations")
+    last = F.max("turn").over(Window.partitionBy("conv_id"))
+    kind = F.when((F.col("turn") == last) & (F.col("conv_id") % 3 != 0), "done").otherwise("output")
+    events = rows.select(F.col("conv_id").alias("run_id"), F.col("turn").alias("ord"), kind.alias("type"), F.col("text").alias("data"), F.lit(0).alias("code"), (F.col("turn") * 10).alias("dur_ms"))
+    return complete_runs(events).select("run_id", F.sha2(F.col("text").cast("binary"), 256).alias("text_hash"), "exit_code", "dur_ms")
+
+
+# Scalars
+
+
+@query
+def relative_dates(spark, d):
+    rows = model.table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    now = rows.agg(F.max("ts").alias("now")).collect()[0]["now"]
+    return rows.select("event_id", T.relative_date(F.col("ts"), F.lit(now)).alias("label"))
+
+
+@query
+def any_order_filter(spark, d):
+    return model.table(spark, d, "conversations").where(T.matches_all_words(F.col("text"), F.lit("The  and"))).select("conv_id", "turn")
+
+
+@query
+def version_order(spark, d):
+    parts = [(F.col("p_partkey") % n).cast("string") for n in (3, 12, 101)]
+    rows = model.table(spark, d, "part").select("p_partkey", F.concat_ws(".", *parts).alias("version"))
+    return rows.select("p_partkey", "version", F.rank().over(Window.partitionBy(F.col("p_partkey") % 64).orderBy(F.desc(T.version_key(F.col("version"))))).alias("place"))
+
+
+@query
+def snippets(spark, d):
+    return model.table(spark, d, "documents").select("doc_id", T.first_line(F.col("text")).alias("snippet"))
+
+
+@query
+def percent_encode(spark, d):
+    return model.table(spark, d, "documents").select("doc_id", T.percent_encode(F.concat("source", F.lit("/ein süßer text/"), F.col("lang"), F.lit(" é.md"))).alias("encoded"))
+
+
+@query
+def embed_prefixes(spark, d):
+    name = F.element_at(F.array(*[F.lit(x) for x in ("Qwen3-Embedding-0.6B", "nomic-embed", "multilingual-E5", "bge-m3", "other")]), (F.col("doc_id") % 5 + 1).cast("int"))
+    return model.table(spark, d, "documents").select("doc_id", T.model_prefix(name).alias("query_prefix"), T.model_prefix(name, "doc").alias("doc_prefix"))
+
+
+@query
+def settings_parse(spark, d):
+    """Settings in the events' properties: absent and out of range count as the default."""
+    rows = model.table(spark, d, "events").select("event_id", F.from_json(F.to_json(F.struct((F.col("event_id") % 40).alias("k"), F.when(F.col("event_id") % 3 > 0, F.col("value") / 100).alias("minSim"))), "k int, minSim double").alias("s"))
+    return rows.select("event_id", F.when(F.col("s.k").between(1, 30), F.col("s.k")).otherwise(10).alias("k"), F.round(F.when(F.col("s.minSim").between(0, 0.95), F.col("s.minSim")).otherwise(0.2), 6).alias("min_sim"))

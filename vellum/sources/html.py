@@ -7,6 +7,7 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _BLOCKS = {"p", "div", "section", "article", "header", "footer", "nav", "main", "table", "ul", "ol", "blockquote", "pre", "figure", "form"}
 _MARKS = {"b": "**", "strong": "**", "i": "*", "em": "*", "s": "~~", "del": "~~", "code": "`"}
@@ -104,7 +105,7 @@ def markdown_of(html: str) -> str:
     return re.sub(r"\n{3,}", "\n\n", text).strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def html_to_markdown(html: pd.Series) -> pd.Series:
     """CommonMark with tables and strikethrough; unknown tags keep their text; empty stays empty."""
     return html.fillna("").map(markdown_of)
