@@ -39,7 +39,7 @@ def replace_end(text: Column, next_text: Column) -> Column:
 
 
 def in_order(rows: DataFrame) -> DataFrame:
-    """rows (doc_id, text, h) with those of the next row: next_id, next_text, next_h.
+    """rows (doc_id, k, text, h) with those of the next row: next_k, next_text, next_h.
 
     doc_id ranges are the unit of work, so no task holds the whole order. Each range's last row
     takes the first row of the next range that has any.
@@ -57,58 +57,59 @@ def in_order(rows: DataFrame) -> DataFrame:
     ranged = rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), F.lit(last)).otherwise(at * split + fine).cast("long"))
 
     order = Window.partitionBy("bucket").orderBy(F.col("doc_id").asc_nulls_last(), "text")
-    here = ranged.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in ("doc_id", "text", "h")])
+    here = ranged.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in ("k", "text", "h")])
     # A row per range: the number of ranges bounds what follows.
     firsts = ranged.groupBy("bucket").agg(F.min("doc_id").alias("first_id"))
     whole = Window.orderBy("bucket")
     firsts = firsts.select("bucket", "first_id", F.coalesce(F.lag("bucket").over(whole), F.max("bucket").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("before"))
     firsts = materialize(firsts, "firsts")
     found = rows.join(F.broadcast(firsts), rows.doc_id.eqNullSafe(firsts.first_id))
-    found = found.groupBy(F.col("before").alias("bucket")).agg(F.min(F.struct("text", "h", "doc_id")).alias("f"))
+    found = found.groupBy(F.col("before").alias("bucket")).agg(F.min(F.struct("text", "h", "k")).alias("f"))
     end = F.col("next_text").isNull()
     both = here.join(found, "bucket", "left")
     return both.select(
-        "doc_id", "text", "h",
-        F.when(end, F.col("f.doc_id")).otherwise(F.col("next_doc_id")).alias("next_id"),
+        "doc_id", "k", "text", "h",
+        F.when(end, F.col("f.k")).otherwise(F.col("next_k")).alias("next_k"),
         F.when(end, F.col("f.text")).otherwise(F.col("next_text")).alias("next_text"),
         F.when(end, F.col("f.h")).otherwise(F.col("next_h")).alias("next_h"),
     )
 
 
 def settle(found: DataFrame, docs: DataFrame, digest: Callable[[Column], Column]) -> DataFrame | None:
-    """Compare bytes inside buckets with several members; (doc_id, h, kind, fixed) where a bucket mixes texts.
+    """Compare bytes inside buckets with several members; (k, h, kind, fixed) where a bucket mixes texts.
 
     None: every bucket holds one text.
     """
     both = found.select(F.col("h").alias("x")).unionByName(found.select(F.col("eh").alias("x")))
     shared = both.groupBy("x").agg(F.count("*").alias("n")).where("n > 1").select("x")
-    members = found.select("doc_id", "h", "next_id", "next_h", F.explode(F.array(F.struct(F.lit("text").alias("kind"), F.col("h").alias("x")), F.struct(F.lit("edited").alias("kind"), F.col("eh").alias("x")))).alias("m"))
-    members = members.select("doc_id", "h", "next_id", "next_h", "m.kind", "m.x")
+    members = found.select("k", "h", "next_k", "next_h", F.explode(F.array(F.struct(F.lit("text").alias("kind"), F.col("h").alias("x")), F.struct(F.lit("edited").alias("kind"), F.col("eh").alias("x")))).alias("m"))
+    members = members.select("k", "h", "next_k", "next_h", "m.kind", "m.x")
     members = materialize(members.join(shared, "x", "left_semi").distinct(), "members")
-    ids = members.select(F.col("doc_id").alias("id")).unionByName(members.where("kind = 'edited'").select(F.col("next_id").alias("id"))).distinct()
+    ids = members.select("k").unionByName(members.where("kind = 'edited'").select(F.col("next_k").alias("k"))).distinct()
     ids = materialize(ids, "ids")
-    read = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, docs.doc_id.eqNullSafe(ids.id), "left_semi")
-    read = read.select("doc_id", "text", digest(canonical(F.col("text"))).alias("h")).dropDuplicates(["doc_id", "h"])
-    own = members.where("kind = 'text'").select("doc_id", "h", "kind", "x").join(read, ["doc_id", "h"]).select("doc_id", "h", "kind", "x", canonical(F.col("text")).alias("bytes"))
-    following = read.select(F.col("doc_id").alias("next_id"), F.col("h").alias("next_h"), F.col("text").alias("next_text"))
-    edited = members.where("kind = 'edited'").join(read, ["doc_id", "h"]).join(following, ["next_id", "next_h"])
-    edited = edited.select("doc_id", "h", "kind", "x", canonical(replace_end(F.col("text"), F.col("next_text"))).alias("bytes"))
+    read = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "k", "left_semi")
+    read = read.select("k", "text", digest(canonical(F.col("text"))).alias("h")).dropDuplicates(["k", "h"])
+    own = members.where("kind = 'text'").select("k", "h", "kind", "x").join(read, ["k", "h"]).select("k", "h", "kind", "x", canonical(F.col("text")).alias("bytes"))
+    following = read.select(F.col("k").alias("next_k"), F.col("h").alias("next_h"), F.col("text").alias("next_text"))
+    edited = members.where("kind = 'edited'").join(read, ["k", "h"]).join(following, ["next_k", "next_h"])
+    edited = edited.select("k", "h", "kind", "x", canonical(replace_end(F.col("text"), F.col("next_text"))).alias("bytes"))
     every = own.unionByName(edited)
     mixed = materialize(every.groupBy("x").agg(F.min("bytes").alias("a"), F.max("bytes").alias("b")).where("a <> b").select("x"), "mixed")
     if mixed.limit(1).count() == 0:
         return None
     every = every.join(mixed, "x", "left_semi")
     nth = every.select("x", "bytes").distinct().withColumn("nth", F.row_number().over(Window.partitionBy("x").orderBy("bytes")))
-    return every.join(nth, ["x", "bytes"]).select("doc_id", "h", "kind", F.concat("x", F.lit("-"), "nth").alias("fixed")).distinct()
+    return every.join(nth, ["x", "bytes"]).select("k", "h", "kind", F.concat("x", F.lit("-"), "nth").alias("fixed")).distinct()
 
 
 def fingerprints(docs: DataFrame, digest: Callable[[Column], Column] = wide) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    rows = texts(docs)
+    # A row's key: its id (null is one like any other) and its text's hash, as ids may repeat.
+    rows = texts(docs).withColumn("k", F.concat_ws(":", F.xxhash64("text"), F.col("doc_id").cast("string")))
     hashed = rows.withColumn("h", digest(canonical(F.col("text"))))
     paired = in_order(hashed).withColumn("edited", replace_end(F.col("text"), F.col("next_text")))
     found = paired.select(
-        "doc_id", "h", "next_id", "next_h",
+        "doc_id", "k", "h", "next_k", "next_h",
         F.char_length("text").cast("long").alias("n_chars"),
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         digest(canonical(F.col("edited"))).alias("eh"),
@@ -118,9 +119,9 @@ def fingerprints(docs: DataFrame, digest: Callable[[Column], Column] = wide) ->
     fp, efp, nfp = F.col("h"), F.col("eh"), F.col("next_h")
     if fixed is not None:
         fixed = materialize(fixed, "fixed")
-        for kind, i, h, to in (("text", "doc_id", "h", "fixed_h"), ("edited", "doc_id", "h", "fixed_eh"), ("text", "next_id", "next_h", "fixed_next")):
-            side = fixed.where(F.col("kind") == kind).select(F.col("doc_id").alias("_i"), F.col("h").alias("_h"), F.col("fixed").alias(to)).dropDuplicates(["_i", "_h"])
-            found = found.join(side, found[i].eqNullSafe(side["_i"]) & (found[h] == side["_h"]), "left").drop("_i", "_h")
+        for kind, i, h, to in (("text", "k", "h", "fixed_h"), ("edited", "k", "h", "fixed_eh"), ("text", "next_k", "next_h", "fixed_next")):
+            side = fixed.where(F.col("kind") == kind).select(F.col("k").alias("_i"), F.col("h").alias("_h"), F.col("fixed").alias(to)).dropDuplicates(["_i", "_h"])
+            found = found.join(side, (found[i] == side["_i"]) & (found[h] == side["_h"]), "left").drop("_i", "_h")
         fp, efp, nfp = F.coalesce("fixed_h", "h"), F.coalesce("fixed_eh", "eh"), F.coalesce("fixed_next", "next_h")
     return found.select("doc_id", "n_chars", "edited_sha256", fp.alias("fingerprint"), efp.alias("edited_fingerprint"), (fp == efp).cast("double").alias("near_edited"), (fp == nfp).cast("double").alias("near_next"))
 
