@@ -127,6 +127,8 @@ class LanguageModel:
             self.row.update(zip(some, range(at, at + len(some))))
 
     def predict(self, some: list[str]) -> tuple[list[str], list[float]]:
+        if not self.languages:
+            return ["und"] * len(some), [0.0] * len(some)
         found = [_WORD.findall(t.lower()) for t in some]
         met = set().union(*found)
         new = [w for w in met if w not in self.row]
@@ -137,7 +139,7 @@ class LanguageModel:
             self.learn(new)
         names, scores = [], []
         for words in found:
-            if not words or not self.languages:
+            if not words:
                 names.append("und")
                 scores.append(0.0)
                 continue
