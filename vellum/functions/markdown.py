@@ -41,8 +41,10 @@ def note_body(source: Column) -> Column:
 
 
 def replace_body(source: Column, body: Column) -> Column:
-    """A new body under the block that is there."""
-    return F.when(has_frontmatter(source), F.concat(F.regexp_extract(source, FRONTMATTER, 0), body)).otherwise(body)
+    """A new body under the block that is there; a block that ends the note gets its line break first."""
+    block = F.regexp_extract(source, FRONTMATTER, 0)
+    ended = F.when(F.endswith(block, F.lit("\n")) | (body == ""), block).otherwise(F.concat(block, F.lit("\n")))
+    return F.when(has_frontmatter(source), F.concat(ended, body)).otherwise(body)
 
 
 def update_note(source: Column, content: Column) -> Column:

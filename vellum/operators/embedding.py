@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StringType, StructField, StructType
 
 #: Texts a call; attempts on a passing failure, and the seconds between them.
 BATCH, ATTEMPTS, PAUSES = 64, 3, (1.0, 4.0)
@@ -52,7 +53,7 @@ def attempt(embed: Embedder, some: list[str], pauses: tuple[float, ...] = PAUSES
 
 def embed_texts(rows: DataFrame, embed: Embedder, text: str = "text", concurrency: int = 6) -> DataFrame:
     """rows with embedding and error; a batch that fails marks its own rows, the others go on."""
-    schema = rows.schema.add("embedding", "array<float>").add("error", "string")
+    schema = StructType([*rows.schema.fields, StructField("embedding", ArrayType(FloatType())), StructField("error", StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

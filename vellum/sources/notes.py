@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 from vellum.functions.markdown import is_markdown
 
 
-def walk_vault(spark: SparkSession, root: str, hidden: bool = False) -> DataFrame:
-    """path, body, doc_hash of the Markdown files under root; folders that start with a dot are skipped."""
+def walk_vault(spark: SparkSession, root: str) -> DataFrame:
+    """path, body, doc_hash of the Markdown files under root.
+
+    Spark's file listing leaves out files and folders whose names start with . or _.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     cut = F.regexp_replace(F.lit(root.rstrip("/")), r"^[a-z]+:/+", "/")
     full = F.regexp_replace(F.col("path"), r"^[a-z]+:/+", "/")
     rel = F.substring(full, F.char_length(cut) + 2, F.char_length(full))
     rows = files.select(rel.alias("path"), "content").where(is_markdown(F.col("path")))
-    if not hidden:
-        rows = rows.where(~F.col("path").rlike(r"(^|/)\.[^/]*/"))
     return rows.select("path", F.decode("content", "UTF-8").alias("body"), F.sha2("content", 256).alias("doc_hash"))
 
 
