@@ -45,15 +45,41 @@ class Pieces:
         names = [x for x in dict.fromkeys(names) if len(x) <= LONGEST]
         self.number = {x: i for i, x in enumerate(names)}
         self.unknown, self.none = len(names), len(names) + 1
+        # The pieces' beginnings as nodes: (node, letter) of each step, sorted, and the node it leads to.
+        self.letters = np.array(sorted({ord(c) for x in names for c in x}), dtype=np.int64)
+        letter = {int(c): i for i, c in enumerate(self.letters)}
+        node, steps = {"": 0}, []
+        for x in names:
+            for k in range(1, len(x) + 1):
+                if x[:k] not in node:
+                    node[x[:k]] = len(node)
+                    steps.append((node[x[: k - 1]] * len(letter) + letter[ord(x[k - 1])], node[x[:k]]))
+        self.steps, self.ends = np.array(sorted(steps), dtype=np.int64).reshape(-1, 2).T.copy()
+        self.piece = np.full(len(node), self.none, np.int32)
+        for x, i in self.number.items():
+            self.piece[node[x]] = i
 
     def grid(self, words: list[str]) -> np.ndarray:
         """[word, end, length]: the piece of that length that ends there; words are of one length."""
-        size, get, none = len(words[0]), self.number.get, self.none
+        size = len(words[0])
         span = min(size, LONGEST)
-        flat = [get(w[e - k : e], none) if k <= e else none for w in words for e in range(1, size + 1) for k in range(1, span + 1)]
-        grid = np.array(flat, dtype=np.int32).reshape(len(words), size, span)
+        points = np.frombuffer("".join(words).encode("utf-32-le"), dtype="<u4").astype(np.int64)
+        letter = np.minimum(np.searchsorted(self.letters, points), len(self.letters) - 1)
+        known = self.letters[letter] == points
+        grid = np.full((len(words) * size, span), self.none, np.int32)
+        start, node = np.arange(len(points)), np.zeros(len(points), np.int64)
+        for k in range(span):  # from every start as far as the letters are a piece's beginning
+            inside = start % size + k < size
+            start, node = start[inside], node[inside]
+            at = start + k
+            step = node * len(self.letters) + letter[at]
+            found = np.minimum(np.searchsorted(self.steps, step), len(self.steps) - 1)
+            on = (self.steps[found] == step) & known[at]
+            start, node = start[on], self.ends[found[on]]
+            grid[start + k, k] = self.piece[node]
+        grid = grid.reshape(len(words), size, span)
         first = grid[:, :, 0]
-        first[first == none] = self.unknown
+        first[first == self.none] = self.unknown
         return grid
 
 
