@@ -25,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from vellum.llm.common import materialize, small_batches, table, texts
 from vellum.llm.components import components
@@ -198,15 +199,14 @@ def keep_one(docs: DataFrame, words: int = 5, seed: int = SEED, bits: int = MAX_
         return kept
     small_batches(docs.sparkSession)
     # Only where ids repeat: the row's own fingerprint settles which of its rows is meant.
-    names = kept.columns
+    names = list(kept.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.array([fingerprint(t or "", words, seed) for t in batch.column(names.index("text")).to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp.view(np.int64))], names=[*names, "_fp"])
 
-    schema = kept.schema.add("_fp", "long")
-    rows = kept.mapInArrow(run, schema)
+    rows = kept.mapInArrow(run, StructType([*kept.schema.fields, StructField("_fp", LongType())]))
     rows = rows.join(best, rows["doc_id"].eqNullSafe(best["_id"]) & (rows["_fp"] == best["_fp"]), "left_semi")
     return rows.dropDuplicates(["doc_id", "_fp"]).select(*names)
 
