@@ -50,20 +50,28 @@ def units(text: str, line_words: int = LINE_WORDS, sentence_words: int = SENTENC
 
 def remove(text: str, spans: list[tuple[int, int]]) -> tuple[str, list[tuple[int, int]]]:
     """The text without the spans, and the joined spans; a line that goes takes its line break."""
-    merged: list[list[int]] = []
-    for start, end in sorted(spans):
-        whole = (start == 0 or text[start - 1] == "\n") and (end == len(text) or text[end] == "\n")
-        end += whole and end < len(text)
-        if merged and start <= merged[-1][1]:
-            merged[-1][1] = max(merged[-1][1], end)
-        else:
-            merged.append([start, end])
+
+    def joined(some: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        out: list[tuple[int, int]] = []
+        for start, end in sorted(some):
+            if out and start <= out[-1][1]:
+                out[-1] = (out[-1][0], max(out[-1][1], end))
+            else:
+                out.append((start, end))
+        return out
+
+    def with_break(start: int, end: int) -> tuple[int, int]:
+        whole = (start == 0 or text[start - 1] == "\n") and end < len(text) and text[end] == "\n"
+        return start, end + whole
+
+    # Sentences that go may make up a line together, so lines are looked for after joining.
+    merged = joined([with_break(*x) for x in joined(spans)])
     kept, at = [], 0
     for start, end in merged:
         kept.append(text[at:start])
         at = end
     kept.append(text[at:])
-    return "".join(kept), [(a, b) for a, b in merged]
+    return "".join(kept), merged
 
 
 def digests(docs: DataFrame, line_words: int = LINE_WORDS, sentence_words: int = SENTENCE_WORDS) -> DataFrame:
