@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from vellum.llm import near_copies
 from vellum.llm.common import materialize, small_batches, table, texts
 from vellum.llm.components import components
 
@@ -172,11 +173,9 @@ def links(distinct: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     return dealt.select("fp", "t", "v", "i", "j").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, seed: int = SEED, bits: int = MAX_BITS) -> DataFrame:
-    """doc_id, fp and component_id of every document."""
-    fps = materialize(fingerprints(docs, words, seed), "fingerprints")
-    classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
-    roots = components(links(classes.select("fp"), bits))
+def with_components(fps: DataFrame, classes: DataFrame, edges: DataFrame) -> DataFrame:
+    """doc_id, fp and component_id for documents (doc_id, fp), classes (fp, rep) and edges between fps."""
+    roots = components(edges)
     linked = roots.join(classes, roots.node == classes.fp).select("fp", "root", "rep")
     least = linked.groupBy("root").agg(F.min("rep").alias("least"))
     of = classes.join(linked.join(least, "root").select("fp", "least"), "fp", "left")
@@ -184,13 +183,29 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, seed: int = SEED, bits:
     return fps.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 5, seed: int = SEED, bits: int = MAX_BITS) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = WORDS, seed: int = SEED, bits: int = MAX_BITS) -> DataFrame:
+    """doc_id, fp and component_id of every document."""
+    fps = materialize(fingerprints(docs, words, seed), "fingerprints")
+    classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
+    return with_components(fps, classes, links(classes.select("fp"), bits))
+
+
+def near_copies_of(docs: DataFrame, words: int = near_copies.WORDS, seed: int = SEED, least: float = near_copies.LEAST) -> DataFrame:
+    """doc_id, fp (of the shingle set) and component_id of every document, linked by shingle similarity."""
+    found = materialize(near_copies.signatures(docs, words, seed), "signatures")
+    classes = materialize(found.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("keys").alias("keys")), "classes")
+    edges = near_copies.links(docs, classes, words, seed, least)
+    return with_components(found.select("doc_id", "fp"), classes.select("fp", "rep"), edges)
+
+
+def keep_one(docs: DataFrame, words: int = near_copies.WORDS, seed: int = SEED, least: float = near_copies.LEAST) -> DataFrame:
     """docs without all but one document of each component (that with the least doc_id).
 
+    Documents are linked by the similarity of their word shingles (near_copies), not by op9's 4 bits.
     Of rows that share that doc_id too, one stays; documents without doc_id stay only where their
     component has no other.
     """
-    found = near_duplicates(docs, words, seed, bits)
+    found = materialize(near_copies_of(docs, words, seed, least), "found")
     best = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("alone")).agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("fp"))).alias("k"))
     best = materialize(best.select(F.col("k.doc_id").alias("_id"), F.col("k.fp").alias("_fp")), "kept")
     twice = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
@@ -198,13 +213,13 @@ def keep_one(docs: DataFrame, words: int = 5, seed: int = SEED, bits: int = MAX_
     if not twice:
         return kept
     small_batches(docs.sparkSession)
-    # Only where ids repeat: the row's own fingerprint settles which of its rows is meant.
+    # Only where ids repeat: the row's own set settles which of its rows is meant.
     names = list(kept.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.array([fingerprint(t or "", words, seed) for t in batch.column(names.index("text")).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp.view(np.int64))], names=[*names, "_fp"])
+            fp = [near_copies.digest(near_copies.shingles(t or "", words, seed)) for t in batch.column(names.index("text")).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp, pa.int64())], names=[*names, "_fp"])
 
     rows = kept.mapInArrow(run, StructType([*kept.schema.fields, StructField("_fp", LongType())]))
     rows = rows.join(best, rows["doc_id"].eqNullSafe(best["_id"]) & (rows["_fp"] == best["_fp"]), "left_semi")
