@@ -46,3 +46,36 @@ def test_columns_stay(spark):
     assert out.schema == docs.schema and out.count() == docs.count()
     assert {r["score"] for r in out.collect()} == {9.5}
     assert deduplicate(nothing(spark)).collect() == []
+
+
+def kept(spark, rows):
+    return {r["doc_id"]: r["text"] for r in deduplicate(documents(spark, [(i, t, "a") for i, t in rows.items()])).collect()}
+
+
+def test_passages_of_short_pieces(spark):
+    lines = "\n".join(f"item{i} costs money{i}" for i in range(20))
+    sentences = " ".join(f"He{i} saw them{i}. No{i}!" for i in range(15))
+    long = " ".join(f"word{i}" for i in range(200))
+    wrapped = [f"{'a' * (i % 7 + 1)}{i}" for i in range(60)]
+    wrapped[29] += "."
+    first = {1: f"top one\n{lines}\nend one", 2: f"top two\n\n{lines}\nend two"}
+    first |= {3: f"open three {sentences} close three", 4: f"open four. {sentences} close four"}
+    first |= {5: f"some three words {long} tail five", 6: f"other words {long} tail six"}
+    first |= {7: "Head.\n" + " ".join(wrapped[:10]) + "\n" + " ".join(wrapped[10:]) + ".", 8: "\n".join(" ".join(wrapped[i : i + 4]) for i in range(0, 60, 4)) + "."}
+    got = kept(spark, first)
+    assert all(got[i] == first[i] for i in (1, 3, 5, 7))
+    assert got[2] == "top two\n\nend two"
+    assert got[4] == "open four. He0 saw them0. close four"  # in 3 that sentence starts otherwise
+    assert sum(w.startswith("word") for w in got[6].split()) < 100
+    assert len(got[8].split()) == 0
+
+
+def test_texts_without_blanks(spark):
+    line = "这个段落在许多文档里重复出现而且没有空格所以整行只算一个词"
+    passage = "我们在这里写下第一个很长的句子用来测试。然后再写下第二个同样很长的句子用来测试！"
+    got = kept(spark, {1: f"甲\n{line}\n乙", 2: f"丙\n{line}\n丁", 3: f"开头甲。{passage}结尾。", 4: f"别的。{passage}不同。"})
+    assert got == {1: f"甲\n{line}\n乙", 2: "丙\n丁", 3: f"开头甲。{passage}结尾。", 4: "别的。不同。"}
+
+
+def test_a_short_line_again_and_again_keeps_its_first_run(spark):
+    assert kept(spark, {1: "\n".join(["yes indeed"] * 20)})[1].split("\n") == ["yes indeed"] * 4

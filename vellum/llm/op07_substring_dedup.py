@@ -1,10 +1,12 @@
 """Removal of repeated lines and passages: units are hashed, and only the earliest occurrence stays.
 
-Units are lines and the sentences in them, in lower case with single spaces. Units of enough words
-get a 128-bit digest; Spark groups the digests of all documents, keeps for each its occurrence of
+Units are lines, sentences (also those that go on over line breaks of a paragraph) and the shortest
+runs of neighbouring short lines and sentences that reach the size, in lower case with single
+spaces. Sizes are words, or half the characters where a script has no blanks; a sentence of over 50
+words is cut at places its words choose. Units get a 128-bit digest; Spark groups the digests of all documents, keeps for each its occurrence of
 lowest rank (doc_id, then place) and takes the others out of the texts. A line that repeats goes as
 a whole, with its short sentences; a passage that stands inside other lines goes sentence by
-sentence. What goes is reported with its original offsets.
+sentence (the parts of sentences at its two ends stay). What goes is reported with its original offsets.
 
 Digests are grouped with map-side combination, so a line that a third of all documents share is one
 row per task before the shuffle. Defined cases: null and empty texts have no units; of rows equal
@@ -15,6 +17,7 @@ table gives an empty result; other columns are kept as they are.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,27 +28,98 @@ from pyspark.sql import functions as F
 
 from vellum.llm.common import materialize, small_batches, table
 
-#: Least words of a line, and of a sentence inside one, that can be removed.
+#: Least size of a line, and of a sentence or run of pieces, that can be removed.
 LINE_WORDS, SENTENCE_WORDS = 8, 8
-_SENTENCE = re.compile(r"[^.!?]+[.!?]*\s*|[.!?]+\s*")
+#: Sentences above this size are cut after chosen words, one in CUT; without blanks after one character in 2 * CUT.
+LONG, CUT = 50, 16
+_SENTENCE = re.compile(r"[^.!?。！？．｡]+[.!?。！？．｡]*\s*|[.!?。！？．｡]+\s*")
+#: Scripts without blanks between words; two characters count as a word.
+_SOLID = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+_WORD = re.compile(r"\S+")
+
+Piece = tuple[int, int, int, str]
+
+
+def size_of(text: str, words: int) -> int:
+    return words if text.isascii() else max(words, len(_SOLID.findall(text)) // 2)
+
+
+def pieces(text: str, at: int) -> Iterator[Piece]:
+    """(start, end, size, normal form) of the sentences of text, which stands at that offset; long ones in parts."""
+    for m in _SENTENCE.finditer(text):
+        span, start = m.group(), at + m.start()
+        words = span.split()
+        if not words:
+            continue
+        feed = span.find("\n", len(span.rstrip()))
+        end = start + (len(span) if feed < 0 else feed)
+        size = size_of(span, len(words))
+        if size <= LONG:
+            yield start, end, size, " ".join(words).lower()
+            continue
+        # The cuts depend on the words beside them only, so equal passages are cut alike.
+        if len(words) > LONG // 2:
+            found = [(w.end(), w.group().lower()) for w in _WORD.finditer(span)]
+            cuts = [e for (e, w), (_, v) in zip(found, found[1:]) if zlib.crc32(f"{w} {v}".encode("utf-8", "replace")) % CUT == 0]
+        else:
+            low = span.lower() if len(span.lower()) == len(span) else span
+            cuts = [i for i in range(4, len(span.rstrip())) if zlib.crc32(low[i - 4 : i].encode("utf-8", "replace")) % (2 * CUT) == 0]
+        for lo, hi in zip([0, *cuts], [*cuts, end - start]):
+            inner = span[lo:hi].split()
+            if inner:
+                yield start + lo, start + hi, size_of(span[lo:hi], len(inner)), " ".join(inner).lower()
+
+
+def runs(some: list[Piece], least: int) -> Iterator[tuple[int, int, str]]:
+    """The shortest runs of neighbouring pieces of that size, one from and one up to each piece.
+
+    So every piece of a repeated passage of that size stands in a run that lies inside the passage.
+    """
+    found, lo, total = set(), 0, 0
+    for hi, piece in enumerate(some):
+        total += piece[2]
+        while total >= least:
+            found.add((lo, hi))  # the shortest from lo
+            total -= some[lo][2]
+            lo += 1
+        if lo:
+            # The shortest up to hi starts at lo - 1, where that reaches the size.
+            if total + some[lo - 1][2] >= least:
+                found.add((lo - 1, hi))
+    for i, j in sorted(found):
+        yield some[i][0], some[j][1], some[i][3] if i == j else " ".join(p[3] for p in some[i : j + 1])
 
 
 def units(text: str, line_words: int = LINE_WORDS, sentence_words: int = SENTENCE_WORDS) -> Iterator[tuple[int, int, str]]:
-    """(start, end, normal form) of the lines, and of their sentences where there are several."""
-    start = 0
-    for line in text.split("\n"):
+    """(start, end, normal form) of the lines, and of runs of sentences in lines and in paragraphs."""
+    start, every, seen, paragraph, spread = 0, [], set(), None, []
+    for line in [*text.split("\n"), ""]:
         words = line.split()
-        if len(words) >= line_words:
-            yield start, start + len(line), " ".join(words).lower()
-            spans = _SENTENCE.findall(line)
-            if len(spans) > 1:
-                at = start
-                for span in spans:
-                    inner = span.split()
-                    if len(inner) >= sentence_words:
-                        yield at, at + len(span), " ".join(inner).lower()
-                    at += len(span)
+        if words:
+            inside = list(pieces(line, start))
+            every += inside
+            if len(inside) > 1 and size_of(line, len(words)) >= line_words:
+                seen.add((start, start + len(line)))
+                yield start, start + len(line), " ".join(words).lower()
+            paragraph = (start if paragraph is None else paragraph[0], start + len(line), 1 if paragraph is None else paragraph[2] + 1)
+        elif paragraph:
+            if paragraph[2] > 1:
+                spread.append(paragraph)
+            paragraph = None
         start += len(line) + 1
+    for unit in runs(every, sentence_words):
+        if unit[:2] not in seen:
+            seen.add(unit[:2])
+            yield unit
+    own = {p[:2] for p in every}
+    for lo, hi, _ in spread:  # sentences that go on over line breaks, so that a passage may be wrapped anew
+        whole = list(pieces(text[lo:hi], lo))
+        if all(p[:2] in own for p in whole):
+            continue
+        for unit in runs(whole, sentence_words):
+            if unit[:2] not in seen:
+                seen.add(unit[:2])
+                yield unit
 
 
 def remove(text: str, spans: list[tuple[int, int]]) -> tuple[str, list[tuple[int, int]]]:
@@ -104,6 +178,9 @@ def removals(docs: DataFrame, line_words: int = LINE_WORDS, sentence_words: int
     # Rows equal in doc_id and text are one document, so the greatest rank tells of repeats.
     first = rows.groupBy("a", "b").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).where("first <> last").select("a", "b", "first")
     later = rows.join(first, ["a", "b"]).where(rank != F.col("first"))
+    # Runs of one text may overlap (the same short line again and again); the first occurrence stays whole.
+    own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("h") == F.col("first.h"))
+    later = later.withColumn("start", F.when(own, F.greatest("start", F.col("first.end"))).otherwise(F.col("start"))).where("start < end")
     spans = later.groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "end")).alias("spans"))  # at most a document's units
     return spans.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "spans")
 
