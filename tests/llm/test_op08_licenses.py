@@ -1,7 +1,7 @@
 import re
 
 from tests.llm.fixtures import documents, nothing, texts
-from vellum.llm.op08_licenses import BASE, scan_licenses
+from vellum.llm.op08_licenses import BASE, TEMPLATES, scan_licenses
 
 SOME = [
     (1, "Some text. Licensed under the Apache License, Version 2.0.\nMore", "a"), (2, "Released under the MIT License. mit license", "a"),
@@ -32,3 +32,9 @@ def test_odd_rows(spark):
     docs = documents(spark)
     assert scan_licenses(docs).count() == docs.count()
     assert scan_licenses(nothing(spark)).collect() == []
+
+
+def test_all_notices_at_once(spark):
+    text = " and then ".join(notice for _, notice, _ in TEMPLATES)
+    got = scan_licenses(documents(spark, [(1, text, "a"), *((2 + i, f"other words here {i}", "b") for i in range(20))])).collect()
+    assert next(r["labels"] for r in got if r["doc_id"] == 1) == ",".join(sorted({label for label, _, _ in TEMPLATES}))

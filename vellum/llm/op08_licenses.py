@@ -1,10 +1,10 @@
 """Licence scan with a positional index of rare licence words.
 
 Templates are short licence notices. Their words get document frequencies over the whole corpus
-(a fixed vocabulary, so the counts stay small). For a document the licence words of highest IDF
-are looked up; each occurrence together with each place in a template votes for where the template
-would start, and the best starts are verified: the share of the template's IDF found at exactly
-those relative places, and the mandatory key phrase. Base phrases are matched word for word.
+(a fixed vocabulary, so the counts stay small). A document without any key phrase's
+rarest word has no licence; in others each template's mandatory key phrase is looked up, and every
+place where the template could start around it is verified by the share of the template's IDF found
+at exactly those relative places. Base phrases are matched word for word.
 
 Defined cases: null and empty texts have no words, no places, empty labels and score 0; equal rows
 give equal rows; an empty table gives an empty result; other columns are ignored.
@@ -42,8 +42,8 @@ TEMPLATES = [
     ("cc-by-nd", "licensed under cc by nd 4 0", "cc by nd"),
     ("all-rights-reserved", "all rights reserved", "all rights reserved"),
 ]
-#: A template counts from this share of its IDF; so many words of highest IDF are looked up.
-COVERAGE, LOOKED_UP = 0.6, 8
+#: A template counts from this share of its IDF.
+COVERAGE = 0.6
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -58,13 +58,9 @@ class LicenseIndex:
         self.templates = [(label, notice.encode().split(), key.encode().split()) for label, notice, key in templates]
         self.base = [(phrase.encode().split(), label) for phrase, label in base.items()]
         self.total = [sum(idf[w] for w in notice) or 1.0 for _, notice, _ in self.templates]
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        for t, (_, notice, _) in enumerate(self.templates):
-            for q, w in enumerate(notice):
-                self.postings[w].append((t, q))
         # Every key and base phrase holds one of these, so a text with none of them has no licence.
         self.rare = {max(key, key=lambda w: idf.get(w, 0.0)) for _, _, key in self.templates} | {max(p, key=lambda w: idf.get(w, 0.0)) for p, _ in self.base}
-        self.vocabulary = set(self.postings) | {w for p, _ in self.base for w in p}
+        self.vocabulary = {w for _, _, key in self.templates for w in key} | {w for p, _ in self.base for w in p}
 
     def scan(self, words: list[bytes]) -> tuple[int, int | None, int | None, str, str, float]:
         """Base places, their least and greatest start, base labels, all labels, score."""
@@ -82,18 +78,13 @@ class LicenseIndex:
         found = [(p, label) for phrase, label in self.base for p in starts(phrase)]
         base = {label for _, label in found}
         labels, score = set(base), 1.0 if base else 0.0
-        rare = sorted((w for w in met if w in self.postings), key=lambda w: (-self.idf[w], w))[:LOOKED_UP]
-        votes: dict[tuple[int, int], float] = defaultdict(float)
-        for w in rare:
-            for t, q in self.postings[w]:
-                for p in at[w]:
-                    votes[t, p - q] += self.idf[w]
-        for (t, start), _ in votes.items():
-            label, notice, key = self.templates[t]
-            share = sum(self.idf[w] for q, w in enumerate(notice) if 0 <= start + q < len(words) and words[start + q] == w) / self.total[t]
-            if share >= COVERAGE and any(start <= p <= start + len(notice) - len(key) for p in starts(key)):
-                labels.add(label)
-                score = max(score, share)
+        # Every place where a template can start so that its key phrase lies inside it.
+        for t, (label, notice, key) in enumerate(self.templates):
+            for start in {p - q for p in starts(key) for q in range(len(notice) - len(key) + 1)}:
+                share = sum(self.idf[w] for q, w in enumerate(notice) if 0 <= start + q < len(words) and words[start + q] == w) / self.total[t]
+                if share >= COVERAGE:
+                    labels.add(label)
+                    score = max(score, share)
         places = [p for p, _ in found]
         return len(found), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), min(score, 1.0)
 
