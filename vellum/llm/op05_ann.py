@@ -81,6 +81,13 @@ class Lists:
         """Each query's k best of the sample without itself: positions (-1: none) and products."""
         product = q @ self.x.T
         product[self.ids[None, :] == ids[:, None]] = -np.inf
+        if len(np.unique(self.ids)) < len(self.ids):  # an id with several vectors counts once
+            for i, row in enumerate(product):
+                order = np.argsort(-row, kind="stable")
+                first = np.unique(self.ids[order], return_index=True)[1]
+                again = np.ones(len(row), bool)
+                again[order[first]] = False
+                row[again] = -np.inf
         k = min(self.k, product.shape[1])
         at = np.argpartition(-product, k - 1, axis=1)[:, :k]
         value = np.take_along_axis(product, at, axis=1)
@@ -124,6 +131,10 @@ def scan(queries: np.ndarray, ids: np.ndarray, floor: np.ndarray, x: np.ndarray,
         score = exact(queries[qi], x[xi])
         order = np.lexsort((x_ids[xi], -score, qi))
         qi, xi, score = qi[order], xi[order], score[order]
+        by = np.lexsort((np.arange(len(qi)), x_ids[xi], qi))
+        again = by[1:][(qi[by][1:] == qi[by][:-1]) & (x_ids[xi[by]][1:] == x_ids[xi[by]][:-1])]
+        if len(again):  # an id with several vectors counts once, with its best
+            qi, xi, score = (np.delete(c, again) for c in (qi, xi, score))
         first = np.r_[True, qi[1:] != qi[:-1]] if len(qi) else np.zeros(0, bool)
         nth = np.arange(len(qi)) - np.maximum.accumulate(np.where(first, np.arange(len(qi)), 0))
         qi, xi, score = qi[nth < k], xi[nth < k], score[nth < k]
@@ -139,7 +150,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K, target: float = TARG
     if not lengths:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim, n = lengths[0]["d"], lengths[0]["count"]
-    rows, queries = rows.where(F.size("v") == dim), queries.where(F.size("v") == dim).groupBy("vec_id").agg(F.min("v").alias("v"))
+    rows, queries = rows.where(F.size("v") == dim).dropDuplicates(["vec_id", "v"]), queries.where(F.size("v") == dim).groupBy("vec_id").agg(F.min("v").alias("v"))
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(BOUND).toArrow()
     index = Lists(sample.column("vec_id").to_numpy(), block_of(sample.column("v")), n, k)
 
