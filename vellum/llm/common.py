@@ -56,8 +56,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, bound: int)
     """At most bound labelled training rows (fold not 0) with their whole texts: doc_id, text, y.
 
     The rows with the smallest id hashes are taken, so the choice doesn't depend on partitioning.
-    A document with several labels takes the largest. The ids (bound rows of 16 bytes) are the
-    broadcast side; texts are written once to the shared folder.
+    A document with several labels takes the largest; of rows that share an id, the one with the least
+    text counts. The ids (bound rows of 16 bytes) are the broadcast side; texts are written once to
+    the shared folder.
     """
     ids = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(target).cast("int").alias("y"))
@@ -65,7 +66,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, bound: int)
         .groupBy("doc_id").agg(F.max("y").alias("y"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     )
-    rows = texts(docs).join(F.broadcast(ids), "doc_id")
+    rows = texts(docs).join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y")
     return materialize(rows, f"sample-{target}")
 
 

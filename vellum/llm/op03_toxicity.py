@@ -1,20 +1,23 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine, with block-max inverted indexes.
 
-Terms are words and word beginnings; those kept are the terms whose presence goes with the label so
-strongly that among all terms less than one such chance find is expected (log-likelihood ratio over
-2 ln of the number of terms). IDF comes from all documents. The labelled examples that hold terms
-are indexed in blocks of similar examples with each term's largest weight per block; a query visits
-blocks by falling upper bound and stops when no block can beat its k-th neighbour, so the
-neighbours are exact. Their votes, weighted by cosine, and the share of the label among the
-examples at large give the score; the neighbours are the evidence. All the other words of a text
-are one component of fixed weight, so one chance term in a text isn't taken for many. Examples
-without terms are nothing but that component and so stand at one distance; they fill the places
-among the neighbours that no nearer example takes.
+Terms are all words that a labelled example holds; words that no example holds have no place in that
+space. IDF comes from all documents. A term's weight is its IDF times one plus the square root of
+what its log-likelihood ratio with the label has beyond chance (twice the log of the number of
+terms): the label only weighs terms, it drops none.
+
+The examples stand in blocks of BLOCK similar ones. Rare terms have inverted lists, which give each
+example's exact part of the cosine; for each frequent term (one in FREQUENT examples or more) each
+block keeps the largest weight, which bounds what the frequent terms can add there. Blocks and
+examples whose bound stays under the k-th best cosine are skipped, the others get their frequent
+terms added exactly, so the neighbours are exact. They vote by the inverse of their distance; a
+logistic curve fitted on examples, each judged by the others, turns shares of votes into
+probabilities, and the neighbours are the evidence. The index holds at most `bound` whole texts.
 
 Examples are at most `bound` labelled rows of the training folds (the smallest id hashes). Defined
-cases: null and empty texts have no terms; without labelled rows every score is 0.5 (predicted 1);
-ties go to the example with the smaller doc_id; equal rows give equal rows; an empty table gives an
-empty result; other columns are ignored.
+cases: null and empty texts, and texts without a term, get the score of the label's share; without
+labelled rows every score is 0.5 (predicted 1); with labels of one kind only, every score is the
+smoothed share; ties go to the example with the smaller doc_id; equal rows give equal rows; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,190 +35,320 @@ from pyspark.sql import functions as F
 
 from vellum.llm.common import held_out, labelled_sample, small_batches, table, texts
 
-#: Labelled examples, terms, neighbours, examples a block, threshold of the prediction.
-BOUND, TERMS, NEIGHBOURS, BLOCK, THRESHOLD = 20_000, 2_000, 15, 64, 0.5
-#: Weight of the other words, in means of the terms' IDF.
-REST = 1.0
-#: Lengths of the word beginnings that are terms too (marked by ^).
-BEGINNINGS = (4, 5)
+#: Labelled examples, neighbours, examples a block, threshold of the prediction.
+BOUND, NEIGHBOURS, BLOCK, THRESHOLD = 20_000, 15, 4, 0.5
+#: A term of one in so many examples is frequent; queries scored together.
+FREQUENT, TOGETHER = 12, 64
+#: A vote's weight is cosine^2 / (1 - cosine + NEAR); weight of the label's share; examples that the curve is fitted on.
+NEAR, PRIOR, CURVE = 0.05, 0.01, 2_000
 _WORD = re.compile(r"[^\W\d_]+")
+_ASCII = {c: " " for c in range(128) if not chr(c).isalpha()}
 
 
-def terms_of(words: set[str]) -> set[str]:
-    return words.union(*({"^" + w[:k] for w in words if len(w) >= k} for k in BEGINNINGS))
+def words_of(text: str) -> list[str]:
+    """Runs of letters, in lower case."""
+    text = text.lower()
+    return text.translate(_ASCII).split() if text.isascii() else _WORD.findall(text)
 
 
-class Terms:
-    """Counts of the chosen terms in a text."""
+class Vocabulary:
+    """Numbers of the examples' words."""
 
-    def __init__(self, chosen: list[str]):
-        self.number = {t: i for i, t in enumerate(chosen)}
-        self.whole = {t for t in chosen if t[0] != "^"}
-        self.begins = {k: {t[1:] for t in chosen if t[0] == "^" and len(t) == k + 1} for k in BEGINNINGS}
+    def __init__(self, words: list[str]):
+        self.words = words
 
-    def count(self, text: str) -> dict[int, int]:
-        words = _WORD.findall(text.lower())
-        met = set(words)
-        found = met & self.whole
-        begun = {k: {w for w in met if w[:k] in s} for k, s in self.begins.items() if s}
-        if not found and not any(begun.values()):
-            return {}
-        n, out = Counter(words), Counter()
-        for w in found:
-            out[self.number[w]] += n[w]
-        for k, some in begun.items():
-            for w in some:
-                out[self.number["^" + w[:k]]] += n[w]
-        return out
+    def __getstate__(self):
+        return "\n".join(self.words)
 
+    def __setstate__(self, state):
+        self.words = state.split("\n") if state else []
 
-class NearestExamples:
-    """Exact cosine neighbours of sparse vectors, by blocks with upper bounds."""
-
-    def __init__(self, idf: np.ndarray, ids: list[int], labels: list[int], counts: list[dict[int, int]], bare: tuple[int, int], neighbours: int = NEIGHBOURS):
-        self.idf, self.neighbours = idf, neighbours
-        self.rest = REST * float(idf.mean()) if len(idf) else 0.0
-        order = sorted(range(len(ids)), key=lambda i: (max(counts[i], key=lambda t: (counts[i][t] * idf[t], -t)), ids[i]))
-        self.ids = np.array([ids[i] for i in order], np.int64)
-        self.labels = np.array([labels[i] for i in order], np.float64)
-        self.blocks = -(-len(order) // BLOCK)
-        self.most = np.zeros((len(idf), self.blocks), np.float64)
-        self.rests = np.array([math.sqrt(max(1 - float((self.vector(counts[i])[1] ** 2).sum()), 0.0)) for i in order])
-        self.most_rest = np.array([self.rests[b * BLOCK : (b + 1) * BLOCK].max() for b in range(self.blocks)])
-        self.postings: list[dict[int, tuple[np.ndarray, np.ndarray]]] = []
-        for b in range(self.blocks):
-            lists: dict[int, list] = {}
-            for at, i in enumerate(order[b * BLOCK : (b + 1) * BLOCK]):
-                for t, w in zip(*self.vector(counts[i])):
-                    lists.setdefault(int(t), []).append((at, w))
-            self.postings.append({t: (np.array([x for x, _ in p]), np.array([w for _, w in p])) for t, p in lists.items()})
-            for t, p in lists.items():
-                self.most[t, b] = max(w for _, w in p)
-        n, y = len(ids) + bare[0], sum(labels) + bare[1]
-        self.share = y / n if n else 0.5
-        self.bare_examples = bare[0]
-        self.bare = (bare[1] + self.share) / (bare[0] + 1) if n else 0.5
-        self.seen: dict[tuple, tuple[float, list]] = {}
-
-    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        t = np.array(sorted(counts))
-        w = np.array([counts[i] for i in t], dtype=np.float64) * self.idf[t]
-        return t, w / np.sqrt((w**2).sum() + self.rest**2)
-
-    def nearest(self, counts: dict[int, int]) -> tuple[list[tuple[float, int, float]], float]:
-        """(cosine, example id, label), nearest first; and the cosine with an example without terms."""
-        t, w = self.vector(counts)
-        own = math.sqrt(max(1 - float((w**2).sum()), 0.0))  # the component of the other words
-        bounds = w @ self.most[t] + own * self.most_rest
-        best: list[tuple[float, int, float]] = []
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or len(best) == self.neighbours and bounds[b] + 1e-12 < -best[-1][0]:
+    @property
+    def number(self) -> dict[str, int]:
+        if "_number" not in self.__dict__:
+            self._number = {w: i for i, w in enumerate(self.words)}
+        return self._number
+
+    def count(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Terms of a text and how often each stands in it."""
+        counts = Counter(words_of(text))
+        found = np.array(list(map(self.number.get, counts, repeat(-1))), np.int64)
+        n = np.array(list(counts.values()), np.float64)
+        return found[found >= 0], n[found >= 0]
+
+
+def label_weight(pos: np.ndarray, neg: np.ndarray, all_pos: int, all_neg: int) -> np.ndarray:
+    """1 + sqrt of the log-likelihood ratio of term and label beyond chance."""
+    n, met = all_pos + all_neg, pos + neg
+
+    def part(seen, row, column):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(seen > 0, seen * np.log(seen * n / (row * column)), 0.0)
+
+    ratio = 2 * (part(pos, met, all_pos) + part(neg, met, all_neg) + part(all_pos - pos, n - met, all_pos) + part(all_neg - neg, n - met, all_neg))
+    return 1 + np.sqrt(np.maximum(ratio - 2 * math.log(max(len(met), 2)), 0.0))
+
+
+def alike(vectors: np.ndarray, size: int) -> np.ndarray:
+    """An order of the rows in which similar ones stand together: halved along their widest direction, again and again."""
+    done, todo = [], [np.arange(len(vectors))]
+    while todo:
+        rows = todo.pop()
+        if len(rows) <= size:
+            done.append(rows)
+            continue
+        x = vectors[rows] - vectors[rows].mean(axis=0)
+        along = np.ones(x.shape[1])
+        for _ in range(6):
+            along = x.T @ (x @ along)
+            norm = np.linalg.norm(along)
+            if norm == 0:
+                along = np.eye(1, x.shape[1])[0]
                 break
-            lo = b * BLOCK
-            score = np.zeros(min(BLOCK, len(self.ids) - lo))
-            for term, weight in zip(t, w):
-                if (p := self.postings[b].get(int(term))) is not None:
-                    score[p[0]] += weight * p[1]
-            score += own * self.rests[lo : lo + BLOCK]
-            at = np.flatnonzero(score > 0)
-            best = sorted(best + [(-score[i], int(self.ids[lo + i]), float(self.labels[lo + i])) for i in at])[: self.neighbours]
-        if self.bare_examples:
-            best = [x for x in best if -x[0] > own]
-        return [(-s, i, y) for s, i, y in best], own
-
-    def score(self, counts: dict[int, int]) -> tuple[float, list[tuple[float, int, float]]]:
-        if not counts or not len(self.ids):
-            return self.bare, []
-        key = tuple(sorted(counts.items()))
-        if key not in self.seen:
-            if len(self.seen) > 20_000:
-                self.seen.clear()
-            near, own = self.nearest(counts)
-            more = min(self.neighbours - len(near), self.bare_examples)
-            votes = sum(s for s, _, _ in near) + more * own
-            self.seen[key] = (sum(s * y for s, _, y in near) + more * own * self.bare + self.share) / (votes + 1), near
-        return self.seen[key]
-
-
-def _rows(names: list[str], kinds: list[pa.DataType], rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(names), kinds)], names=names)
-
-
-def choose_terms(sample: DataFrame, bound: int = TERMS) -> list[str]:
-    """The terms that go with the label; their counts are summed by Spark and only the chosen reach the driver."""
+            along /= norm
+        half = len(rows) // 2 // size * size or size
+        rows = rows[np.argsort(x @ along, kind="stable")]
+        todo += [rows[half:], rows[:half]]
+    return np.concatenate(done) if done else np.zeros(0, np.int64)
+
+
+class NearestExamples:
+    """Exact cosine neighbours among examples given as (example, term, count) entries, ordered by example and term."""
+
+    def __init__(self, weight: np.ndarray, ids: np.ndarray, labels: np.ndarray, example: np.ndarray, term: np.ndarray, count: np.ndarray, neighbours: int = NEIGHBOURS):
+        self.weight, self.neighbours, n = weight, neighbours, len(ids)
+        value = (1 + np.log(count)) * weight[term]
+        norm = np.sqrt(np.bincount(example, weights=value**2, minlength=n))
+        value = value / norm[example]
+        # A sketch of each example, by which similar ones come into one block.
+        sketch = np.zeros((n, 32))
+        mixed = term * 0x9E3779B1 & 0xFFFFFFFF
+        np.add.at(sketch, (example, mixed >> 27), value * np.where(mixed >> 26 & 1, 1.0, -1.0))
+        order = alike(sketch, BLOCK)
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        self.ids, self.labels = ids[order].astype(np.int64), labels[order].astype(np.float64)
+        example = place[example]
+        by = np.lexsort((example, term))
+        self.postings = example[by].astype(np.int32), value[by], np.searchsorted(term[by], np.arange(len(weight) + 1))
+        self.share = float(self.labels.mean()) if n else 0.5
+        self._prepare()
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k not in ("row", "dense", "most", "held")}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self._prepare()
+
+    def _prepare(self) -> None:
+        """Dense rows and block maxima of the frequent terms; lists of the others."""
+        example, value, start = self.postings
+        n = len(self.ids)
+        self.blocks = -(-n // BLOCK)
+        often = np.flatnonzero(np.diff(start) * FREQUENT >= max(n, 1))
+        self.row = np.full(len(self.weight), -1, np.int64)
+        self.row[often] = np.arange(len(often))
+        self.dense = np.zeros((self.blocks * BLOCK, len(often)))
+        for i, t in enumerate(often):
+            self.dense[example[start[t] : start[t + 1]], i] = value[start[t] : start[t + 1]]
+        self.most = self.dense.reshape(self.blocks, BLOCK, len(often)).max(axis=1).T.copy() if n else np.zeros((len(often), 0))
+        self.held = example.astype(np.intp)
+
+    def vector(self, t: np.ndarray, n: np.ndarray) -> np.ndarray:
+        w = (1 + np.log(n)) * self.weight[t]
+        return w / np.sqrt((w**2).sum())
+
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(cosines, places of the examples) for each query (terms, counts), nearest first; without: ids that don't count."""
+        out = []
+        for lo in range(0, len(queries), TOGETHER):
+            some = queries[lo : lo + TOGETHER]
+            heavy = np.zeros((len(some), self.dense.shape[1]))
+            light = []
+            for i, (t, n) in enumerate(some):
+                if not len(t):
+                    light.append((t, n))
+                    continue
+                w, row = self.vector(t, n), self.row[t]
+                heavy[i, row[row >= 0]] = w[row >= 0]
+                light.append((t[row < 0], w[row < 0]))
+            bounds = heavy @ self.most
+            for i, (t, w) in enumerate(light):
+                skip = without[lo + i] if without else None
+                out.append(self._best(t, w, heavy[i], bounds[i], skip) if len(some[i][0]) and len(self.ids) else (np.zeros(0), np.zeros(0, np.int64)))
+        return out
+
+    def _best(self, t: np.ndarray, w: np.ndarray, heavy: np.ndarray, bounds: np.ndarray, skip: int | None) -> tuple[np.ndarray, np.ndarray]:
+        value, start = self.postings[1], self.postings[2]
+        begin, end = start[t], start[t + 1]
+        size = self.blocks * BLOCK
+        if len(t):
+            spans = [slice(a, b) for a, b in zip(begin.tolist(), end.tolist())]
+            weights = np.concatenate([value[s] for s in spans])
+            weights *= np.repeat(w, end - begin)
+            part = np.bincount(np.concatenate([self.held[s] for s in spans]), weights, size)
+        else:
+            part = np.zeros(size)
+        some = np.flatnonzero(heavy)
+        heavy = heavy[some]
+
+        def whole(rows: np.ndarray) -> np.ndarray:
+            return part[rows] + self.dense[rows[:, None], some] @ heavy
+
+        k = min(self.neighbours + (skip is not None), size)
+        limit = part.reshape(self.blocks, BLOCK).max(axis=1) + bounds
+        # The blocks that promise most give the k-th cosine that all others have to reach.
+        first = np.argpartition(-limit, min(2 * k, self.blocks) - 1)[: 2 * k]
+        rows = (first[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+        least = np.partition(whole(rows), len(rows) - k)[len(rows) - k] - 1e-12
+        blocks = np.flatnonzero(limit >= least)
+        rows = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+        rows = rows[(part[rows] + np.repeat(bounds[blocks], BLOCK) >= least) & (rows < len(self.ids))]
+        score = whole(rows)
+        keep = (score >= least) & (score > 0)
+        if skip is not None:
+            keep &= self.ids[rows] != skip
+        rows, score = rows[keep], score[keep]
+        best = np.lexsort((self.ids[rows], -score))[: self.neighbours]
+        return score[best], rows[best]
+
+    def votes(self, near: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Share of the label in the neighbours' votes."""
+        out = np.empty(len(near))
+        for i, (cosine, rows) in enumerate(near):
+            weight = cosine**2 / np.maximum(1 - cosine + NEAR, NEAR)
+            out[i] = (weight @ self.labels[rows] + PRIOR * self.share) / (weight.sum() + PRIOR)
+        return out
+
+
+def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of the logistic curve through smoothed labels (so it stays finite where they part cleanly)."""
+    pos, neg = y.sum(), (1 - y).sum()
+    if not pos or not neg:
+        return 0.0, math.log((pos + 1) / (neg + 1))
+    target = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
+    form, at = np.stack([x, np.ones(len(x))], axis=1), np.array([0.0, math.log((pos + 1) / (neg + 1))])
+
+    def loss(at: np.ndarray) -> float:
+        z = form @ at
+        return float((np.logaddexp(0, z) - target * z).sum())
+
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-form @ at))
+        slope = form.T @ (p - target)
+        step = np.linalg.solve(form.T @ (form * (p * (1 - p))[:, None]) + 1e-9 * np.eye(2), slope)
+        size = 1.0
+        while size > 1e-6 and loss(at - size * step) > loss(at):
+            size /= 2
+        at = at - size * step
+        if np.abs(size * step).max() < 1e-8:
+            break
+    return float(at[0]), float(at[1])
+
+
+class ToxicityModel:
+    """Vocabulary, examples and the curve from votes to scores; kind 0: no labels, 1: one kind of label, 2: both."""
+
+    def __init__(self, words: Vocabulary, near: NearestExamples, kinds: int, curve: tuple[float, float] = (0.0, 0.0)):
+        self.words, self.near, self.kinds, self.curve = words, near, kinds, curve
+
+    def judge(self, some: list[str], without: list[int] | None = None) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """Scores and neighbours of texts."""
+        near = self.near.nearest([self.words.count(t) for t in some], without)
+        z = self.curve[0] * self.near.votes(near) + self.curve[1]
+        return 1 / (1 + np.exp(-z)), near
+
+
+COUNTED = pa.schema([("word", pa.string()), ("neg", pa.int64()), ("pos", pa.int64())])
+HELD = pa.schema([("id", pa.int64()), ("y", pa.int32()), ("t", pa.list_(pa.int32())), ("n", pa.list_(pa.int32()))])
+
+
+def document_frequencies(docs: DataFrame, words: Vocabulary) -> np.ndarray:
+    """In how many documents each word stands; the last entry is the number of documents."""
+    shared, size = docs.sparkSession.sparkContext.broadcast(words), len(words.words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get, df = shared.value.number.get, np.zeros(size + 2, np.int64)
         for batch in batches:
-            n = [Counter(), Counter()]
-            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                n[1 if y > 0 else 0].update(terms_of(set(_WORD.findall(text.lower()))))
-            yield _rows(["term", "neg", "pos"], [pa.string(), pa.int64(), pa.int64()], [(t, n[0][t], n[1][t]) for t in n[0].keys() | n[1].keys()])
+            found: list[int] = []
+            for text in batch.column(0).to_pylist():
+                found += map(get, set(words_of(text)), repeat(size + 1))
+            df += np.bincount(np.array(found, np.int64), minlength=size + 2)
+            df[size] += batch.num_rows
+        df[size + 1] = 0  # words that no example holds
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(df[at])], names=["t", "n"])
 
-    size = {r["p"]: r["n"] for r in sample.groupBy((F.col("y") > 0).alias("p")).agg(F.count("*").alias("n")).collect()}
-    neg, pos = size.get(False, 0), size.get(True, 0)
-    if not neg or not pos:
-        return []
-    counts = sample.select("text", "y").mapInArrow(run, "term string, neg long, pos long").groupBy("term").agg(F.sum("neg").cast("double").alias("neg"), F.sum("pos").cast("double").alias("pos"))
-    met, n = F.col("neg") + F.col("pos"), float(neg + pos)
+    small_batches(docs.sparkSession)
+    counted = texts(docs).select("text").mapInArrow(run, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(size + 1, np.int64)
+    df[counted.column("t").to_numpy()] = counted.column("n").to_numpy()
+    return df
 
-    def part(seen, row, column):  # observed * ln(observed / expected)
-        return F.when(seen > 0, seen * F.log(seen * n / (row * column))).otherwise(0.0)
 
-    ratio = 2 * (part(F.col("pos"), met, F.lit(float(pos))) + part(F.col("neg"), met, F.lit(float(neg))) + part(pos - F.col("pos"), n - met, F.lit(float(pos))) + part(neg - F.col("neg"), n - met, F.lit(float(neg))))
-    counts = counts.withColumn("g", ratio).where((F.col("pos") / pos) > (F.col("neg") / neg))
-    every = counts.agg(F.count("*").alias("n")).collect()[0]["n"]
-    best = counts.where(F.col("g") > 2 * math.log(max(every, 2)) + 2).orderBy(F.desc("g"), "term").limit(bound)
-    return sorted(r["term"] for r in best.select("term").collect())
+def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", bound: int = BOUND) -> ToxicityModel:
+    """What reaches the driver is the terms and counts of at most bound examples, and a count for each of their words."""
+    small_batches(docs.sparkSession)
+    sample = labelled_sample(docs, labels, target, bound).select("doc_id", "text", "y")
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = [Counter(), Counter()]
+        for batch in batches:
+            for text, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                n[y > 0].update(set(words_of(text)))
+        met = list(n[0].keys() | n[1].keys())
+        yield pa.RecordBatch.from_pydict({"word": met, "neg": [n[0][w] for w in met], "pos": [n[1][w] for w in met]}, schema=COUNTED)
 
-def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", bound: int = BOUND) -> tuple[Terms, NearestExamples]:
-    small_batches(docs.sparkSession)
-    sample = labelled_sample(docs, labels, target, bound)
-    chosen = choose_terms(sample)
-    terms = Terms(chosen)
+    counted = sample.mapInArrow(count, "word string, neg long, pos long").groupBy("word").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos")).toArrow().sort_by("word")
+    words = Vocabulary(counted.column("word").to_pylist())
+    shared = docs.sparkSession.sparkContext.broadcast(words)
 
-    def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bare = Counter()
+    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc_id, text, y in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                found = terms.count(text)
-                if found:
-                    rows.append((doc_id, min(max(y, 0), 1), list(found), list(found.values())))
-                else:
-                    bare[1 if y > 0 else 0] += 1
-            yield _rows(["id", "y", "t", "n"], [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())], rows)
-        yield _rows(["id", "y", "t", "n"], [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())], [(None, y, [], [n]) for y, n in bare.items()])
-
-    # At most bound rows of a few terms each, and two counts a task.
-    rows = sample.select("doc_id", "text", "y").mapInArrow(examples, "id long, y int, t array<int>, n array<int>").collect()
-    bare = [sum(r["n"][0] for r in rows if r["id"] is None and r["y"] == y) for y in (0, 1)]
-    held = sorted((r for r in rows if r["id"] is not None), key=lambda r: r["id"])
-
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = Counter(), 0
+            found = [shared.value.count(t) for t in batch.column(1).to_pylist()]
+            y = np.array(batch.column(2).to_pylist(), np.int64) > 0
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(y.astype(np.int32)), pa.array([t for t, _ in found], HELD.field("t").type), pa.array([n for _, n in found], HELD.field("n").type)], schema=HELD)
+
+    held = sample.mapInArrow(terms, "id long, y int, t array<int>, n array<int>").toArrow().sort_by("id").combine_chunks()
+    labelled = held.column("y").to_numpy()
+    pos, neg = int((labelled > 0).sum()), int((labelled == 0).sum())
+    lists = [held.column(c).combine_chunks() if held.num_rows else pa.array([[]], HELD.field(c).type) for c in ("t", "n")]
+    example = np.repeat(np.arange(held.num_rows), lists[0].value_lengths().to_numpy()) if held.num_rows else np.zeros(0, np.int64)
+    df = document_frequencies(docs, words) if len(words.words) else np.zeros(1, np.int64)
+    idf = np.log(1 + (df[-1] + 1) / (df[:-1] + 1))
+    weight = idf * label_weight(counted.column("pos").to_numpy().astype(np.float64), counted.column("neg").to_numpy().astype(np.float64), pos, neg)
+    near = NearestExamples(weight, held.column("id").to_numpy(), labelled, example, lists[0].flatten().to_numpy().astype(np.int64), lists[1].flatten().to_numpy().astype(np.float64))
+    if not (pos and neg):
+        return ToxicityModel(words, near, int(bool(pos or neg)), (0.0, math.log((pos + 1) / (neg + 1))))
+    return calibrate(sample, ToxicityModel(words, near, 2))
+
+
+def calibrate(sample: DataFrame, model: ToxicityModel, examples: int = CURVE) -> ToxicityModel:
+    """The curve from votes to scores, fitted on at most so many examples (by id hashes), each judged by the others."""
+    shared = sample.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                df.update(terms.count(text).keys())
-                n += 1
-        yield _rows(["t", "n"], [pa.int32(), pa.int64()], [*df.items(), (-1, n)])
+            m = shared.value
+            near = m.near.nearest([m.words.count(t) for t in batch.column(1).to_pylist()], batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(m.near.votes(near)), batch.column(2)], names=["id", "v", "y"])
 
-    df = {r["t"]: r["n"] for r in texts(docs).select("text").mapInArrow(frequencies, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).collect()} if chosen else {}
-    idf = np.array([math.log(1 + (df.get(-1, 0) + 1) / (df.get(t, 0) + 1)) for t in range(len(chosen))])
-    return terms, NearestExamples(idf, [r["id"] for r in held], [r["y"] for r in held], [dict(zip(r["t"], r["n"])) for r in held], (sum(bare), bare[1]))
+    some = sample.orderBy(F.xxhash64(F.lit("curve"), "doc_id"), "doc_id").limit(examples).repartition(8, "doc_id")
+    judged = some.mapInArrow(run, "id long, v double, y int").toArrow().sort_by("id")
+    return ToxicityModel(model.words, model.near, model.kinds, logistic(judged.column("v").to_numpy(), (judged.column("y").to_numpy() > 0).astype(np.float64)))
 
 
-def score_documents(docs: DataFrame, model: tuple[Terms, NearestExamples], threshold: float = THRESHOLD) -> DataFrame:
+def score_documents(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted, and the nearest examples with their cosines and labels."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most BOUND examples of a few terms
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most BOUND whole texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, near = shared.value
+        m = shared.value
         for batch in batches:
-            rows = [near.score(terms.count(t)) for t in batch.column(1).to_pylist()]
-            score = np.array([s for s, _ in rows], dtype=np.float64)
-            evidence = pa.array([",".join(f"{i}:{s:.3f}:{int(y)}" for s, i, y in e[:3]) for _, e in rows], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(score), pa.array((score >= threshold).astype(np.int32)), evidence], names=["doc_id", "held_out", "score", "predicted", "evidence"])
+            score, near = m.judge(batch.column(1).to_pylist())
+            evidence = [",".join(f"{m.near.ids[r]}:{s:.3f}:{int(m.near.labels[r])}" for s, r in zip(cosine[:3], rows[:3])) for cosine, rows in near]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(score), pa.array((score >= threshold).astype(np.int32)), pa.array(evidence, pa.string())], names=["doc_id", "held_out", "score", "predicted", "evidence"])
 
     small_batches(docs.sparkSession)
     return texts(docs, held_out().alias("held_out")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, evidence string")
@@ -223,17 +357,16 @@ def score_documents(docs: DataFrame, model: tuple[Terms, NearestExamples], thres
 def keep_accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, target: str = "toxic") -> DataFrame:
     """docs without the rows whose score reaches the threshold; all columns as they are.
 
-    Where there are no labelled rows, nothing is known and all rows stay.
+    Where the labelled rows aren't of both kinds, nothing is known and all rows stay.
     """
-    terms, near = fit(docs, labels, target)
-    if not terms.number:
+    model = fit(docs, labels, target)
+    if model.kinds < 2:
         return docs
-    shared, at = docs.sparkSession.sparkContext.broadcast((terms, near)), docs.columns.index("text")
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, near = shared.value
         for batch in batches:
-            score = np.array([near.score(terms.count(t or ""))[0] for t in batch.column(at).to_pylist()], dtype=np.float64)
+            score, _ = shared.value.judge([t or "" for t in batch.column(at).to_pylist()])
             yield batch.filter(pa.array(score < threshold))
 
     return docs.mapInArrow(run, docs.schema)
