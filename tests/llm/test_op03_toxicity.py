@@ -34,7 +34,7 @@ def test_blocks_give_the_exact_neighbours():
 
     counts = [some() for _ in range(501)]
     near = NearestExamples(weight, np.arange(501), np.arange(501) % 2, *entries(counts))
-    assert 0 < near.dense.shape[1] < 60
+    assert 0 < near.frequent[1].shape[1] < 60
 
     def dense(c):
         v = np.zeros(60)

@@ -26,10 +26,12 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -113,47 +115,56 @@ def alike(vectors: np.ndarray, size: int) -> np.ndarray:
 
 
 class NearestExamples:
-    """Exact cosine neighbours among examples given as (example, term, count) entries, ordered by example and term."""
+    """Exact cosine neighbours among examples given as (example, term, count) entries, ordered by example.
+
+    Only what can't be worked out again is sent to the workers; each prepares lists and maxima once.
+    """
 
     def __init__(self, weight: np.ndarray, ids: np.ndarray, labels: np.ndarray, example: np.ndarray, term: np.ndarray, count: np.ndarray, neighbours: int = NEIGHBOURS):
         self.weight, self.neighbours, n = weight, neighbours, len(ids)
-        value = (1 + np.log(count)) * weight[term]
-        norm = np.sqrt(np.bincount(example, weights=value**2, minlength=n))
-        value = value / norm[example]
         # A sketch of each example, by which similar ones come into one block.
-        sketch = np.zeros((n, 32))
-        mixed = term * 0x9E3779B1 & 0xFFFFFFFF
-        np.add.at(sketch, (example, mixed >> 27), value * np.where(mixed >> 26 & 1, 1.0, -1.0))
-        order = alike(sketch, BLOCK)
+        norm, sketch = np.zeros(n), np.zeros(n * 32)
+        for lo in range(0, len(term), 1 << 20):
+            at, t = example[lo : lo + (1 << 20)], term[lo : lo + (1 << 20)].astype(np.int64)
+            value = (1 + np.log(count[lo : lo + (1 << 20)])) * weight[t]
+            norm += np.bincount(at, weights=value**2, minlength=n)
+            mixed = t * 0x9E3779B1 & 0xFFFFFFFF
+            sketch += np.bincount(at.astype(np.int64) * 32 + (mixed >> 27), weights=value * np.where(mixed >> 26 & 1, 1.0, -1.0), minlength=n * 32)
+        self.norm = np.sqrt(norm)
+        order = alike(sketch.reshape(n, 32) / np.where(norm > 0, self.norm, 1)[:, None], BLOCK)
         place = np.empty(n, np.int64)
         place[order] = np.arange(n)
-        self.ids, self.labels = ids[order].astype(np.int64), labels[order].astype(np.float64)
-        example = place[example]
-        by = np.lexsort((example, term))
-        self.postings = example[by].astype(np.int32), value[by], np.searchsorted(term[by], np.arange(len(weight) + 1))
+        self.ids, self.labels, self.norm = ids[order].astype(np.int64), labels[order].astype(np.float64), self.norm[order]
+        by = np.argsort(term.astype(np.int64) * n + place[example])
+        self.entries = place[example[by]].astype(np.min_scalar_type(max(n, 1))), count[by].astype(np.min_scalar_type(int(count.max()) if len(count) else 1))
+        self.start = np.searchsorted(term[by], np.arange(len(weight) + 1))
         self.share = float(self.labels.mean()) if n else 0.5
-        self._prepare()
 
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("row", "dense", "most", "held")}
-
-    def __setstate__(self, state):
-        self.__dict__.update(state)
-        self._prepare()
-
-    def _prepare(self) -> None:
-        """Dense rows and block maxima of the frequent terms; lists of the others."""
-        example, value, start = self.postings
-        n = len(self.ids)
-        self.blocks = -(-n // BLOCK)
+    @cached_property
+    def postings(self) -> tuple[np.ndarray, np.ndarray]:
+        """Examples and weights of each term's list."""
+        held = self.entries[0].astype(np.intp)
+        value = (1 + np.log(self.entries[1].astype(np.float64))) * np.repeat(self.weight, np.diff(self.start)) / self.norm[held]
+        return held, value
+
+    @cached_property
+    def blocks(self) -> int:
+        return -(-len(self.ids) // BLOCK)
+
+    @cached_property
+    def frequent(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row of each frequent term (-1: rare), their weights by example, their largest weights by block."""
+        (held, value), start, n = self.postings, self.start, len(self.ids)
         often = np.flatnonzero(np.diff(start) * FREQUENT >= max(n, 1))
-        self.row = np.full(len(self.weight), -1, np.int64)
-        self.row[often] = np.arange(len(often))
-        self.dense = np.zeros((self.blocks * BLOCK, len(often)))
+        row = np.full(len(self.weight), -1, np.int64)
+        row[often] = np.arange(len(often))
+        dense = np.zeros((self.blocks * BLOCK, len(often)))
         for i, t in enumerate(often):
-            self.dense[example[start[t] : start[t + 1]], i] = value[start[t] : start[t + 1]]
-        self.most = self.dense.reshape(self.blocks, BLOCK, len(often)).max(axis=1).T.copy() if n else np.zeros((len(often), 0))
-        self.held = example.astype(np.intp)
+            dense[held[start[t] : start[t + 1]], i] = value[start[t] : start[t + 1]]
+        return row, dense, dense.reshape(self.blocks, BLOCK, len(often)).max(axis=1, initial=0.0).T.copy()
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k not in ("postings", "frequent", "blocks")}
 
     def vector(self, t: np.ndarray, n: np.ndarray) -> np.ndarray:
         w = (1 + np.log(n)) * self.weight[t]
@@ -162,39 +173,40 @@ class NearestExamples:
     def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """(cosines, places of the examples) for each query (terms, counts), nearest first; without: ids that don't count."""
         out = []
+        of, dense, most = self.frequent
         for lo in range(0, len(queries), TOGETHER):
             some = queries[lo : lo + TOGETHER]
-            heavy = np.zeros((len(some), self.dense.shape[1]))
+            heavy = np.zeros((len(some), dense.shape[1]))
             light = []
             for i, (t, n) in enumerate(some):
                 if not len(t):
                     light.append((t, n))
                     continue
-                w, row = self.vector(t, n), self.row[t]
+                w, row = self.vector(t, n), of[t]
                 heavy[i, row[row >= 0]] = w[row >= 0]
                 light.append((t[row < 0], w[row < 0]))
-            bounds = heavy @ self.most
+            bounds = heavy @ most
             for i, (t, w) in enumerate(light):
                 skip = without[lo + i] if without else None
                 out.append(self._best(t, w, heavy[i], bounds[i], skip) if len(some[i][0]) and len(self.ids) else (np.zeros(0), np.zeros(0, np.int64)))
         return out
 
     def _best(self, t: np.ndarray, w: np.ndarray, heavy: np.ndarray, bounds: np.ndarray, skip: int | None) -> tuple[np.ndarray, np.ndarray]:
-        value, start = self.postings[1], self.postings[2]
+        (held, value), start, dense = self.postings, self.start, self.frequent[1]
         begin, end = start[t], start[t + 1]
         size = self.blocks * BLOCK
         if len(t):
             spans = [slice(a, b) for a, b in zip(begin.tolist(), end.tolist())]
             weights = np.concatenate([value[s] for s in spans])
             weights *= np.repeat(w, end - begin)
-            part = np.bincount(np.concatenate([self.held[s] for s in spans]), weights, size)
+            part = np.bincount(np.concatenate([held[s] for s in spans]), weights, size)
         else:
             part = np.zeros(size)
         some = np.flatnonzero(heavy)
         heavy = heavy[some]
 
         def whole(rows: np.ndarray) -> np.ndarray:
-            return part[rows] + self.dense[rows[:, None], some] @ heavy
+            return part[rows] + dense[rows[:, None], some] @ heavy
 
         k = min(self.neighbours + (skip is not None), size)
         limit = part.reshape(self.blocks, BLOCK).max(axis=1) + bounds
@@ -248,25 +260,27 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 class ToxicityModel:
-    """Vocabulary, examples and the curve from votes to scores; kind 0: no labels, 1: one kind of label, 2: both."""
+    """Vocabulary and examples (a broadcast pair) and the curve from votes to scores.
+
+    kinds is 0 without labels, 1 where they are all of one kind, else 2.
+    """
 
-    def __init__(self, words: Vocabulary, near: NearestExamples, kinds: int, curve: tuple[float, float] = (0.0, 0.0)):
-        self.words, self.near, self.kinds, self.curve = words, near, kinds, curve
+    def __init__(self, shared: Broadcast, kinds: int, curve: tuple[float, float]):
+        self.shared, self.kinds, self.curve = shared, kinds, curve
 
-    def judge(self, some: list[str], without: list[int] | None = None) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    def judge(self, some: list[str]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
         """Scores and neighbours of texts."""
-        near = self.near.nearest([self.words.count(t) for t in some], without)
-        z = self.curve[0] * self.near.votes(near) + self.curve[1]
-        return 1 / (1 + np.exp(-z)), near
+        words, examples = self.shared.value
+        near = examples.nearest([words.count(t) for t in some])
+        return 1 / (1 + np.exp(-(self.curve[0] * examples.votes(near) + self.curve[1]))), near
 
 
 COUNTED = pa.schema([("word", pa.string()), ("neg", pa.int64()), ("pos", pa.int64())])
 HELD = pa.schema([("id", pa.int64()), ("y", pa.int32()), ("t", pa.list_(pa.int32())), ("n", pa.list_(pa.int32()))])
 
 
-def document_frequencies(docs: DataFrame, words: Vocabulary) -> np.ndarray:
-    """In how many documents each word stands; the last entry is the number of documents."""
-    shared, size = docs.sparkSession.sparkContext.broadcast(words), len(words.words)
+def document_frequencies(docs: DataFrame, shared: Broadcast, size: int) -> np.ndarray:
+    """In how many documents each word of the (broadcast) vocabulary stands; the last entry is the number of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get, df = shared.value.number.get, np.zeros(size + 2, np.int64)
@@ -311,43 +325,42 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", bound: int =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(y.astype(np.int32)), pa.array([t for t, _ in found], HELD.field("t").type), pa.array([n for _, n in found], HELD.field("n").type)], schema=HELD)
 
     held = sample.mapInArrow(terms, "id long, y int, t array<int>, n array<int>").toArrow().sort_by("id").combine_chunks()
+    df = document_frequencies(docs, shared, len(words.words)) if len(words.words) else np.zeros(1, np.int64)
+    shared.unpersist()
     labelled = held.column("y").to_numpy()
     pos, neg = int((labelled > 0).sum()), int((labelled == 0).sum())
-    lists = [held.column(c).combine_chunks() if held.num_rows else pa.array([[]], HELD.field(c).type) for c in ("t", "n")]
-    example = np.repeat(np.arange(held.num_rows), lists[0].value_lengths().to_numpy()) if held.num_rows else np.zeros(0, np.int64)
-    df = document_frequencies(docs, words) if len(words.words) else np.zeros(1, np.int64)
-    idf = np.log(1 + (df[-1] + 1) / (df[:-1] + 1))
-    weight = idf * label_weight(counted.column("pos").to_numpy().astype(np.float64), counted.column("neg").to_numpy().astype(np.float64), pos, neg)
-    near = NearestExamples(weight, held.column("id").to_numpy(), labelled, example, lists[0].flatten().to_numpy().astype(np.int64), lists[1].flatten().to_numpy().astype(np.float64))
+    weight = np.log(1 + (df[-1] + 1) / (df[:-1] + 1)) * label_weight(counted.column("pos").to_numpy().astype(np.float64), counted.column("neg").to_numpy().astype(np.float64), pos, neg)
+    term, count = (held.column(c).combine_chunks() if held.num_rows else pa.array([], HELD.field(c).type) for c in ("t", "n"))
+    example = np.repeat(np.arange(held.num_rows, dtype=np.int32), term.value_lengths().to_numpy()) if held.num_rows else np.zeros(0, np.int32)
+    near = NearestExamples(weight, held.column("id").to_numpy(), labelled, example, term.flatten().to_numpy(), count.flatten().to_numpy())
+    shared = docs.sparkSession.sparkContext.broadcast((words, near))  # at most bound whole texts' terms
     if not (pos and neg):
-        return ToxicityModel(words, near, int(bool(pos or neg)), (0.0, math.log((pos + 1) / (neg + 1))))
-    return calibrate(sample, ToxicityModel(words, near, 2))
+        return ToxicityModel(shared, int(bool(pos or neg)), (0.0, math.log((pos + 1) / (neg + 1))))
+    return ToxicityModel(shared, 2, fit_curve(sample, shared))
 
 
-def calibrate(sample: DataFrame, model: ToxicityModel, examples: int = CURVE) -> ToxicityModel:
+def fit_curve(sample: DataFrame, shared: Broadcast, examples: int = CURVE) -> tuple[float, float]:
     """The curve from votes to scores, fitted on at most so many examples (by id hashes), each judged by the others."""
-    shared = sample.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, near = shared.value
         for batch in batches:
-            m = shared.value
-            near = m.near.nearest([m.words.count(t) for t in batch.column(1).to_pylist()], batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(m.near.votes(near)), batch.column(2)], names=["id", "v", "y"])
+            found = near.nearest([words.count(t) for t in batch.column(1).to_pylist()], batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(near.votes(found)), batch.column(2)], names=["id", "v", "y"])
 
     some = sample.orderBy(F.xxhash64(F.lit("curve"), "doc_id"), "doc_id").limit(examples).repartition(8, "doc_id")
     judged = some.mapInArrow(run, "id long, v double, y int").toArrow().sort_by("id")
-    return ToxicityModel(model.words, model.near, model.kinds, logistic(judged.column("v").to_numpy(), (judged.column("y").to_numpy() > 0).astype(np.float64)))
+    return logistic(judged.column("v").to_numpy(), (judged.column("y").to_numpy() > 0).astype(np.float64))
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted, and the nearest examples with their cosines and labels."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most BOUND whole texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        examples = model.shared.value[1]
         for batch in batches:
-            score, near = m.judge(batch.column(1).to_pylist())
-            evidence = [",".join(f"{m.near.ids[r]}:{s:.3f}:{int(m.near.labels[r])}" for s, r in zip(cosine[:3], rows[:3])) for cosine, rows in near]
+            score, near = model.judge(batch.column(1).to_pylist())
+            evidence = [",".join(f"{examples.ids[r]}:{s:.3f}:{int(examples.labels[r])}" for s, r in zip(cosine[:3], rows[:3])) for cosine, rows in near]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(score), pa.array((score >= threshold).astype(np.int32)), pa.array(evidence, pa.string())], names=["doc_id", "held_out", "score", "predicted", "evidence"])
 
     small_batches(docs.sparkSession)
@@ -362,11 +375,11 @@ def keep_accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     model = fit(docs, labels, target)
     if model.kinds < 2:
         return docs
-    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score, _ = shared.value.judge([t or "" for t in batch.column(at).to_pylist()])
+            score, _ = model.judge([t or "" for t in batch.column(at).to_pylist()])
             yield batch.filter(pa.array(score < threshold))
 
     return docs.mapInArrow(run, docs.schema)
