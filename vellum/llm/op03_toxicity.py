@@ -26,7 +26,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import cached_property
+from functools import cached_property, reduce
 from itertools import repeat
 
 import numpy as np
@@ -39,8 +39,8 @@ from vellum.llm.common import held_out, labelled_sample, small_batches, table, t
 
 #: Labelled examples, neighbours, examples a block, threshold of the prediction.
 BOUND, NEIGHBOURS, BLOCK, THRESHOLD = 20_000, 15, 4, 0.5
-#: A term of one in so many examples is frequent; queries scored together.
-FREQUENT, TOGETHER = 12, 64
+#: A term of one in so many examples is frequent; entries of a short list; queries scored together.
+FREQUENT, SHORT, TOGETHER = 12, 128, 64
 #: A vote's weight is cosine^2 / (1 - cosine + NEAR); weight of the label's share; examples that the curve is fitted on.
 NEAR, PRIOR, CURVE = 0.05, 0.01, 2_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -191,25 +191,28 @@ class NearestExamples:
                 out.append(self._best(t, w, heavy[i], bounds[i], skip) if len(some[i][0]) and len(self.ids) else (np.zeros(0), np.zeros(0, np.int64)))
         return out
 
+    def _rare(self, t: np.ndarray, w: np.ndarray, size: int) -> np.ndarray:
+        """Each example's part of the cosine from rare terms; short lists are read by their entries' numbers, long ones as slices."""
+        (held, value), begin = self.postings, self.start[t]
+        length = self.start[t + 1] - begin
+        short = length <= SHORT
+        n = length[short]
+        at = np.repeat(begin[short] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        long = [slice(a, a + k) for a, k in zip(begin[~short].tolist(), length[~short].tolist())]
+        examples = np.concatenate([held[at], *(held[s] for s in long)])
+        weights = np.concatenate([value[at], *(value[s] for s in long)])
+        weights *= np.concatenate([np.repeat(w[short], n), np.repeat(w[~short], length[~short])])
+        return np.bincount(examples, weights, size)
+
     def _best(self, t: np.ndarray, w: np.ndarray, heavy: np.ndarray, bounds: np.ndarray, skip: int | None) -> tuple[np.ndarray, np.ndarray]:
-        (held, value), start, dense = self.postings, self.start, self.frequent[1]
-        begin, end = start[t], start[t + 1]
-        size = self.blocks * BLOCK
-        if len(t):
-            spans = [slice(a, b) for a, b in zip(begin.tolist(), end.tolist())]
-            weights = np.concatenate([value[s] for s in spans])
-            weights *= np.repeat(w, end - begin)
-            part = np.bincount(np.concatenate([held[s] for s in spans]), weights, size)
-        else:
-            part = np.zeros(size)
-        some = np.flatnonzero(heavy)
-        heavy = heavy[some]
+        dense, size = self.frequent[1], self.blocks * BLOCK
+        part = self._rare(t, w, size)
 
         def whole(rows: np.ndarray) -> np.ndarray:
-            return part[rows] + dense[rows[:, None], some] @ heavy
+            return part[rows] + dense[rows] @ heavy
 
         k = min(self.neighbours + (skip is not None), size)
-        limit = part.reshape(self.blocks, BLOCK).max(axis=1) + bounds
+        limit = reduce(np.maximum, (part[i::BLOCK] for i in range(BLOCK))) + bounds
         # The blocks that promise most give the k-th cosine that all others have to reach.
         first = np.argpartition(-limit, min(2 * k, self.blocks) - 1)[: 2 * k]
         rows = (first[:, None] * BLOCK + np.arange(BLOCK)).ravel()
@@ -271,8 +274,12 @@ class ToxicityModel:
     def judge(self, some: list[str]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
         """Scores and neighbours of texts."""
         words, examples = self.shared.value
-        near = examples.nearest([words.count(t) for t in some])
-        return 1 / (1 + np.exp(-(self.curve[0] * examples.votes(near) + self.curve[1]))), near
+        texts = list(dict.fromkeys(some))  # copies are judged once
+        near = examples.nearest([words.count(t) for t in texts])
+        place = {t: i for i, t in enumerate(texts)}
+        at = [place[t] for t in some]
+        score = 1 / (1 + np.exp(-(self.curve[0] * examples.votes(near) + self.curve[1])))
+        return score[at], [near[i] for i in at]
 
 
 COUNTED = pa.schema([("word", pa.string()), ("neg", pa.int64()), ("pos", pa.int64())])
