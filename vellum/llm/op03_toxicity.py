@@ -35,7 +35,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.common import held_out, labelled_sample, small_batches, table, texts
+from vellum.llm.common import held_out, labelled_sample, one_blas_thread, small_batches, table, texts
 
 #: Labelled examples, neighbours, examples a block, threshold of the prediction.
 BOUND, NEIGHBOURS, BLOCK, THRESHOLD = 20_000, 15, 4, 0.5
@@ -44,13 +44,17 @@ FREQUENT, SHORT, TOGETHER = 12, 128, 64
 #: A vote's weight is cosine^2 / (1 - cosine + NEAR); weight of the label's share; examples that the curve is fitted on.
 NEAR, PRIOR, CURVE = 0.05, 0.01, 2_000
 _WORD = re.compile(r"[^\W\d_]+")
-_ASCII = {c: " " for c in range(128) if not chr(c).isalpha()}
+_LATIN = bytes(c if _WORD.match(chr(c)) else 32 for c in range(256))
 
 
 def words_of(text: str) -> list[str]:
     """Runs of letters, in lower case."""
     text = text.lower()
-    return text.translate(_ASCII).split() if text.isascii() else _WORD.findall(text)
+    try:
+        plain = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return _WORD.findall(text)
+    return plain.translate(_LATIN).decode("latin-1").split()
 
 
 class Vocabulary:
@@ -172,6 +176,7 @@ class NearestExamples:
 
     def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """(cosines, places of the examples) for each query (terms, counts), nearest first; without: ids that don't count."""
+        one_blas_thread()
         out = []
         of, dense, most = self.frequent
         for lo in range(0, len(queries), TOGETHER):
