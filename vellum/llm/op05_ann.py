@@ -1,12 +1,13 @@
 """Approximate nearest neighbours by inner product: inverted lists with an adaptive dimension scan.
 
-Rows are dealt to lists by their nearest direction centre, fitted on a bounded sample; every row is
-indexed. A query visits the lists whose centres (times the list's largest norm) promise most; how
-many is set on the sample so that TARGET of the true neighbours lie there. Inside a list vectors
-are rotated at random and read in blocks of columns: after each block a test on the partial product
-(its scaled value plus DOUBT standard deviations under a random rotation) abandons candidates that
-can't reach the query's threshold. The threshold starts at the query's 20th best among the sample,
-whose rows are candidates as well. Survivors get their exact product on the original vectors.
+Rows are dealt to lists by their nearest direction centre, fitted on a bounded sample; the number of
+lists grows with the square root of the table. Every row is indexed. A query visits the lists whose
+centres (times the list's largest norm) promise most; how many is set on the sample so that TARGET
+of the true neighbours lie there. The most promising list comes first and gives a threshold, with
+which the others start. Inside a list vectors are rotated at random and read in blocks of columns:
+after each block a test on the partial product (its scaled value plus DOUBT standard deviations
+under a random rotation) abandons candidates that can't reach the query's threshold, and the
+threshold rises as nearer rows turn up. Survivors get their exact product on the original vectors.
 
 Lists and query sets beyond BLOCK rows are dealt in pairs of blocks, so no group grows without
 bound. Defined cases: vectors that are null, zero, hold null or non-finite components, or have
@@ -24,11 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.common import materialize, table
+from vellum.llm.common import materialize, one_blas_thread, table
 
 #: Neighbours; rows to fit on; share of true neighbours that the visited lists hold on the sample.
-K, BOUND, TARGET = 20, 8_192, 0.97
-MOST_LISTS, BLOCK, COLUMNS, DOUBT = 4_096, 4_096, 16, 3.0
+K, BOUND, TARGET = 20, 32_768, 0.97
+#: Sample rows a list (at least), rows of a block, rows between two rises of the threshold.
+ROWS_A_LIST, BLOCK, CHUNK = 16, 4_096, 1_024
+#: Columns read between two tests, standard deviations that a test allows.
+COLUMNS, DOUBT = 16, 3.0
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -59,7 +63,7 @@ class Lists:
         self.k, self.ids, self.x, dim = k, ids, x, x.shape[1]
         self.rotation = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
         unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-        lists = max(1, min(int(rows**0.5), MOST_LISTS, len(x) // 16))
+        lists = max(1, min(int(rows**0.5), len(x) // ROWS_A_LIST))
         centres = unit[rng.permutation(len(unit))[:lists]]
         for _ in range(8):
             of = (unit @ centres.T).argmax(axis=1)
@@ -104,41 +108,52 @@ class Lists:
             self.probes = int(ranks[min(len(ranks) - 1, int(np.ceil(target * len(ranks))))]) + 1
 
 
+def best_of(qi: np.ndarray, xi: np.ndarray, score: np.ndarray, x_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each query's k best distinct ids, by query, falling score and rising id."""
+    order = np.lexsort((x_ids[xi], -score, qi))
+    qi, xi, score = qi[order], xi[order], score[order]
+    by = np.lexsort((np.arange(len(qi)), x_ids[xi], qi))
+    again = by[1:][(qi[by][1:] == qi[by][:-1]) & (x_ids[xi[by]][1:] == x_ids[xi[by]][:-1])]
+    if len(again):  # an id with several vectors counts once, with its best
+        qi, xi, score = (np.delete(c, again) for c in (qi, xi, score))
+    first = np.r_[True, qi[1:] != qi[:-1]] if len(qi) else np.zeros(0, bool)
+    nth = np.arange(len(qi)) - np.maximum.accumulate(np.where(first, np.arange(len(qi)), 0))
+    return qi[nth < k], xi[nth < k], score[nth < k]
+
+
 def scan(queries: np.ndarray, ids: np.ndarray, floor: np.ndarray, x: np.ndarray, x_ids: np.ndarray, rotation: np.ndarray, k: int = K, doubt: float = DOUBT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query id, vec id, product) of each query's k best in x that aren't abandoned."""
+    one_blas_thread()
     dim = x.shape[1]
     qr, xr = queries @ rotation, x @ rotation
-    norms, own = np.linalg.norm(x, axis=1), np.linalg.norm(queries, axis=1)
+    norms, own, floor = np.linalg.norm(x, axis=1), np.linalg.norm(queries, axis=1), floor.copy()
     out: list[tuple] = []
     for lo in range(0, len(queries), 128):
         rows = slice(lo, lo + 128)
-        done = min(COLUMNS, dim)
-        partial = qr[rows, :done] @ xr[:, :done].T
-        # Under a random rotation the scaled partial product strays by about |q||x| / sqrt(done).
-        stray = doubt * np.sqrt((1 - done / dim) / done)
-        qi, xi = np.nonzero(partial * (dim / done) + stray * own[rows, None] * norms >= floor[rows, None])
-        value = partial[qi, xi]
-        qi = qi + lo
-        while done < dim:
-            until = min(done + COLUMNS, dim)
-            value = value + exact(qr[qi, done:until], xr[xi, done:until])
-            done = until
-            stray = doubt * np.sqrt((1 - done / dim) / done)
-            keep = value * (dim / done) + stray * own[qi] * norms[xi] >= floor[qi] - 1e-9 * own[qi] * norms[xi]
-            qi, xi, value = qi[keep], xi[keep], value[keep]
-        keep = x_ids[xi] != ids[qi]
-        qi, xi = qi[keep], xi[keep]
-        score = exact(queries[qi], x[xi])
-        order = np.lexsort((x_ids[xi], -score, qi))
-        qi, xi, score = qi[order], xi[order], score[order]
-        by = np.lexsort((np.arange(len(qi)), x_ids[xi], qi))
-        again = by[1:][(qi[by][1:] == qi[by][:-1]) & (x_ids[xi[by]][1:] == x_ids[xi[by]][:-1])]
-        if len(again):  # an id with several vectors counts once, with its best
-            qi, xi, score = (np.delete(c, again) for c in (qi, xi, score))
-        first = np.r_[True, qi[1:] != qi[:-1]] if len(qi) else np.zeros(0, bool)
-        nth = np.arange(len(qi)) - np.maximum.accumulate(np.where(first, np.arange(len(qi)), 0))
-        qi, xi, score = qi[nth < k], xi[nth < k], score[nth < k]
-        out.append((ids[qi], x_ids[xi], score))
+        held = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        for at in range(0, len(x), CHUNK):
+            some = slice(at, at + CHUNK)
+            done = min(COLUMNS, dim)
+            partial = qr[rows, :done] @ xr[some, :done].T
+            # Under a random rotation the scaled partial product strays by about |q||x| / sqrt(done).
+            stray = doubt * np.sqrt((1 - done / dim) / done) + 1e-9
+            qi, xi = np.nonzero(partial * (dim / done) + stray * own[rows, None] * norms[some] >= floor[rows, None])
+            value = partial[qi, xi]
+            qi, xi = qi + lo, xi + at
+            while done < dim:
+                until = min(done + COLUMNS, dim)
+                value = value + exact(qr[qi, done:until], xr[xi, done:until])
+                done = until
+                stray = doubt * np.sqrt((1 - done / dim) / done) + 1e-9
+                keep = value * (dim / done) + stray * own[qi] * norms[xi] >= floor[qi]
+                qi, xi, value = qi[keep], xi[keep], value[keep]
+            keep = x_ids[xi] != ids[qi]
+            qi, xi = qi[keep], xi[keep]
+            held = best_of(*(np.concatenate(c) for c in zip(held, (qi, xi, exact(queries[qi], x[xi])))), x_ids, k)
+            last = np.flatnonzero(np.r_[held[0][1:] != held[0][:-1], True]) if len(held[0]) else np.zeros(0, np.int64)
+            last = last[np.bincount(held[0], minlength=len(queries))[held[0][last]] == k]
+            floor[held[0][last]] = np.maximum(floor[held[0][last]], held[2][last])  # it rises with the k-th best so far
+        out.append((ids[held[0]], x_ids[held[1]], held[2]))
     return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
@@ -166,40 +181,41 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K, target: float = TARG
     index.calibrate(target)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_blas_thread()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                ids, q = part.column(0).to_numpy(), block_of(part.column(1))
-                at, value = index.among_sample(ids, q)
-                floor = np.where((at >= 0).sum(axis=1) >= k, value.min(axis=1), -np.inf)
-                near = [[(int(index.ids[i]), float(s)) for i, s in zip(a[a >= 0], exact(np.repeat(q[j : j + 1], (a >= 0).sum(), 0), index.x[a[a >= 0]]))] for j, a in enumerate(at)]
-                lists = index.order(q)[:, : index.probes].astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(floor), pa.array(list(lists), pa.list_(pa.int32())), pa.array([[{"vec_id": i, "score": s} for i, s in x] for x in near], pa.list_(pa.struct([("vec_id", pa.int64()), ("score", pa.float64())])))],
-                    names=["query_id", "q", "floor", "lists", "near"],
-                )
-
-    asked = materialize(queries.select("vec_id", "v").mapInArrow(probe, "query_id long, q array<double>, floor double, lists array<int>, near array<struct<vec_id: long, score: double>>"), "asked")
-    visits = asked.select("query_id", "q", "floor", F.explode("lists").alias("list"))
-    many = {r["list"]: r["n"] for r in asked.select(F.explode("lists").alias("list")).groupBy("list").agg(F.count("*").alias("n")).collect()}
-    # A row per list: into how many blocks its rows, and the queries that visit it, are dealt.
-    parts = spark.createDataFrame([(i, -(-r["n"] // BLOCK), -(-many.get(i, 1) // BLOCK)) for i, r in sizes.items()], "list int, xs int, qs int")
-    left = listed.join(F.broadcast(parts), "list").select("list", F.pmod(F.xxhash64("vec_id"), "xs").cast("int").alias("xb"), F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("qb"), "vec_id", "v")
-    right = visits.join(F.broadcast(parts), "list").select("list", F.explode(F.sequence(F.lit(0), F.col("xs") - 1)).alias("xb"), F.pmod(F.xxhash64("query_id"), "qs").cast("int").alias("qb"), "query_id", "q", "floor")
+            lists = [row for lo in range(0, batch.num_rows, 256) for row in index.order(block_of(batch.slice(lo, 256).column(1)))[:, : index.probes].astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, pa.list_(pa.int32()))], names=["query_id", "q", "lists"])
+
+    asked = materialize(queries.select("vec_id", "v").mapInArrow(probe, "query_id long, q array<double>, lists array<int>"), "asked")
+    index = index.rotation  # all that the scans need of it
 
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
         if not (a.num_rows and b.num_rows):
             found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         else:
-            found = scan(block_of(b.column("q")), b.column("query_id").to_numpy(), b.column("floor").to_numpy(), block_of(a.column("v")), a.column("vec_id").to_numpy(), index.rotation, k)
+            found = scan(block_of(b.column("q")), b.column("query_id").to_numpy(), b.column("floor").to_numpy(), block_of(a.column("v")), a.column("vec_id").to_numpy(), index, k)
         return pa.table({"query_id": found[0], "vec_id": found[1], "score": found[2]})
 
-    keys = ["list", "xb", "qb"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, FOUND)
-    near = asked.select("query_id", F.inline("near"))
-    every = found.unionByName(near).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return every.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def visit(visits: DataFrame) -> DataFrame:
+        """What queries (query_id, q, floor, list) find in their lists; long lists and many queries meet block by block."""
+        many = {r["list"]: r["n"] for r in visits.groupBy("list").agg(F.count("*").alias("n")).collect()}
+        # A row per list: into how many blocks its rows, and the queries that visit it, are dealt.
+        parts = spark.createDataFrame([(i, -(-sizes[i]["n"] // BLOCK), -(-n // BLOCK)) for i, n in many.items() if i in sizes], "list int, xs int, qs int")
+        left = listed.join(F.broadcast(parts), "list").select("list", F.pmod(F.xxhash64("vec_id"), "xs").cast("int").alias("xb"), F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("qb"), "vec_id", "v")
+        right = visits.join(F.broadcast(parts), "list").select("list", F.explode(F.sequence(F.lit(0), F.col("xs") - 1)).alias("xb"), F.pmod(F.xxhash64("query_id"), "qs").cast("int").alias("qb"), "query_id", "q", "floor")
+        keys = ["list", "xb", "qb"]
+        return materialize(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, FOUND), "found")
+
+    def best(found: DataFrame) -> DataFrame:
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    near = visit(asked.select("query_id", "q", F.lit(float("-inf")).alias("floor"), F.element_at("lists", 1).alias("list")))
+    floors = best(near).where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
+    others = asked.select("query_id", "q", F.explode(F.slice("lists", 2, 1 << 30)).alias("list")).join(floors, "query_id", "left")
+    far = visit(others.withColumn("floor", F.coalesce("floor", F.lit(float("-inf")))))
+    return best(near.unionByName(far))
 
 
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
