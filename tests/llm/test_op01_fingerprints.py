@@ -1,4 +1,5 @@
 import hashlib
+import random
 import unicodedata
 from collections import defaultdict
 
@@ -10,7 +11,7 @@ from vellum.llm.unicode_tables import canonical
 
 
 def plain(text):
-    text = unicodedata.normalize("NFC", text.upper().lower().replace("ς", "σ"))
+    text = unicodedata.normalize("NFC", unicodedata.normalize("NFC", text).upper().lower().replace("ς", "σ"))
     return " ".join(text.split())
 
 
@@ -55,6 +56,18 @@ def test_canonical_text(spark):
     assert [r["c"] for r in got] == [plain(s) for s in some]
 
 
+def test_canonically_equal_texts_are_one(spark):
+    rng = random.Random(1)
+    greek, korean, indic = "ᾷἆΐᾳώ", "각힣가나닭", "ொோௌৌோෞೋൊ"
+    some = [*greek, *korean, *indic, "\u1100\u1161\u11a8", "\u1161", "\uac00\u11a7", "\uac01\u11a8", "\u0bc6\u0301\u0bbe", "\u0301a", "e\u0323\u0301\u0302", "\u0344", "\u212b", "𑂚", "각\u0323\u11a8"]
+    marks = ["\u0301", "\u0323", "\u0345", "\u0342", "\u0308", "\u0327", "\u093c"]
+    some += [rng.choice("aeoαωυক가") + "".join(rng.sample(marks, rng.randint(1, 4))) + rng.choice(["", "x", "\u11a8"]) for _ in range(150)]
+    rows = [(k, f) for k, s in enumerate(some) for f in {s, unicodedata.normalize("NFC", s), unicodedata.normalize("NFD", s)}]
+    got = spark.createDataFrame(rows, "k int, t string").select("k", "t", canonical(F.col("t")).alias("c")).collect()
+    assert [(r["k"], r["c"]) for r in got if r["c"] != plain(r["t"])] == []
+    assert len({(r["k"], r["c"]) for r in got}) == len(some)
+
+
 def test_empty_table(spark):
     assert fingerprints(nothing(spark)).collect() == []
 

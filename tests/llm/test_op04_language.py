@@ -2,7 +2,7 @@ import numpy as np
 import public_tokenizers
 
 from tests.llm.fixtures import documents, nothing
-from vellum.llm.op04_language import Pieces, expected, fit, forward, op4_language, predict_languages
+from vellum.llm.op04_language import Pieces, expected, fit, forward, op4_language, predict_languages, words_of
 from collections import Counter
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
@@ -43,6 +43,17 @@ def test_accuracy_and_undetermined(spark):
     assert (held["lang_pred"] == held["lang"]).mean() > 0.98 and got["score"].between(0, 1).all()
 
 
+def test_letters_and_marks():
+    assert words_of("½ ² Ⅷ 12_3 ª") == ["ª"] and words_of("½²Ⅷ漢") == ["漢"]
+    assert words_of("E\u0301lan क\u093c x_y") == ["e\u0301lan", "क\u093c", "x", "y"]
+
+
+def test_every_piece_of_the_vocabulary_counts():
+    have = Pieces(PATH)
+    long = max(have.number, key=len)
+    assert len(long) == have.longest > 10 and have.grid([long])[0, -1, len(long) - 1] == have.number[long]
+
+
 def test_odd_rows(spark):
     docs = documents(spark)
     got = predict_languages(docs, fit(docs, PATH)).collect()

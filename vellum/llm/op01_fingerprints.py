@@ -1,9 +1,10 @@
 """Exact document fingerprints: canonical text, wide xxhash, bytes compared inside equal buckets.
 
-All of it is DataFrame expressions. Two digests of 64 bits make the bucket. Only texts whose
-bucket has another member are read again, and the least and greatest canonical text of each bucket
-are compared; where they differ, the bucket's texts get numbered fingerprints. So equal
-fingerprints always mean equal canonical bytes.
+Texts are normalised (NFC), case folded and normalised again, white space is folded. All of it is
+DataFrame expressions. Two digests of 64 bits make the bucket. Only texts whose bucket has another
+member are read again, and the least and greatest canonical text of each bucket are compared; where
+they differ, the bucket's texts get numbered fingerprints. So equal fingerprints always mean equal
+canonical bytes.
 
 Defined cases: a null text is empty; rows without doc_id come after all others; rows that share a
 doc_id are ordered by text; the last row's next is the first (its own, if it is alone); an empty

@@ -14,24 +14,35 @@ rows; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.llm.common import held_out, materialize, small_batches, table, texts
 
-#: Training rows; rounds of expectation and maximisation; longest piece in letters.
-BOUND, ROUNDS, LONGEST = 6_000, 3, 10
+#: Training rows; rounds of expectation and maximisation.
+BOUND, ROUNDS = 6_000, 3
 #: Probability of a letter that the vocabulary lacks; pseudo-count of every piece.
 UNKNOWN, PRIOR = 1e-7, 0.05
 #: Words whose probabilities a worker remembers.
 MEMORY = 150_000
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+_LATIN = bytes(c if chr(c).isalpha() else 32 for c in range(256))
+
+
+def words_of(text: str) -> list[str]:
+    """Runs of letters with their marks, in lower case."""
+    text = text.lower()
+    try:
+        plain = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return _WORD.findall(text)
+    return plain.translate(_LATIN).decode("latin-1").split()
 
 
 class Pieces:
@@ -42,7 +53,8 @@ class Pieces:
 
         p = sentencepiece.SentencePieceProcessor(model_file=path)
         names = [p.id_to_piece(i) for i in range(p.get_piece_size()) if not (p.is_control(i) or p.is_byte(i) or p.is_unknown(i))]
-        names = [x for x in dict.fromkeys(names) if len(x) <= LONGEST]
+        names = list(dict.fromkeys(names))
+        self.longest = max(map(len, names), default=1)
         self.number = {x: i for i, x in enumerate(names)}
         self.unknown, self.none = len(names), len(names) + 1
         # The pieces' beginnings as nodes: (node, letter) of each step, sorted, and the node it leads to.
@@ -62,7 +74,7 @@ class Pieces:
     def grid(self, words: list[str]) -> np.ndarray:
         """[word, end, length]: the piece of that length that ends there; words are of one length."""
         size = len(words[0])
-        span = min(size, LONGEST)
+        span = min(size, self.longest)
         points = np.frombuffer("".join(words).encode("utf-32-le"), dtype="<u4").astype(np.int64)
         letter = np.minimum(np.searchsorted(self.letters, points), len(self.letters) - 1)
         known = self.letters[letter] == points
@@ -89,9 +101,10 @@ def forward(grid: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     alpha, logs = np.zeros((size + 1, words, p.shape[1])), np.zeros((size + 1, words))
     alpha[0] = 1.0
     for e in range(1, size + 1):
-        for k in range(1, min(e, span) + 1):
-            here = alpha[e - k] * p[grid[:, e - 1, k - 1]]
-            alpha[e] += here * np.exp(logs[e - k] - logs[e - 1])[:, None]
+        m = min(e, span)  # pieces of m letters to one, from the ends before
+        scale = np.exp(logs[e - m : e] - logs[e - 1])
+        here = p[grid[:, e - 1, m - 1 :: -1] if m < span else grid[:, e - 1, ::-1]].transpose(1, 0, 2)
+        alpha[e] = (alpha[e - m : e] * here * scale[:, :, None]).sum(axis=0)
         top = alpha[e].max(axis=1)
         alpha[e] /= top[:, None]
         logs[e] = logs[e - 1] + np.log(top)
@@ -155,7 +168,7 @@ class LanguageModel:
     def predict(self, some: list[str]) -> tuple[list[str], list[float]]:
         if not self.languages:
             return ["und"] * len(some), [0.0] * len(some)
-        found = [_WORD.findall(t.lower()) for t in some]
+        found = [words_of(t) for t in some]
         met = set().union(*found)
         new = [w for w in met if w not in self.row]
         if len(self.row) + len(new) > MEMORY:
@@ -210,7 +223,7 @@ def fit(docs: DataFrame, path: str, bound: int = BOUND) -> LanguageModel:
             have, words = pieces(path), [Counter() for _ in languages]
             for batch in batches:
                 for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    words[number[lang]].update("▁" + w for w in _WORD.findall(text.lower()))
+                    words[number[lang]].update("▁" + w for w in words_of(text))
             for i, counted in enumerate(words):
                 uses = expected(have, now, i, counted)
                 at = np.flatnonzero(uses[: have.unknown] > 1e-9)
