@@ -64,7 +64,7 @@ def test_code_blocks_and_links(spark):
     assert [(b["idx"], b["lang"], b["kernel"], b["version"], b["code"]) for b in blocks] == [(0, "python", "py", "", "print(1)\n"), (1, "", "", "", "[[no]]\n")]
     links = one(spark, body, lambda x: M.wikilinks(M.without_code(x)))
     assert [(x["target"], x["heading"], x["label"]) for x in links] == [("a", "h", "l")]
-    assert one(spark, "```\n# no\n```\n## Yes ##\n# Later", M.first_heading) == "Yes"
+    assert one(spark, "```\n# no\n```\n## Yes ##\n# Later", M.first_heading) == "Yes ##"
     assert one(spark, "a\n", M.block_hash) == one(spark, "a", M.block_hash) != one(spark, "a\n\n", M.block_hash)
 
 

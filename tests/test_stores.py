@@ -92,7 +92,7 @@ def test_debounce(spark, tmp_path):
         part.coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
     stream = spark.readStream.schema("path string, ts timestamp").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
     seen = []
-    query = debounce_stream(stream).writeStream.outputMode("append").foreachBatch(lambda b, _: seen.extend(b.collect())).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    query = debounce_stream(stream, "30 minutes").writeStream.outputMode("append").foreachBatch(lambda b, _: seen.extend(b.collect())).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert sorted((r["path"], r["n"]) for r in seen if r["path"] != "late") == [("a", 1), ("a", 2), ("b", 1)]
 

@@ -77,7 +77,7 @@ def embed_text(title: Column, heading: Column, text: Column) -> Column:
 
 
 _FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})(.*)$")
-_HEADING = re.compile(r"^(#{1,6})\s+(.*?)\s*#*\s*$")
+_HEADING = re.compile(r"^(#{1,6}) +(.*)$")
 
 
 def fenced_lines(lines: list[str]):
@@ -181,14 +181,17 @@ def property_values(props: Column, *keys: str) -> Column:
 
 def callouts_of(body: str) -> list[dict]:
     """Callouts among quoted lines; the title is the capitalised type where there is none."""
-    out, depth_of = [], re.compile(r"^\s*((?:>\s?)+)(.*)$")
+    out, inside_one, depth_of = [], False, re.compile(r"^\s*((?:>\s?)+)(.*)$")
     for line, inside, _ in fenced_lines(body.split("\n")):
         m = depth_of.match(line) if not inside else None
         head = re.match(r"\s*\[!([A-Za-z]+)\]([^\n]*)$", m[2]) if m else None
         if head:
             kind = head[1].lower()
+            inside_one = True
             out.append({"kind": kind, "title": head[2].strip() or kind.capitalize(), "icon": CALLOUT_ICONS.get(kind, "info-circle"), "depth": m[1].count(">"), "text": ""})
-        elif m and out:
+        elif not m:
+            inside_one = False  # later quotes are no part of it
+        elif inside_one:
             out[-1]["text"] += ("\n" if out[-1]["text"] else "") + m[2]
     return out
 

@@ -44,13 +44,13 @@ def _accents() -> tuple[str, str]:
 
 
 def fold(text: Column) -> Column:
-    """Lower case without the accents of Latin letters."""
-    return F.lower(F.translate(text, *_accents()))
+    """Lower case without the accents of Latin letters, be they part of the letter or marks after it."""
+    return F.regexp_replace(F.lower(F.translate(text, *_accents())), r"[\x{300}-\x{36F}]", "")
 
 
 def tokens(text: Column) -> Column:
-    """Terms of a text: folded runs of letters and digits."""
-    return F.regexp_extract_all(fold(text), F.lit(r"[\p{L}\p{N}]+"), 0)
+    """Terms of a text: folded runs of letters and digits with their marks."""
+    return F.regexp_extract_all(fold(text), F.lit(r"[\p{L}\p{N}][\p{L}\p{N}\p{M}]*"), 0)
 
 
 def query_tokens(query: Column, stopwords: list[str] = STOPWORDS, trim: str = "") -> Column:
@@ -99,8 +99,15 @@ def model_prefix(model: Column, kind: str = "query") -> Column:
 
 
 def percent_encode(path: Column) -> Column:
-    """Each segment of a path percent-encoded, spaces as %20."""
-    return F.array_join(F.transform(F.split(path, "/"), lambda s: F.replace(F.url_encode(s), F.lit("+"), F.lit("%20"))), "/")
+    """Each segment of a path percent-encoded; letters, digits and the marks - _ . ~ $ & + : = @ stay."""
+
+    def segment(s: Column) -> Column:
+        s = F.url_encode(s)
+        for code, mark in (("+", "%20"), ("*", "%2A"), ("%7E", "~"), ("%24", "$"), ("%26", "&"), ("%2B", "+"), ("%3A", ":"), ("%3D", "="), ("%40", "@")):
+            s = F.replace(s, F.lit(code), F.lit(mark))
+        return s
+
+    return F.array_join(F.transform(F.split(path, "/"), segment), "/")
 
 
 def absolute_date(t: Column, now: Column) -> Column:
@@ -120,11 +127,16 @@ def relative_date(t: Column, now: Column) -> Column:
     )
 
 
-def version_key(version: Column, segments: int = 4) -> Column:
-    """Sortable form of a dotted version: numbers as numbers, missing segments as 0."""
-    parts = F.split(version, r"\.")
-    part = [F.coalesce(F.get(parts, F.lit(i)), F.lit("0")) for i in range(segments)]
-    return F.array(*[F.struct(F.coalesce(F.when(p.rlike(r"^\d+$"), p.cast("long")), F.lit(-1)).alias("n"), F.when(p.rlike(r"^\d+$"), "").otherwise(p).alias("s")) for p in part])
+def version_key(version: Column) -> Column:
+    """Sortable form of a dotted version of any length: numbers as numbers, words before them, missing segments as 0."""
+    parts = F.transform(F.split(version, r"\."), lambda p: F.when(p.rlike(r"^\d+$"), F.struct(p.cast("decimal(38,0)").alias("n"), F.lit("").alias("s"))).otherwise(F.struct(F.lit(-1).cast("decimal(38,0)").alias("n"), p.alias("s"))))
+
+    def segment(x: Column, i: Column) -> Column:  # on which side of all zeros the rest lies comes first
+        rest = F.get(F.filter(F.slice(parts, i + 1, F.size(parts) + 1), lambda y: y["n"] != 0), F.lit(0))
+        return F.struct(F.coalesce(F.sign(rest["n"]), F.lit(0)).cast("int").alias("side"), x["n"].alias("n"), x["s"].alias("s"))
+
+    end = F.struct(F.lit(0).alias("side"), F.lit(0).cast("decimal(38,0)").alias("n"), F.lit("").alias("s"))
+    return F.concat(F.filter(F.transform(parts, segment), lambda y: y["side"] != 0), F.array(end))
 
 
 def trash_time(trash_id: Column) -> Column:

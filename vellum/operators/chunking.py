@@ -7,22 +7,30 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from vellum.functions.markdown import _HEADING, fenced_lines
+from vellum.functions.markdown import _HEADING
 from vellum.schema import ChunkOptions
 
+#: What starts and ends a fence.
+FENCES = ("```", "~~~")
+
 
 def sections(body: str) -> Iterator[tuple[str, str]]:
-    """(breadcrumb, text) between headings outside fences."""
+    """(breadcrumb, text) between headings; a line that starts with the opening fence's mark closes it."""
     trail: list[tuple[int, str]] = []
     lines: list[str] = []
-    for line, inside, _ in fenced_lines(body.split("\n")):
-        m = None if inside else _HEADING.match(line.strip())
+    fence = ""
+    for line in body.split("\n"):
+        bare = line.strip()
+        mark = bare[:3] if bare[:3] in FENCES else ""
+        m = None if fence or mark else _HEADING.match(bare)
+        if mark and fence in ("", mark):
+            fence = "" if fence else mark
         if not m:
-            lines.append(line)
+            lines.append(line.removesuffix("\r"))
             continue
         yield " › ".join(t for _, t in trail), "\n".join(lines).strip()
         level, lines = len(m[1]), []
-        trail = [x for x in trail if x[0] < level] + [(level, m[2])]
+        trail = [x for x in trail if x[0] < level] + [(level, m[2].strip())]
     yield " › ".join(t for _, t in trail), "\n".join(lines).strip()
 
 
@@ -41,16 +49,23 @@ def hard_cut(raw: bytes, size: int) -> Iterator[bytes]:
 
 
 def tail(raw: bytes, overlap: int) -> bytes:
-    """The last bytes, from a character's start, then from after the first blank unless that is all."""
-    cut = raw[-overlap:] if overlap else b""
+    """The last bytes, from a character's start, then from after the first blank unless that is all; a short window as a whole."""
+    if overlap <= 0:
+        return b""
+    if len(raw) <= overlap:
+        return raw.strip()
+    cut = raw[-overlap:]
     while cut and cut[0] & 0xC0 == 0x80:
         cut = cut[1:]
     blanks = [i for i in (cut.find(b" "), cut.find(b"\n")) if i >= 0]
-    return cut[min(blanks) + 1 :] if blanks and min(blanks) < len(cut) - 1 else cut
+    return (cut[min(blanks) + 1 :] if blanks and min(blanks) < len(cut) - 1 else cut).strip()
 
 
 def windows(text: str, options: ChunkOptions) -> Iterator[str]:
-    """Paragraphs packed into windows of at most size bytes, each starting with the end of the one before."""
+    """Paragraphs packed into windows of at most size bytes, each starting with the end of the one before.
+
+    A paragraph beyond the size is cut into windows of its own.
+    """
     size, overlap = options.size, options.overlap
     if len(text.encode()) <= size:
         yield text
@@ -60,20 +75,16 @@ def windows(text: str, options: ChunkOptions) -> Iterator[str]:
         raw = paragraph.strip().encode()
         if not raw:
             continue
-        if held and len(held) + 2 + len(raw) <= size:
-            held += b"\n\n" + raw
+        if len(raw) > size:
+            yield from (x.decode() for x in (held, *hard_cut(raw, size)) if x)
+            held = b""
             continue
-        if held:
+        if held and len(held) + 2 + len(raw) > size:
             yield held.decode()
             held = tail(held, overlap)
-            if held and len(held) + 2 + len(raw) <= size:
-                held += b"\n\n" + raw
-                continue
-        if len(raw) <= size:
-            held = raw
-            continue
-        *full, held = hard_cut(raw, size)
-        yield from (x.decode() for x in full)
+            if len(held) + 2 + len(raw) > size:
+                held = b""
+        held = held + b"\n\n" + raw if held else raw
     if held.strip():
         yield held.decode()
 

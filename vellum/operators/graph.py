@@ -18,9 +18,9 @@ def centroids(chunks: DataFrame) -> DataFrame:
 
 
 def knn_edges(notes: DataFrame, options: GraphOptions | None = None) -> DataFrame:
-    """a, b, weight with a < b: union of every note's k nearest above the floor; notes: id, u."""
+    """a, b, weight with a < b: union of every note's k (one at least) nearest above the floor; notes: id, u."""
     options = options or GraphOptions()
-    picks = nearest(notes.select(F.col("id").alias("qid"), F.col("id").alias("own"), "u"), notes, options.k if options.k > 0 else GraphOptions.k, options.min_sim)
+    picks = nearest(notes.select(F.col("id").alias("qid"), F.col("id").alias("own"), "u"), notes, max(options.k, 1), options.min_sim)
     return picks.groupBy(F.least("qid", "id").alias("a"), F.greatest("qid", "id").alias("b")).agg(F.max("sim").alias("weight"))
 
 

@@ -59,11 +59,19 @@ def numbered(name: Column, n: Column, first: int = 1, label: str = "") -> Column
 
 
 def collision_names(imports: DataFrame, existing: DataFrame) -> DataFrame:
-    """imports (ord, name) with the free name each gets beside existing (name) ones of the same name."""
+    """imports (ord, name) with the free name each gets beside existing (name) ones.
+
+    Numbers whose name exists, or is the own name of another import, are passed over.
+    """
     have = existing.groupBy("name").agg(F.lit(1).alias("taken"))
+    form = r"^(.*) \((\d+)\)(\.[^./]*)?$"
+    used = existing.select("name").unionByName(imports.select("name")).where(F.col("name").rlike(form))
+    used = used.groupBy(F.concat(F.regexp_extract("name", form, 1), F.regexp_extract("name", form, 3)).alias("name")).agg(F.array_sort(F.collect_set(F.regexp_extract("name", form, 2).cast("long"))).alias("used"))
     nth = F.row_number().over(Window.partitionBy("name").orderBy("ord")) - 1
-    rows = imports.withColumn("nth", nth).join(have, "name", "left")
-    return rows.select("ord", "name", numbered(F.col("name"), F.col("nth") + F.coalesce("taken", F.lit(0))).alias("target"))
+    rows = imports.withColumn("nth", nth).join(have, "name", "left").join(used, "name", "left")
+    n = (F.col("nth") + F.coalesce("taken", F.lit(0))).cast("long")
+    free = F.aggregate(F.coalesce("used", F.array().cast("array<long>")), n, lambda at, k: F.when(k <= at, at + 1).otherwise(at))
+    return rows.select("ord", "name", numbered(F.col("name"), F.when(n > 0, free).otherwise(n)).alias("target"))
 
 
 def anchor_edit(body: Column, old: Column, new: Column) -> Column:

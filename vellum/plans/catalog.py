@@ -481,7 +481,7 @@ def image_paths(spark, d):
 @query
 def debounce_sessions(spark, d):
     events = model.table(spark, d, "events").select(F.col("user_id").alias("path"), F.col("ts").cast("timestamp").alias("ts"))
-    out = debounced(events)
+    out = debounced(events, "30 minutes")
     return out.select("path", F.date_format("first", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("first"), F.date_format("last", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("last"), "n")
 
 

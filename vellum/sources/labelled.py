@@ -33,14 +33,19 @@ def faults(queries: DataFrame) -> DataFrame:
     return repeated.unionByName(blank).unionByName(odd).unionByName(none)
 
 
-def run_events(lines: DataFrame, line: str = "value") -> DataFrame:
+def run_events(lines: DataFrame, line: str = "value", stream: str | None = None, order: str | None = None) -> DataFrame:
     """lines with event (null where it can't be read) and ok; blank lines are left out.
 
-    A line that isn't JSON or has an unknown type isn't ok; what follows it in its stream doesn't count.
+    A line that isn't JSON or has an unknown type isn't ok; with stream and order columns, what follows
+    it in its stream is left out.
     """
     event = F.from_json(line, EVENT)
     rows = lines.where(F.trim(line) != "").withColumn("event", event)
-    return rows.withColumn("ok", F.coalesce(F.col("event.type").isin(*KINDS), F.lit(False)))
+    rows = rows.withColumn("ok", F.coalesce(F.col("event.type").isin(*KINDS), F.lit(False)))
+    if stream is None or order is None:
+        return rows
+    first = rows.where(~F.col("ok")).groupBy(stream).agg(F.min(order).alias("_bad"))
+    return rows.join(first, stream, "left").where(F.col("_bad").isNull() | (F.col(order) <= F.col("_bad"))).drop("_bad")
 
 
 def stored_vectors(rows: DataFrame, blob: str = "embedding", dim: int | None = None) -> DataFrame:

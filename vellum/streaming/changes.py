@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Fixed value: a note that saw no event for so long is synced.
+QUIET = "500 milliseconds"
+
 
 def classify(op: Column, path: Column, is_dir: Column) -> Column:
     """vault: the whole vault is looked at again; note: this note; ignore: neither."""
@@ -15,13 +18,13 @@ def classify(op: Column, path: Column, is_dir: Column) -> Column:
     return F.when((op == "create") & is_dir, "vault").when(op.isin("rename", "remove") & (is_dir | bare), "vault").when(markdown, "note").otherwise("ignore")
 
 
-def debounced(events: DataFrame, quiet: str = "30 minutes", key: str = "path") -> DataFrame:
+def debounced(events: DataFrame, quiet: str = QUIET, key: str = "path") -> DataFrame:
     """key, first, last, n: events of a key no further apart than the quiet time are one change."""
     spans = events.groupBy(key, F.session_window("ts", quiet)).agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("n"))
     return spans.select(key, "first", "last", "n")
 
 
-def debounce_stream(events: DataFrame, quiet: str = "30 minutes", late: str = "30 minutes", key: str = "path") -> DataFrame:
+def debounce_stream(events: DataFrame, quiet: str = QUIET, late: str = "30 minutes", key: str = "path") -> DataFrame:
     """The same on a stream; a change is given out once the watermark has passed its quiet time."""
     return debounced(events.withWatermark("ts", late), quiet, key)
 
