@@ -87,7 +87,7 @@ EVENTS = [("a", "2024-01-01 00:00:00"), ("a", "2024-01-01 00:20:00"), ("a", "202
 
 def test_debounce(spark, tmp_path):
     rows = spark.createDataFrame(EVENTS, "path string, t string").select("path", F.to_timestamp("t").alias("ts"))
-    assert sorted((r["path"], r["n"]) for r in debounced(rows).collect()) == [("a", 1), ("a", 2), ("b", 1)]
+    assert sorted((r["path"], r["n"]) for r in debounced(rows, "30 minutes").collect()) == [("a", 1), ("a", 2), ("b", 1)]
     for i, part in enumerate((rows, spark.createDataFrame([("late", "2024-01-02 00:00:00")], "path string, t string").select("path", F.to_timestamp("t").alias("ts")), spark.createDataFrame([("late", "2024-01-03 00:00:00")], "path string, t string").select("path", F.to_timestamp("t").alias("ts")))):
         part.coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
     stream = spark.readStream.schema("path string, ts timestamp").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
