@@ -112,7 +112,15 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def canonical(text: Column) -> Column:
-    """Composed, case folded and composed again; white space runs as one space, none at the ends."""
-    # Catalyst takes lower(upper(x)) for lower(x), which folds less; bound apart, both stay.
-    folded = F.translate(once(F.upper(once(text, compose)), F.lower), "ς", "σ")
-    return F.trim(F.regexp_replace(once(folded, compose), f"[{BLANKS}]+", " "))
+    """Composed, case folded and composed again; white space runs as one space, none at the ends.
+
+    Both rounds go through one copy of the expression, as its tables make the plan large.
+    """
+
+    def step(now: Column, fold: Column) -> Column:
+        # Catalyst takes lower(upper(x)) for lower(x), which folds less; bound apart, both stay.
+        folded = F.translate(once(F.upper(now), F.lower), "ς", "σ")
+        return once(F.when(fold, folded).otherwise(now), compose)
+
+    twice = F.aggregate(F.array(F.lit(False), F.lit(True)), text, step)
+    return F.trim(F.regexp_replace(twice, f"[{BLANKS}]+", " "))
