@@ -175,8 +175,9 @@ def removals(docs: DataFrame, line_words: int = LINE_WORDS, sentence_words: int
     """doc_id, h and the spans to remove, for the documents that lose any."""
     rows = materialize(digests(docs, line_words, sentence_words), "units")
     rank = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "h", "start", "end")
-    # Rows equal in doc_id and text are one document, so the greatest rank tells of repeats.
-    first = rows.groupBy("a", "b").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).where("first <> last").select("a", "b", "first")
+    # Rows equal in doc_id and text are one document, so ranks that differ tell of repeats; their hashes are shorter to shuffle.
+    place = F.xxhash64(F.col("doc_id").isNull(), "doc_id", "h", "start", "end")
+    first = rows.groupBy("a", "b").agg(F.min(rank).alias("first"), F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high").select("a", "b", "first")
     later = rows.join(first, ["a", "b"]).where(rank != F.col("first"))
     # Runs of one text may overlap (the same short line again and again); the first occurrence stays whole.
     own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("h") == F.col("first.h"))
