@@ -79,3 +79,14 @@ def test_texts_without_blanks(spark):
 
 def test_a_short_line_again_and_again_keeps_its_first_run(spark):
     assert kept(spark, {1: "\n".join(["yes indeed"] * 20)})[1].split("\n") == ["yes indeed"] * 4
+
+
+def test_hot_and_other_digests_give_the_same_spans(spark):
+    from vellum.llm.op07_substring_dedup import removals
+
+    docs = documents(spark)
+
+    def found(hot):
+        return sorted((str(r["_id"]), r["_h"], sorted(map(tuple, r["spans"]))) for r in removals(docs, hot=hot).collect())
+
+    assert found(1) == found(20) == found(1_000_000) != []

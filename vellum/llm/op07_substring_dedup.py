@@ -8,8 +8,8 @@ lowest rank (doc_id, then place) and takes the others out of the texts. A line t
 a whole, with its short sentences; a passage that stands inside other lines goes sentence by
 sentence (the parts of sentences at its two ends stay). What goes is reported with its original offsets.
 
-Digests are grouped with map-side combination, so a line that a third of all documents share is one
-row per task before the shuffle. Defined cases: null and empty texts have no units; of rows equal
+Digests are counted with map-side combination and hot ones are resolved where they stand, so a line
+that a third of all documents share is one row per task in any shuffle. Defined cases: null and empty texts have no units; of rows equal
 in doc_id and text all are treated as one document; a null doc_id ranks after all others; an empty
 table gives an empty result; other columns are kept as they are.
 """
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellum.llm.common import materialize, small_batches, table
@@ -32,6 +32,8 @@ from vellum.llm.common import materialize, small_batches, table
 LINE_WORDS, SENTENCE_WORDS = 8, 8
 #: Sentences above this size are cut after chosen words, one in CUT; without blanks after one character in 2 * CUT.
 LONG, CUT = 50, 16
+#: A digest of one unit in so many, or more, is hot; no more digests than that can be.
+HOT = 1000
 _SENTENCE = re.compile(r"[^.!?。！？．｡]+[.!?。！？．｡]*\s*|[.!?。！？．｡]+\s*")
 #: Scripts without blanks between words; two characters count as a word.
 _SOLID = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
@@ -171,17 +173,28 @@ def digests(docs: DataFrame, line_words: int = LINE_WORDS, sentence_words: int =
     return rows.withColumn("h", F.xxhash64("text")).mapInArrow(run, "a long, b long, doc_id long, h long, start int, end int")
 
 
-def removals(docs: DataFrame, line_words: int = LINE_WORDS, sentence_words: int = SENTENCE_WORDS) -> DataFrame:
-    """doc_id, h and the spans to remove, for the documents that lose any."""
+def removals(docs: DataFrame, line_words: int = LINE_WORDS, sentence_words: int = SENTENCE_WORDS, hot: int = HOT) -> DataFrame:
+    """doc_id, h and the spans to remove, for the documents that lose any.
+
+    Half a digest is counted first, so that units that stand once, nearly all, are shuffled in few
+    bytes. Digests of one unit in `hot` or more (at most so many of them, so their first places are
+    broadcast) never leave their tasks; no other digest has more than one unit in `hot`.
+    """
     rows = materialize(digests(docs, line_words, sentence_words), "units")
+    counted = materialize(rows.groupBy("a").agg(F.count("*").alias("n")).where("n > 1"), "repeated")
+    limit = -(-rows.count() // hot)
+    often, seldom = counted.where(F.col("n") >= limit).select("a", F.lit(True).alias("hot")), counted.where(F.col("n") < limit).select("a")
     rank = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "h", "start", "end")
-    # Rows equal in doc_id and text are one document, so ranks that differ tell of repeats; their hashes are shorter to shuffle.
-    place = F.xxhash64(F.col("doc_id").isNull(), "doc_id", "h", "start", "end")
-    first = rows.groupBy("a", "b").agg(F.min(rank).alias("first"), F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high").select("a", "b", "first")
-    later = rows.join(first, ["a", "b"]).where(rank != F.col("first"))
+    # Rows equal in doc_id and text are one document, so their ranks are equal.
+    later = rank != F.col("first")
+    marked, hot_row = rows.join(F.broadcast(often), "a", "left"), F.col("hot").isNotNull()
+    firsts = marked.groupBy(F.when(hot_row, F.col("a")).alias("a"), F.when(hot_row, F.col("b")).alias("b")).agg(F.min(F.when(hot_row, rank)).alias("first")).where("first is not null")
+    settled = rows.join(F.broadcast(firsts), ["a", "b"], "left").where(F.coalesce(later, F.lit(False)))
+    rare = rows.join(F.broadcast(often), "a", "left_anti").join(seldom, "a", "left_semi")
+    rare = rare.withColumn("first", F.first(rank).over(Window.partitionBy("a", "b").orderBy(rank))).where(later)
     # Runs of one text may overlap (the same short line again and again); the first occurrence stays whole.
     own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("h") == F.col("first.h"))
-    later = later.withColumn("start", F.when(own, F.greatest("start", F.col("first.end"))).otherwise(F.col("start"))).where("start < end")
+    later = settled.unionByName(rare).withColumn("start", F.when(own, F.greatest("start", F.col("first.end"))).otherwise(F.col("start"))).where("start < end")
     spans = later.groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "end")).alias("spans"))  # at most a document's units
     return spans.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "spans")
 
@@ -193,8 +206,9 @@ def deduplicate(docs: DataFrame, line_words: int = LINE_WORDS, sentence_words: i
     """
     gone = materialize(removals(docs, line_words, sentence_words), "removals")
     h = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.coalesce(docs["text"], F.lit("")).alias("_text"), docs["doc_id"].cast("long").alias("_doc"), h.alias("_hash"))
-    joined = packed.join(gone, packed["_doc"].eqNullSafe(gone["_id"]) & (packed["_hash"] == gone["_h"]), "left").select("_row", "_text", "_doc", "spans")
+    packed = docs.select(F.struct(*[docs[c] for c in (["text"] if report else docs.columns)]).alias("_row"), docs["doc_id"].cast("long").alias("_doc"), h.alias("_hash"))
+    joined = packed.join(gone, packed["_doc"].eqNullSafe(gone["_id"]) & (packed["_hash"] == gone["_h"]), "left")
+    joined = joined.select("_row", F.coalesce("_row.text", F.lit("")).alias("_text"), "_doc", "spans")
     columns, kept_type = docs.columns, docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
