@@ -174,6 +174,40 @@ def properties(block: pd.Series) -> pd.Series:
     return block.fillna("").map(read)
 
 
+@F.pandas_udf(StringType())
+def properties_block(props: pd.Series) -> pd.Series:
+    """A leading block's inside: one value as a scalar, several as a sequence, none as null; no properties: empty."""
+    import yaml
+
+    class Indented(yaml.SafeDumper):
+        def increase_indent(self, flow=False, indentless=False):
+            return super().increase_indent(flow, False)
+
+    plain = yaml.SafeDumper("")
+
+    def scalar(value: str) -> yaml.ScalarNode:
+        return yaml.ScalarNode(plain.resolve(yaml.ScalarNode, value, (True, False)), value)
+
+    def value_of(values: list[str]) -> yaml.Node:
+        if len(values) == 1:
+            return scalar(values[0])
+        return yaml.SequenceNode("tag:yaml.org,2002:seq", [scalar(v) for v in values], flow_style=False) if len(values) else yaml.ScalarNode("tag:yaml.org,2002:null", "")
+
+    def write(some) -> str:
+        if some is None or not len(some):
+            return ""
+        pairs = [(scalar(p["key"]), value_of(p["values"])) for p in some]
+        return yaml.serialize(yaml.MappingNode("tag:yaml.org,2002:map", pairs, flow_style=False), Dumper=Indented, indent=4, width=1 << 30, allow_unicode=True)
+
+    return props.map(write, na_action=None)
+
+
+def replace_properties(source: Column, props: Column) -> Column:
+    """The note under a block of these properties (key, values); without any the block goes; the body stays as it is."""
+    block = properties_block(props)
+    return F.concat(F.when(block == "", "").otherwise(F.concat(F.lit("---\n"), block, F.lit("---\n"))), note_body(source))
+
+
 def property_values(props: Column, *keys: str) -> Column:
     """Values of all properties with one of the keys, whatever the case of the key."""
     return F.flatten(F.transform(F.filter(props, lambda p: F.lower(p["key"]).isin(*keys)), lambda p: p["values"]))

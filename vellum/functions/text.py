@@ -143,3 +143,42 @@ def trash_time(trash_id: Column) -> Column:
     """UTC time of a trash id (yyyyMMdd'T'HHmmss, maybe -N); malformed: null."""
     stamp = F.substring_index(trash_id, "-", 1)
     return F.when(stamp.rlike(r"^\d{8}T\d{6}$"), F.try_to_timestamp(stamp, F.lit("yyyyMMdd'T'HHmmss")))
+
+
+_BLANKS = " \t\n\r\v\f"
+
+
+def is_hidden(path: Column) -> Column:
+    """Whether the last part of a path begins with a full stop."""
+    return F.startswith(F.element_at(F.split(path, "/"), -1), F.lit("."))
+
+
+def ensure_markdown_ext(path: Column) -> Column:
+    return F.when(F.lower(path).rlike(r"\.(md|markdown)$"), path).otherwise(F.concat(path, F.lit(".md")))
+
+
+def trim_markdown_ext(name: Column) -> Column:
+    return F.regexp_replace(name, r"(?i)\.(md|markdown)$", "")
+
+
+def assignments(sets: Column) -> Column:
+    """struct(ok, props) of an array of key=v1,v2: values trimmed, empty ones dropped, the last of a key wins.
+
+    Not ok, and without props, where one lacks its = or its key.
+    """
+    entries = F.transform(sets, lambda s: F.struct(F.substring_index(s, "=", 1).alias("key"), F.filter(F.transform(F.split(F.substring(s, F.instr(s, "=") + 1, F.char_length(s)), ","), lambda v: F.btrim(v, F.lit(_BLANKS))), lambda v: v != "").alias("values")))
+    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda x: x["key"] == e["key"]))
+    ok = F.forall(sets, lambda s: F.instr(s, "=") > 1)
+    return F.struct(ok.alias("ok"), F.when(ok, last).alias("props"))
+
+
+def name_version(arg: Column) -> Column:
+    """struct(name, version) of NAME@VERSION, parted at the last @; no @: empty version."""
+    whole = r"(?s)^(.*)@([^@]*)$"
+    at = F.contains(arg, F.lit("@"))
+    return F.struct(F.when(at, F.regexp_extract(arg, whole, 1)).otherwise(arg).alias("name"), F.when(at, F.regexp_extract(arg, whole, 2)).otherwise("").alias("version"))
+
+
+def utc_text(t: Column) -> Column:
+    """A time in UTC to the second, as yyyy-MM-ddTHH:mm:ssZ."""
+    return F.date_format(F.to_utc_timestamp(t, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vellum.functions import links as L
 from vellum.functions import markdown as M
 from vellum.functions import text as T
-from vellum.operators import evaluation, graph, multisearch, search, stores, sync
+from vellum.operators import evaluation, graph, listings, multisearch, search, stores, sync
 from vellum.operators.chunking import chunk_notes
 from vellum.plans import model
 from vellum.plans.oracle import SQL
@@ -174,13 +175,13 @@ GRAPH = GraphOptions(6, 0.2)
 
 @query
 def knn_edges(spark, d):
-    return graph.knn_edges(_notes(spark, d), GRAPH).select("a", "b", *six("weight"))
+    return graph.knn_edges(_notes(spark, d), GRAPH).select("a", "b", *six("weight")).orderBy("a", "b")
 
 
 @query
 def knn_degrees(spark, d):
     notes = _notes(spark, d)
-    return graph.degrees(notes, graph.knn_edges(notes, GRAPH))
+    return graph.degrees(notes, graph.knn_edges(notes, GRAPH)).orderBy("id")
 
 
 @query
@@ -281,7 +282,7 @@ def error_sample(spark, d):
 def sessions_recent(spark, d):
     heads, turns = model.sessions(spark, d)
     bumped = stores.bump(heads, turns)
-    return bumped.select("id", "updated_at", T.session_title(F.col("first")).alias("title"))
+    return bumped.select("id", "updated_at", T.session_title(F.col("first")).alias("title")).orderBy(F.desc("updated_at"), F.desc("id"))
 
 
 @query
@@ -332,7 +333,7 @@ def _trash(spark, d):
 
 @query
 def trash_listing(spark, d):
-    return stores.trash_listing(_trash(spark, d)).withColumn("deleted_at", F.date_format("deleted_at", "yyyy-MM-dd HH:mm:ss"))
+    return stores.trash_listing(_trash(spark, d)).withColumn("deleted_at", F.date_format("deleted_at", "yyyy-MM-dd HH:mm:ss")).orderBy(F.desc("trash_id"))
 
 
 @query
@@ -544,3 +545,163 @@ def settings_parse(spark, d):
     """Settings in the events' properties: absent and out of range count as the default."""
     rows = model.table(spark, d, "events").select("event_id", F.from_json(F.to_json(F.struct((F.col("event_id") % 40).alias("k"), F.when(F.col("event_id") % 3 > 0, F.col("value") / 100).alias("minSim"))), "k int, minSim double").alias("s"))
     return rows.select("event_id", F.when(F.col("s.k").between(1, 30), F.col("s.k")).otherwise(10).alias("k"), F.round(F.when(F.col("s.minSim").between(0, 0.95), F.col("s.minSim")).otherwise(0.2), 6).alias("min_sim"))
+
+
+# Links, names and listings
+
+
+def _linked(spark, d):
+    """A line of links and code for each document."""
+    n = (F.col("doc_id") % 7).cast("string")
+    line = F.concat(F.lit("See [[My Note "), n, F.lit("#Part "), "lang", F.lit("]], `[[code]]` and [["), "source", F.lit("/x|"), "lang", F.lit("]]\n```\n[[kept]]\n```\n[[a&b"), n, F.lit("]]"))
+    return model.table(spark, d, "documents").select("doc_id", line.alias("body"))
+
+
+@query
+def links_rewritten(spark, d):
+    return _linked(spark, d).select("doc_id", L.rewrite_links("body").alias("linked"), L.flatten_links("body").alias("flat"))
+
+
+@query
+def source_labels(spark, d):
+    rows = model.notes(spark, d).withColumn("vault", F.when(F.col("doc_id") % 5 > 0, F.concat(F.lit("/home/"), "vault")).otherwise(""))
+    heading = F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("Part "), (F.col("doc_id") % 3).cast("string")))
+    return rows.select("doc_id", L.source_label(F.col("vault"), F.col("path"), heading).alias("label"))
+
+
+@query
+def group_vault_names(spark, d):
+    rows = model.table(spark, d, "documents").select("source", "doc_id", F.when(F.col("doc_id") % 4 > 0, F.col("lang")).otherwise("").alias("lang"))
+    return listings.names_in_order(rows, "source", "lang", "doc_id")
+
+
+@query
+def image_chips(spark, d):
+    i = F.col("event_id")
+    return model.table(spark, d, "events").select("event_id", L.chip_label(F.when(i % 3 == 0, F.col("event_type")).otherwise(""), F.when(i % 2 == 0, F.concat("event_type", F.lit(".png")))).alias("label"))
+
+
+@query
+def find_in_note(spark, d):
+    """Every place of a word in every document, with the number of the next one around the end."""
+    found = model.table(spark, d, "documents").select("doc_id", L.find_in_note(F.col("text"), F.lit("The")).alias("at"))
+    return found.select("doc_id", F.posexplode("at").alias("n", "start"), "at").select("doc_id", "n", "start", L.step_hit(F.col("n"), 1, F.col("at")).alias("next"))
+
+
+@query
+def properties_write(spark, d):
+    i = F.col("doc_id")
+    values = F.when(i % 3 == 0, F.array(F.col("lang"))).when(i % 3 == 1, F.array(F.col("lang"), F.col("source"))).otherwise(F.array().cast("array<string>"))
+    props = F.when(i % 4 > 0, F.array(F.struct(F.lit("source").alias("key"), F.array(F.col("source")).alias("values")), F.struct(F.lit("tags").alias("key"), values.alias("values")))).otherwise(F.array())
+    written = M.replace_properties(F.col("body"), props)
+    return _marked(spark, d).select("doc_id", F.regexp_extract(written, M.FRONTMATTER, 1).alias("block"), F.sha2(M.note_body(written).cast("binary"), 256).alias("body_hash"))
+
+
+@query
+def markdown_names(spark, d):
+    ext = F.element_at(F.array(*[F.lit(x) for x in ("", ".md", ".MD", ".Markdown", ".txt")]), (F.col("event_id") % 5 + 1).cast("int"))
+    name = F.concat(F.when(F.col("user_id") % 3 == 0, ".").otherwise(""), "event_type", ext)
+    return model.table(spark, d, "events").select("event_id", T.ensure_markdown_ext(name).alias("ensured"), T.trim_markdown_ext(name).alias("trimmed"), T.is_hidden(F.concat(F.lit(".a/"), name)).alias("hidden"))
+
+
+@query
+def property_assignments(spark, d):
+    i, e = F.col("event_id"), F.col("event_type")
+    sets = F.array(F.concat(F.lit("a="), e, F.lit(" , ,x")), F.concat(F.when(i % 2 == 0, "a=").otherwise("b="), i.cast("string")), F.when(i % 7 == 0, F.concat(F.lit("="), e)).when(i % 7 == 1, e).otherwise(F.lit("c=")))
+    read = model.table(spark, d, "events").select("event_id", T.assignments(sets).alias("r"))
+    shown = F.array_join(F.transform("r.props", lambda p: F.concat(p["key"], F.lit(":"), F.array_join(p["values"], "+"))), ";")
+    return read.select("event_id", "r.ok", shown.alias("props"))
+
+
+@query
+def kernel_names(spark, d):
+    i = F.col("event_id")
+    arg = F.concat("event_type", F.when(i % 3 == 0, "").when(i % 3 == 1, F.concat(F.lit("@1."), (i % 10).cast("string"))).otherwise("@x@2"))
+    return model.table(spark, d, "events").select("event_id", T.name_version(arg).alias("r")).select("event_id", "r.*")
+
+
+@query
+def utc_stamps(spark, d):
+    return model.table(spark, d, "events").select("event_id", T.utc_text(F.col("ts").cast("timestamp")).alias("at"))
+
+
+@query
+def turns_ordered(spark, d):
+    turns = model.sessions(spark, d)[1]
+    place = F.row_number().over(Window.partitionBy("session_id").orderBy("id"))
+    return turns.select("session_id", "id", "kind", place.alias("place")).orderBy("session_id", "id")
+
+
+@query
+def folders_visible(spark, d):
+    files = model.notes(spark, d).withColumn("path", F.concat("vault", F.lit("/"), "path"))
+    return listings.visible_folders(stores.tree(files).where("is_dir").select("path"), files.where("doc_id % 97 = 3"))
+
+
+@query
+def note_tree(spark, d):
+    """Notes and other files; each row with its place in its parent."""
+    files = model.notes(spark, d).withColumn("path", F.when(F.col("doc_id") % 3 == 0, F.concat("vault", F.lit("/pics/"), F.col("doc_id").cast("string"), F.lit(".png"))).otherwise(F.concat("vault", F.lit("/"), "path")))
+    place = F.row_number().over(Window.partitionBy("parent").orderBy(F.desc("is_dir"), "name"))
+    return listings.note_tree(files).select("path", "is_dir", place.alias("place"))
+
+
+@query
+def public_hits(spark, d):
+    found, leg = _leg(spark, d)
+    kept = search.band(leg, OPTIONS).join(found.select("id", "path", "heading", "vault"), "id")
+    return listings.public_hits(kept).select("qid", "path", "heading", "vault", *six("score"))
+
+
+@query
+def live_edges(spark, d):
+    edges = model.table(spark, d, "lineitem").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b")).distinct()
+    return listings.live_edges(edges, model.table(spark, d, "part").where("p_partkey % 3 > 0").select(F.col("p_partkey").alias("id")))
+
+
+@query
+def layout_bounds(spark, d):
+    rows = model.table(spark, d, "orders").select(F.col("o_custkey").alias("degree"), F.col("o_totalprice").cast("double").alias("x"), (-F.col("o_orderkey")).cast("double").alias("y"))
+    return listings.layout_bounds(rows)
+
+
+@query
+def hits_of_json(spark, d):
+    """Stored hits of each event, older ones without vault and model, some malformed."""
+    i = F.col("event_id")
+    new = F.to_json(F.array(F.struct(F.col("event_type").alias("path"), F.lit("h").alias("heading"), F.lit("v").alias("vault"), F.lit("m").alias("model"), (i % 8 / 4).alias("score"))))
+    old = F.concat(F.lit('[{"path": "'), "event_type", F.lit('", "heading": "h"}, {"path": "second"}]'))
+    stored = F.when(i % 4 == 0, new).when(i % 4 == 1, old).when(i % 4 == 2, "[{").otherwise(F.lit(None))
+    return model.table(spark, d, "events").select("event_id", F.posexplode(listings.hits_of_json(stored)).alias("n", "h")).select("event_id", "n", "h.*")
+
+
+@query
+def image_names(spark, d):
+    refs = model.table(spark, d, "events").select(F.col("event_id").alias("ord"), F.col("user_id").alias("image"), F.concat(F.lit("pic"), (F.col("user_id") % 7).cast("string"), F.lit(".png")).alias("name"))
+    return listings.image_names(refs)
+
+
+@query
+def letter_ordinals(spark, d):
+    """Of every part key below 18279 = 26 + 26^2 + 26^3 + 1 and beyond; levels of styles."""
+    return model.table(spark, d, "part").select("p_partkey", listings.letter_ordinal(F.col("p_partkey")).alias("letters"), listings.heading_level(F.col("p_partkey") % 11 - 2).alias("level"))
+
+
+@query
+def folder_delete(spark, d):
+    return listings.delete_prefix(model.notes(spark, d).select("path"), "src1", "path")
+
+
+@query
+def folder_move(spark, d):
+    notes = model.notes(spark, d)
+    there = notes.where("doc_id % 3 = 0").select(F.regexp_replace("path", "^src1/", "moved/").alias("path"))
+    return listings.move_folder(notes.select("path").union(there).distinct(), "src1", "moved")
+
+
+@query
+def trash_moves(spark, d):
+    """A seventh of the notes to the trash by two deletions, then one of these deleted for good."""
+    notes, one = model.notes(spark, d), F.concat(F.lit("20240101T00000"), (F.col("doc_id") % 2).cast("string"))
+    moved = listings.move_to_trash(notes.select("doc_id", "path"), notes.where("doc_id % 7 = 0"), one)
+    return listings.empty_trash(moved, spark.createDataFrame([("20240101T000001",)], "trash_id string"))

@@ -216,4 +216,26 @@ SQL: dict[str, str] = {
     "percent_encode": "SELECT doc_id, source || '/ein%20s%C3%BC%C3%9Fer%20text/' || lang || '%20%C3%A9.md' AS encoded FROM documents",
     "embed_prefixes": f"WITH n AS (SELECT doc_id, {BASE_MODELS}[doc_id % 5 + 1] AS name FROM documents) SELECT doc_id, {prefix_sql(1)} AS query_prefix, {prefix_sql(2)} AS doc_prefix FROM n",
     "settings_parse": "SELECT event_id, CAST(CASE WHEN event_id % 40 BETWEEN 1 AND 30 THEN event_id % 40 ELSE 10 END AS INT) AS k, round(CASE WHEN event_id % 3 > 0 AND value / 100 BETWEEN 0 AND 0.95 THEN value / 100 ELSE 0.2 END, 6) AS min_sim FROM events",
+    "links_rewritten": "WITH d AS (SELECT doc_id, lang, source, doc_id % 7 AS n FROM documents) SELECT doc_id, 'See [My Note ' || n || ' › Part ' || lang || '](note:My%20Note%20' || n || '#Part%20' || lang || '), `[[code]]` and [' || lang || '](note:' || source || '%2Fx)' || e'\n```\n[[kept]]\n```\n' || '[a&b' || n || '](note:a&b' || n || ')' AS linked, 'See My Note ' || n || ' › Part ' || lang || ', `[[code]]` and ' || lang || e'\n```\n[[kept]]\n```\n' || 'a&b' || n AS flat FROM d",
+    "source_labels": "SELECT doc_id, CASE WHEN doc_id % 5 > 0 THEN lang || ' › ' ELSE '' END || source || '/doc-' || doc_id || '.md' || CASE WHEN doc_id % 3 > 0 THEN ' › Part ' || doc_id % 3 ELSE '' END AS label FROM documents",
+    "group_vault_names": "WITH f AS (SELECT source, lang, min(doc_id) FILTER (doc_id % 4 > 0) AS first FROM documents GROUP BY ALL) SELECT source, coalesce(string_agg(lang, ', ' ORDER BY first) FILTER (first IS NOT NULL), '') AS names FROM f GROUP BY source",
+    "image_chips": "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_type WHEN event_id % 2 = 0 THEN event_type || '.png' ELSE 'image' END AS label FROM events",
+    "find_in_note": "WITH p AS (SELECT doc_id, string_split(lower(text), 'the') AS s FROM documents), l AS (SELECT doc_id, unnest(s) AS part, generate_subscripts(s, 1) - 1 AS n, len(s) - 1 AS hits FROM p), a AS (SELECT doc_id, n, hits, sum(length(part)) OVER (PARTITION BY doc_id ORDER BY n) + 3 * n AS start FROM l) SELECT doc_id, CAST(n AS INT) AS n, CAST(start AS INT) AS start, CAST((n + 1) % hits AS INT) AS next FROM a WHERE n < hits",
+    "properties_write": f"WITH {MARKED} SELECT doc_id, CASE WHEN doc_id % 4 > 0 THEN 'source: ' || source || chr(10) || CASE doc_id % 3 WHEN 0 THEN 'tags: ' || lang || chr(10) WHEN 1 THEN 'tags:' || chr(10) || '    - ' || lang || chr(10) || '    - ' || source || chr(10) ELSE 'tags:' || chr(10) END ELSE '' END AS block, sha256(body) AS body_hash FROM marked",
+    "markdown_names": "WITH n AS (SELECT event_id, CASE WHEN user_id % 3 = 0 THEN '.' ELSE '' END || event_type AS stem, ['', '.md', '.MD', '.Markdown', '.txt'][event_id % 5 + 1] AS ext FROM events) SELECT event_id, stem || ext || CASE WHEN ext IN ('', '.txt') THEN '.md' ELSE '' END AS ensured, CASE WHEN ext = '.txt' THEN stem || ext ELSE stem END AS trimmed, stem[1] = '.' AS hidden FROM n",
+    "property_assignments": "SELECT event_id, event_id % 7 > 1 AS ok, CASE WHEN event_id % 7 > 1 THEN CASE WHEN event_id % 2 = 0 THEN 'a:' || event_id ELSE 'a:' || event_type || '+x;b:' || event_id END || ';c:' END AS props FROM events",
+    "kernel_names": "SELECT event_id, event_type || CASE WHEN event_id % 3 = 2 THEN '@x' ELSE '' END AS name, CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN '1.' || event_id % 10 ELSE '2' END AS version FROM events",
+    "utc_stamps": "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS at FROM events",
+    "turns_ordered": f"WITH {TURNS} SELECT session_id, id, kind, CAST(row_number() OVER (PARTITION BY session_id ORDER BY id) AS INT) AS place FROM turns",
+    "folders_visible": "WITH s AS (SELECT lang, source FROM documents WHERE doc_id % 97 = 3) SELECT lang AS path FROM s UNION SELECT lang || '/' || source FROM s",
+    "note_tree": "WITH f AS (SELECT *, CASE WHEN doc_id % 3 = 0 THEN 'pics' ELSE source END AS folder FROM documents), t AS (SELECT lang || '/' || source || '/doc-' || doc_id || '.md' AS path, lang || '/' || source AS parent, 'doc-' || doc_id || '.md' AS name, false AS is_dir FROM f WHERE doc_id % 3 > 0 UNION ALL SELECT DISTINCT lang || '/' || folder, lang, folder, true FROM f UNION ALL SELECT DISTINCT lang, '', lang, true FROM f) SELECT path, is_dir, CAST(row_number() OVER (PARTITION BY parent ORDER BY is_dir DESC, name) AS INT) AS place FROM t",
+    "public_hits": f"WITH {CHUNKS}, {SELF}, {leg()}, {band()} SELECT b.qid, c.path, c.heading, c.vault, round(b.sim, 6) AS score FROM banded b JOIN chunks c ON b.id = c.id",
+    "live_edges": "SELECT DISTINCT l_partkey AS a, l_suppkey AS b FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_partkey % 3 > 0) AND l_suppkey IN (SELECT p_partkey FROM part WHERE p_partkey % 3 > 0)",
+    "layout_bounds": "SELECT max(o_custkey) AS most, min(o_totalprice)::DOUBLE AS min_x, max(o_totalprice)::DOUBLE AS max_x, min(-o_orderkey)::DOUBLE AS min_y, max(-o_orderkey)::DOUBLE AS max_y FROM orders",
+    "hits_of_json": "SELECT event_id, CAST(0 AS INT) AS n, event_type AS path, 'h' AS heading, 'v' AS vault, 'm' AS model, event_id % 8 / 4 AS score FROM events WHERE event_id % 4 = 0 UNION ALL SELECT event_id, 0, event_type, 'h', '', '', 0 FROM events WHERE event_id % 4 = 1 UNION ALL SELECT event_id, 1, 'second', '', '', '', 0 FROM events WHERE event_id % 4 = 1",
+    "image_names": "WITH f AS (SELECT user_id AS image, min(event_id) AS ord FROM events GROUP BY 1), n AS (SELECT image, row_number() OVER (PARTITION BY image % 7 ORDER BY ord) AS n FROM f) SELECT image, 'pic' || image % 7 || CASE WHEN n > 1 THEN '-' || n ELSE '' END || '.png' AS name FROM n",
+    "letter_ordinals": "WITH p AS (SELECT p_partkey, p_partkey - 1 AS z FROM part), l AS (SELECT *, chr(CAST(97 + greatest(z, 0) % 26 AS INT)) AS c1, CASE WHEN z >= 26 THEN chr(CAST(97 + (z // 26 - 1) % 26 AS INT)) ELSE '' END AS c2, CASE WHEN z >= 702 THEN chr(CAST(97 + ((z // 26 - 1) // 26 - 1) % 26 AS INT)) ELSE '' END AS c3, CASE WHEN z >= 18278 THEN chr(CAST(97 + (((z // 26 - 1) // 26 - 1) // 26 - 1) % 26 AS INT)) ELSE '' END AS c4 FROM p) SELECT p_partkey, CASE WHEN z < 0 THEN '' ELSE c4 || c3 || c2 || c1 END AS letters, CAST(least(greatest(p_partkey % 11 - 2, 1), 6) AS INT) AS level FROM l",
+    "folder_delete": "SELECT source || '/doc-' || doc_id || '.md' AS path FROM documents WHERE source <> 'src1'",
+    "folder_move": "SELECT 'src1/doc-' || doc_id || '.md' AS path, CASE WHEN doc_id % 3 = 0 THEN 'src1/doc-' ELSE 'moved/doc-' END || doc_id || '.md' AS target, CASE WHEN doc_id % 3 = 0 THEN 'taken' ELSE 'moved' END AS status FROM documents WHERE source = 'src1'",
+    "trash_moves": "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN '.trash/20240101T000000/' ELSE '' END || source || '/doc-' || doc_id || '.md' AS path FROM documents WHERE doc_id % 7 > 0 OR doc_id % 2 = 0",
 }
