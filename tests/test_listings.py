@@ -21,6 +21,18 @@ def test_links_in_indented_code_and_spans_stay(spark):
     assert one(spark, (None,), "t string", L.flatten_links("t")) == ""
 
 
+def test_tables_of_links_and_code_in_sql(spark):
+    from vellum.operators import tables
+
+    tables.register(spark)
+    body = "[[a#b|c]] `[[x]]`\n```sh\n[[y]]\n```\n[[d]]"
+    spark.createDataFrame([(1, body), (2, None), (3, "")], "id int, body string").createOrReplaceTempView("some_notes")
+    assert spark.sql("SELECT id, n, target, heading, label FROM some_notes, LATERAL note_links(body) ORDER BY n").collect() == [(1, 0, "a", "b", "c"), (1, 1, "d", "", "")]
+    assert spark.sql("SELECT id, idx, lang, code FROM some_notes, LATERAL note_code(body)").collect() == [(1, 0, "sh", "[[y]]\n")]
+    chunks = spark.sql("SELECT id, idx, text FROM some_notes, LATERAL note_chunks(body)").collect()
+    assert [(r.id, r.idx) for r in chunks] == [(1, 0)] and "[[d]]" in chunks[0].text
+
+
 def test_properties_keep_order_and_body(spark):
     props = "p array<struct<key: string, values: array<string>>>"
     write = M.replace_properties(F.col("t"), F.col("p"))

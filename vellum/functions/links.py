@@ -47,6 +47,18 @@ def outside_code(text: str, change: Callable[[re.Match], str]) -> str:
     return "\n".join(lines)
 
 
+def links_in(text: str) -> list[tuple[str, str, str]]:
+    """(target, heading, label) of every link outside code, in order."""
+    found: list[tuple[str, str, str]] = []
+
+    def note(m: re.Match) -> str:
+        found.append((m[1].strip(), m[2] or "", m[3] or ""))
+        return m[0]
+
+    outside_code(text, note)
+    return found
+
+
 @F.pandas_udf(StringType())
 def rewrite_links(body: pd.Series) -> pd.Series:
     """Wikilinks as Markdown links; code stays as it is; null: empty."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from vellum.functions import links as L
 from vellum.functions import markdown as M
 from vellum.functions import text as T
-from vellum.operators import evaluation, graph, listings, multisearch, search, stores, sync
+from vellum.operators import evaluation, graph, listings, multisearch, search, stores, sync, tables
 from vellum.operators.chunking import chunk_notes
 from vellum.plans import model
 from vellum.plans.oracle import SQL
@@ -705,3 +705,13 @@ def trash_moves(spark, d):
     notes, one = model.notes(spark, d), F.concat(F.lit("20240101T00000"), (F.col("doc_id") % 2).cast("string"))
     moved = listings.move_to_trash(notes.select("doc_id", "path"), notes.where("doc_id % 7 = 0"), one)
     return listings.empty_trash(moved, spark.createDataFrame([("20240101T000001",)], "trash_id string"))
+
+
+@query
+def sql_note_tables(spark, d):
+    """Links and code blocks of every note, by table functions in SQL."""
+    tables.register(spark)
+    return spark.sql(
+        """SELECT doc_id, 'link' AS kind, n, target AS value FROM {notes}, LATERAL note_links(body)
+        UNION ALL SELECT doc_id, 'code', idx, c.lang FROM {notes}, LATERAL note_code(body) AS c""", notes=_marked(spark, d),
+    )

@@ -238,4 +238,5 @@ SQL: dict[str, str] = {
     "folder_delete": "SELECT source || '/doc-' || doc_id || '.md' AS path FROM documents WHERE source <> 'src1'",
     "folder_move": "SELECT 'src1/doc-' || doc_id || '.md' AS path, CASE WHEN doc_id % 3 = 0 THEN 'src1/doc-' ELSE 'moved/doc-' END || doc_id || '.md' AS target, CASE WHEN doc_id % 3 = 0 THEN 'taken' ELSE 'moved' END AS status FROM documents WHERE source = 'src1'",
     "trash_moves": "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN '.trash/20240101T000000/' ELSE '' END || source || '/doc-' || doc_id || '.md' AS path FROM documents WHERE doc_id % 7 > 0 OR doc_id % 2 = 0",
+    "sql_note_tables": f"{LINKS} SELECT doc_id, 'link' AS kind, CAST(n AS INT) AS n, target AS value FROM links UNION ALL SELECT doc_id, 'code', 0, lower(lang) FROM documents",
 }
