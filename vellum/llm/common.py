@@ -12,8 +12,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of whole texts handed to a Python worker at a time.
-TEXT_ROWS = 512
+#: Rows and bytes of whole texts handed to a Python worker at a time.
+TEXT_ROWS, TEXT_BYTES = 512, "32m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,8 +21,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Whole texts go to Python a few hundred at a time, which bounds a worker's memory."""
+    """Whole texts go to Python a few hundred rows or megabytes at a time, which bounds a worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", TEXT_BYTES)
 
 
 @cache

@@ -12,6 +12,7 @@ from vellum.llm.op07_substring_dedup import op7_substring_dedup
 from vellum.llm.op08_licenses import op8_licenses
 from vellum.llm.op09_simhash import op9_simhash
 from vellum.llm.op10_packing import op10_packing
+from vellum.llm import op11_line_dedup as lines
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_quality, op3_toxicity, op4_language, op5_ann, op6_bpe, op7_substring_dedup, op8_licenses, op9_simhash, op10_packing)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_quality, op3_toxicity, op4_language, op5_ann, op6_bpe, op7_substring_dedup, op8_licenses, op9_simhash, op10_packing, lines.op11_line_dedup)}
+SQL: dict[str, str] = {"op11_line_dedup": lines.SQL}
