@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellum.operators.keyword_index import Postings, postings_of
 from vellum.operators.search import band, drop_adjacent, fuse, keyword_leg, vector_leg
 from vellum.schema import SearchOptions
 
@@ -16,22 +17,24 @@ def merged_vectors(queries: DataFrame, chunks: DataFrame, options: SearchOptions
     return band(legs.withColumn("rn", F.row_number().over(order)), options, ["qid", "model"])
 
 
-def interleaved_keywords(queries: DataFrame, chunks: DataFrame, options: SearchOptions) -> DataFrame:
-    """Keyword legs of the vaults by rank, then vault: everyone's first, everyone's second, and so on."""
-    vaults = chunks.select("vault", "model").distinct()
-    legs = None
-    for row in vaults.orderBy("vault").collect():  # a row per vault; each vault is an index of its own
-        own = chunks.where((F.col("vault") == row["vault"]) & (F.col("model") == row["model"]))
-        leg = keyword_leg(queries, own, options).select("qid", F.lit(row["model"]).alias("model"), F.lit(row["vault"]).alias("vault"), "id", "rn")
-        legs = leg if legs is None else legs.unionByName(leg)
+def interleaved_keywords(queries: DataFrame, chunks: DataFrame, posted: Postings, options: SearchOptions) -> DataFrame:
+    """Keyword legs of the vaults by rank, then vault: everyone's first, everyone's second, and so on.
+
+    Each vault is an index of its own, all of them in one plan.
+    """
+    leg = keyword_leg(queries, posted, options, ["vault"]).join(chunks.select("id", "model"), "id")
     order = Window.partitionBy("qid", "model").orderBy("rn", "vault")
-    return legs.withColumn("rn", F.row_number().over(order))
+    return leg.select("qid", "model", "vault", "id", F.row_number().over(order).alias("rn"))
+
 
+def model_groups(queries: DataFrame, chunks: DataFrame, options: SearchOptions | None = None, posted: Postings | None = None) -> DataFrame:
+    """qid, group_pos, model, pos, vault, id, path, idx, score: groups by their best score, hits inside.
 
-def model_groups(queries: DataFrame, chunks: DataFrame, options: SearchOptions | None = None) -> DataFrame:
-    """qid, group_pos, model, pos, vault, id, path, idx, score: groups by their best score, hits inside."""
+    Every query asks all vaults and models.
+    """
     options = options or SearchOptions()
-    fused = fuse(merged_vectors(queries, chunks, options), interleaved_keywords(queries, chunks, options), chunks, options, ["qid", "model"])
+    posted = posted or postings_of(chunks)
+    fused = fuse(merged_vectors(queries, chunks, options), interleaved_keywords(queries, chunks, posted, options), chunks, options, ["qid", "model"])
     kept = drop_adjacent(fused, ["qid", "model"], ("vault", "path")).where(F.col("final") <= options.depth)
     hits = fused.join(kept.select("qid", "model", "id", "final"), ["qid", "model", "id"])
     top = F.max("score").over(Window.partitionBy("qid", "model"))

@@ -1,77 +1,147 @@
 """Hybrid search over chunks for many queries at once: cosine leg, BM25 leg, band, fusion, dedup.
 
 Chunks are (id, path, idx, heading, text, embedding) and may have scope columns (vault, model);
-queries are (qid, vec) for the cosine leg and (qid, query) for the keyword leg.
+queries are (qid, vec) for the cosine leg and (qid, query) for the keyword leg. The keyword leg reads
+postings: those of a stored index, or of chunks that are tokenised for one search.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from vellum.functions import text as T
 from vellum.functions.vectors import unit
+from vellum.operators.keyword_index import COLUMNS, Postings, postings_of
 from vellum.schema import SearchOptions
 
 K1, B = 1.2, 0.75
-COLUMNS = ("path", "heading", "text")
-
-
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+#: Rows, and queries, that a task of the vector leg holds at once; fewer rows than LEAST_BLOCK aren't parted for the sake of more tasks.
+ROW_BLOCK, QUERY_BLOCK, LEAST_BLOCK = 8192, 8192, 512
 
 
-def nearest(queries: DataFrame, rows: DataFrame, k: int, floor: float, scope: list[str] = ()) -> DataFrame:
-    """(qid, *scope, id, sim): each query's k most similar rows with sim >= floor, in its scope.
+def nearest(queries: DataFrame, rows: DataFrame, k: int, floor: float, scope: list[str] = (), centres: int = 1) -> DataFrame:
+    """(qid, *scope, id, sim, rn): each query's k most similar rows with sim >= floor, in every scope.
 
-    queries: qid, own (id never returned, may be null), u; rows: id, u (unit vectors); both with the
-    scope columns. Rows are dealt to blocks and meet every query block by block; a block returns k
-    rows a query at most, so nothing but those is shuffled again.
+    queries: qid, own (id never returned, may be null), u; rows: id, u (unit vectors) and the scope
+    columns. Both are dealt to blocks of a bounded number of rows, and a task holds one block of
+    each; it returns k rows a query and scope at most, so nothing but those is shuffled again.
+    centres: how many groups of near rows the blocks come from. Pairs of groups whose angles can't
+    reach the floor aren't compared, which is exact. Vectors of different lengths have similarity 0.
     """
-    spark = rows.sparkSession
-    blocks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    keys = [*scope, "_block"]
-    rows = rows.where("u is not null").select(*scope, "id", "u", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("_block"))
-    asked = queries.where("u is not null").select(*scope, "qid", "own", F.col("u").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
+    rows = rows.where("u is not null").select(*scope, "id", "u")
+    asked = queries.where("u is not null").select("qid", "own", F.col("u").alias("q"))
+    at = _centres(rows, centres) if centres > 1 else None
+    rows, asked = _grouped(rows, "u", at, "_r"), _grouped(asked, "q", at, "_q")
+    pairs = _pairs(rows, asked, at, floor)
+    keys = ["_q", "_qs", "_r", "_rs"]
+    # At most centres x centres pairs.
+    rows = rows.join(F.broadcast(pairs), "_r").withColumn("_rs", F.pmod(F.xxhash64("id"), F.col("_rn"))).withColumn("_qs", F.explode(F.sequence(F.lit(0), F.col("_qn") - 1))).select(*keys, *scope, "id", "u")
+    asked = asked.join(F.broadcast(pairs), "_q").withColumn("_qs", F.pmod(F.xxhash64("qid"), F.col("_qn"))).withColumn("_rs", F.explode(F.sequence(F.lit(0), F.col("_rn") - 1))).select(*keys, "qid", "own", "q")
+    schema = ", ".join([*(f"{c} string" for c in scope), "qid long", "id long", "sim double"])
 
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
-        out: list[tuple] = []
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        names = [tuple(n) for n in zip(*(a.column(c).to_pylist() for c in scope))] if scope else [()] * a.num_rows
         if a.num_rows and b.num_rows:
-            x, ids = _matrix(a.column("u")), a.column("id").to_numpy()
-            q, qids, own = _matrix(b.column("q")), b.column("qid").to_numpy(), b.column("own").to_pandas().fillna(-1).to_numpy().astype(np.int64)
-            for lo in range(0, len(q), 256):
-                sims = q[lo : lo + 256] @ x.T
+            starts, code = np.unique([repr(n) for n in names], return_inverse=True) if scope else ([""], np.zeros(a.num_rows, np.int64))
+            ids, qids, own = a.column("id").to_numpy(), b.column("qid").to_numpy(), b.column("own").to_pandas().fillna(-1).to_numpy().astype(np.int64)
+            x, q = _by_length(a.column("u")), _by_length(b.column("q"))
+            for lo in range(0, len(qids), 256):
+                sims = np.zeros((min(256, len(qids) - lo), len(ids)))
+                for n, (where, m) in q.items():
+                    mine = (where >= lo) & (where < lo + 256)
+                    if n in x and mine.any():
+                        sims[np.ix_(where[mine] - lo, x[n][0])] = m[mine] @ x[n][1].T
                 sims[own[lo : lo + 256, None] == ids] = -np.inf
                 for i, s in enumerate(sims):
-                    least = max(floor, np.partition(s, -k)[-k]) if len(s) > k else floor
-                    at = np.flatnonzero(s >= least)
-                    at = at[np.lexsort((ids[at], -s[at]))][:k]
-                    out.append((np.full(len(at), qids[lo + i]), ids[at], s[at]))
-        found = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        table = {c: pa.array([b.column(c)[0].as_py()] * len(found[0]), a.schema.field(c).type) for c in scope if b.num_rows} if scope else {}
-        if scope and not b.num_rows:
-            table = {c: pa.array([], a.schema.field(c).type) for c in scope}
-        return pa.table({**table, "qid": found[0], "id": found[1], "sim": found[2]})
+                    for c in range(len(starts)):
+                        here = np.flatnonzero(code == c) if len(starts) > 1 else np.arange(len(ids))
+                        least = max(floor, np.partition(s[here], -k)[-k]) if len(here) > k else floor
+                        some = here[s[here] >= least]
+                        some = some[np.lexsort((ids[some], -s[some]))][:k]
+                        found.append((np.full(len(some), lo + i), some, s[some]))
+        which, rows_at, sims = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        scoped = {c: pa.array([names[r][j] for r in rows_at], pa.string()) for j, c in enumerate(scope)}
+        return pa.table({**scoped, "qid": pa.array(b.column("qid").to_numpy()[which] if len(which) else which), "id": pa.array(a.column("id").to_numpy()[rows_at] if len(rows_at) else rows_at), "sim": pa.array(sims)})
 
-    schema = ", ".join([*(f"{c} string" for c in scope), "qid long", "id long", "sim double"])
     met = rows.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(meet, schema)
     best = Window.partitionBy("qid", *scope).orderBy(F.desc("sim"), "id")
     return met.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= k).select("qid", *scope, "id", "sim", "rn")
 
 
+def _by_length(column: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """The vectors of each length as a matrix, and their places."""
+    lists = column.combine_chunks()
+    sizes, flat = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes)
+    out = {}
+    for n in np.unique(sizes):
+        at = np.flatnonzero(sizes == n)
+        out[int(n)] = at, flat[((ends[at] - n)[:, None] + np.arange(n)).ravel()].reshape(len(at), n)
+    return out
+
+
+def _centres(rows: DataFrame, n: int) -> np.ndarray:
+    """Vectors of n rows of the commonest length, chosen by hashes of their ids."""
+    length = rows.groupBy(F.size("u").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
+    if not length:
+        return np.zeros((1, 0))
+    return np.asarray([r["u"] for r in rows.where(F.size("u") == length[0]["n"]).orderBy(F.xxhash64("id"), "id").limit(n).collect()])
+
+
+def _grouped(rows: DataFrame, vector: str, at: np.ndarray | None, name: str) -> DataFrame:
+    """rows with their centre (name) and the angle to it (_a); a vector of another length has angle pi to the first."""
+    if at is None:
+        return rows.withColumns({name: F.lit(0), "_a": F.lit(math.pi)})
+    place = rows.columns.index(vector)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            centre, angle = np.zeros(batch.num_rows, np.int32), np.full(batch.num_rows, math.pi)
+            for n, (where, m) in _by_length(pa.chunked_array([batch.column(place)])).items():
+                if n == at.shape[1]:
+                    sims = m @ at.T
+                    centre[where] = sims.argmax(axis=1)
+                    angle[where] = np.arccos(np.clip(sims.max(axis=1), -1, 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(centre), pa.array(angle)], names=[*batch.schema.names, name, "_a"])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(name, IntegerType()), StructField("_a", DoubleType())]))
+
+
+def _pairs(rows: DataFrame, asked: DataFrame, at: np.ndarray | None, floor: float) -> DataFrame:
+    """_q, _r: centres whose groups may hold a pair as similar as floor; _qn, _rn: blocks of each."""
+    sizes = lambda df, c: {r[0]: (r[1], r[2]) for r in df.groupBy(c).agg(F.count("*"), F.max("_a")).collect()}
+    r, q = sizes(rows, "_r"), sizes(asked, "_q")
+    widest = math.acos(min(max(floor, -1.0), 1.0)) + 1e-6
+    far = np.arccos(np.clip(at @ at.T, -1, 1)) if at is not None else np.zeros((1, 1))
+    tasks = rows.sparkSession.sparkContext.defaultParallelism
+    blocks = lambda n, most: max(-(-n // most), min(tasks, -(-n // LEAST_BLOCK)))
+    found = [(i, j, -(-n // QUERY_BLOCK), blocks(m, ROW_BLOCK)) for i, (n, a) in q.items() for j, (m, b) in r.items() if floor <= 0 or far[i, j] - a - b <= widest]
+    return rows.sparkSession.createDataFrame(found, "_q int, _r int, _qn int, _rn int")
+
+
 def vector_leg(queries: DataFrame, chunks: DataFrame, options: SearchOptions, scope: list[str] = ()) -> DataFrame:
-    """Pool of the most similar chunks above the floor: qid, id, sim, rn."""
-    asked = queries.where("vec is not null").select(*scope, "qid", *([F.col("own")] if "own" in queries.columns else [F.lit(None).cast("long").alias("own")]), unit(F.col("vec")).alias("u"))
+    """Pool of the most similar chunks above the floor in every scope: qid, *scope, id, sim, rn."""
+    own = F.col("own") if "own" in queries.columns else F.lit(None).cast("long")
+    asked = queries.where("vec is not null").select("qid", own.alias("own"), unit(F.col("vec")).alias("u"))
     return nearest(asked, chunks.select(*scope, "id", unit(F.col("embedding")).alias("u")), options.pool, options.min_sim, scope)
 
 
-def band(leg: DataFrame, options: SearchOptions, by: list[str] = ("qid",)) -> DataFrame:
-    """Rows within the band under the best similarity; the first few stay in any case. rn is their rank."""
-    order = Window.partitionBy(*by).orderBy("rn")
-    cutoff = F.greatest(F.first("sim").over(order) * options.top_ratio, F.lit(options.min_sim))
-    return leg.withColumn("_cut", cutoff).where((F.col("sim") >= F.col("_cut")) | (F.col("rn") <= options.band_floor)).drop("_cut")
+def band(leg: DataFrame, options: SearchOptions, by: list[str] = ("qid",), ratio: Column | None = None, sim: str = "sim", rn: str = "rn") -> DataFrame:
+    """Rows within the band under the best similarity; the first few stay in any case. rn is their rank.
+
+    ratio: the band's share of the best similarity where it isn't the options' one, as a column.
+    """
+    order = Window.partitionBy(*by).orderBy(rn)
+    cutoff = F.greatest(F.first(sim).over(order) * (F.lit(options.top_ratio) if ratio is None else ratio), F.lit(options.min_sim))
+    return leg.withColumn("_cut", cutoff).where((F.col(sim) >= F.col("_cut")) | (F.col(rn) <= options.band_floor)).drop("_cut")
 
 
 def drop_adjacent(hits: DataFrame, by: list[str] = ("qid",), note: tuple[str, ...] = ("path",)) -> DataFrame:
@@ -87,12 +157,6 @@ def drop_adjacent(hits: DataFrame, by: list[str] = ("qid",), note: tuple[str, ..
     return listed.select(*by, F.explode(F.transform(kept, lambda h, i: F.struct(h["id"].alias("id"), h["pos"].alias("pos"), (i + 1).alias("final")))).alias("k")).select(*by, "k.*")
 
 
-def postings(chunks: DataFrame, scope: list[str] = ()) -> DataFrame:
-    """A row per term occurrence: id, col, pos, term."""
-    columns = F.array(*[F.struct(F.lit(i).alias("col"), T.tokens(F.coalesce(c, F.lit(""))).alias("terms")) for i, c in enumerate(COLUMNS)])
-    return chunks.select(*scope, "id", F.explode(columns).alias("c")).select(*scope, "id", "c.col", F.posexplode("c.terms").alias("pos", "term"))
-
-
 def phrases(queries: DataFrame, stopwords: list[str] = T.STOPWORDS, trim: str = "") -> DataFrame:
     """qid, phrase, terms, n: a query's distinct phrases and how often each stands in it."""
     listed = F.transform(T.query_tokens(F.col("query"), stopwords, trim), T.tokens)
@@ -100,43 +164,74 @@ def phrases(queries: DataFrame, stopwords: list[str] = T.STOPWORDS, trim: str =
     return rows.groupBy("qid", F.array_join("terms", " ").alias("phrase"), "terms").agg(F.count("*").alias("n"))
 
 
-def phrase_matches(phrase: DataFrame, posted: DataFrame, scope: list[str] = ()) -> DataFrame:
-    """phrase, id, col, tf: places where a phrase's terms stand next to each other in one column."""
-    parts = phrase.select("phrase", "terms").distinct().select("phrase", F.size("terms").alias("size"), F.posexplode("terms").alias("off", "term"))
-    met = posted.join(parts, "term").groupBy(*scope, "phrase", "size", "id", "col", (F.col("pos") - F.col("off")).alias("start")).agg(F.count("*").alias("have"))
-    return met.where("have = size").groupBy(*scope, "phrase", "id", "col").agg(F.count("*").alias("tf"))
+MATCH = "vault string, phrase string, size int, id long, len int, col int, start int"
 
 
-def bm25(queries: DataFrame, chunks: DataFrame, weights=(2.0, 1.5, 1.0), stopwords: list[str] = T.STOPWORDS, trim: str = "", every: bool = False) -> DataFrame:
-    """qid, id, score of all chunks that match any phrase (every: all phrases) of a query."""
-    posted = postings(chunks)
-    sizes = posted.groupBy("id").agg(F.count("*").alias("len"))
-    total = sizes.agg(F.sum("len").alias("s")).join(chunks.agg(F.count("*").alias("n"))).first()  # two numbers
-    n, mean = float(total["n"] or 0), float(total["s"] or 0) / max(float(total["n"] or 0), 1.0) or 1.0
+def _starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Where a phrase would start if a term's places are its off-th term's (vault, phrase, size, id, len, off, gaps)."""
+    for batch in batches:
+        columns = batch.column(6)
+        gaps = columns.flatten()
+        counts, values = np.diff(gaps.offsets.to_numpy()), gaps.flatten().to_numpy().astype(np.int64)
+        row = np.repeat(np.arange(batch.num_rows), np.diff(columns.offsets.to_numpy()))
+        col = np.arange(len(row)) % len(COLUMNS)
+        ends = np.cumsum(counts)
+        sums = np.concatenate([[0], np.cumsum(values)])
+        places = sums[1:] - np.repeat(sums[ends - counts], counts)
+        of = np.repeat(row, counts)
+        start = places - batch.column(5).to_numpy()[of]
+        yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(of)) for i in range(5)), pa.array(np.repeat(col, counts).astype(np.int32)), pa.array(start.astype(np.int32))], names=["vault", "phrase", "size", "id", "len", "col", "start"])
+
+
+def phrase_matches(phrase: DataFrame, posted: Postings) -> DataFrame:
+    """vault, phrase, id, len, tfs: chunks where a phrase's terms stand next to each other in one column, and how often in each.
+
+    phrase: phrase, terms. Terms that stand alone are read off the postings without their places.
+    """
+    distinct = phrase.select("phrase", "terms").distinct()
+    one = distinct.where("size(terms) = 1").select("phrase", F.col("terms")[0].alias("term"))
+    alone = posted.of_terms(one).join(one, "term").select("vault", "phrase", "id", "len", "tfs")
+    parts = distinct.where("size(terms) > 1").select("phrase", F.size("terms").alias("size"), F.posexplode("terms").alias("off", "term"))
+    met = posted.of_terms(parts).join(parts, "term").select("vault", "phrase", "size", "id", "len", "off", "gaps").mapInArrow(_starts, MATCH)
+    whole = met.groupBy("vault", "phrase", "size", "id", "len", "col", "start").agg(F.count("*").alias("have")).where("have = size")
+    tfs = F.array(*[F.count_if(F.col("col") == i).cast("int") for i in range(len(COLUMNS))])
+    return alone.unionByName(whole.groupBy("vault", "phrase", "id", "len").agg(tfs.alias("tfs")))
+
+
+def bm25(queries: DataFrame, posted: Postings, weights=(2.0, 1.5, 1.0), stopwords: list[str] = T.STOPWORDS, trim: str = "", every: bool = False, scope: list[str] = ()) -> DataFrame:
+    """qid, *scope, id, score of all chunks that match any phrase (every: all phrases) of a query.
+
+    scope: [] for one index of all chunks, or ["vault"], where each vault is an index of its own.
+    """
     asked = phrases(queries, stopwords, trim)
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.col("col") + 1)
-    matched = phrase_matches(asked, posted).groupBy("phrase", "id").agg(F.sum(F.col("tf") * weight).alias("wtf"))
-    df = matched.groupBy("phrase").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("wtf") * (K1 + 1) / (F.col("wtf") + K1 * (1 - B + B * F.col("len") / mean))
-    scored = matched.join(df, "phrase").join(sizes, "id").select("phrase", "id", part.alias("part"))
-    found = scored.join(asked, "phrase").groupBy("qid", "id").agg(F.sum(F.col("part") * F.col("n")).alias("score"), F.count("*").alias("met"))
+    found = phrase_matches(asked, posted)
+    wtf = sum((F.col("tfs")[i] * float(w) for i, w in enumerate(weights)), F.lit(0.0))
+    df = found.groupBy(*scope, "phrase").agg(F.count("*").alias("df"))
+    totals = posted.sizes.groupBy(*scope).agg(F.count("*").cast("double").alias("n"), F.sum("len").cast("double").alias("s"))
+    if scope:
+        df = df.join(totals, scope)
+    else:
+        df = df.withColumns({"n": totals.select("n").scalar(), "s": totals.select("s").scalar()})
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    wanted = asked.select("qid", "phrase", F.col("n").alias("times")).join(df.select(*scope, "phrase", idf.alias("idf"), (F.col("s") / F.col("n")).alias("mean")), "phrase")
+    part = F.col("idf") * F.col("wtf") * (K1 + 1) / (F.col("wtf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
+    scored = found.select(*scope, "phrase", "id", "len", wtf.alias("wtf")).join(wanted, [*scope, "phrase"])
+    found = scored.groupBy("qid", *scope, "id").agg(F.sum(part * F.col("times")).alias("score"), F.count("*").alias("met"))
     if every:
-        wanted = asked.groupBy("qid").agg(F.count("*").alias("want"))
-        found = found.join(wanted, "qid").where("met = want")
-    return found.select("qid", "id", "score")
+        found = found.join(asked.groupBy("qid").agg(F.count("*").alias("want")), "qid").where("met = want")
+    return found.select("qid", *scope, "id", "score")
 
 
-def keyword_leg(queries: DataFrame, chunks: DataFrame, options: SearchOptions, **how) -> DataFrame:
-    """Pool of the best BM25 chunks: qid, id, score, rn; scores equal to nine places are ties, by path and idx."""
-    scored = bm25(queries, chunks, options.weights, **how).join(chunks.select("id", "path", "idx"), "id")
-    best = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "path", "idx")
-    return scored.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= options.pool).select("qid", "id", "score", "rn")
+def keyword_leg(queries: DataFrame, posted: Postings, options: SearchOptions, scope: list[str] = (), **how) -> DataFrame:
+    """Pool of the best BM25 chunks: qid, *scope, id, score, rn; scores equal to nine places are ties, by path and idx."""
+    scored = bm25(queries, posted, options.weights, scope=scope, **how).join(posted.sizes.select("id", "path", "idx"), "id")
+    best = Window.partitionBy("qid", *scope).orderBy(F.desc(F.round("score", 9)), "path", "idx")
+    return scored.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= options.pool).select("qid", *scope, "id", "score", "rn")
 
 
-def and_then_or(queries: DataFrame, chunks: DataFrame, options: SearchOptions) -> DataFrame:
+def and_then_or(queries: DataFrame, posted: Postings, options: SearchOptions) -> DataFrame:
     """Chunks with all phrases first, then those with any, up to the pool: qid, id, rn."""
-    both = keyword_leg(queries, chunks, options, every=True).withColumn("tier", F.lit(0)).unionByName(keyword_leg(queries, chunks, options).withColumn("tier", F.lit(1)))
+    both = keyword_leg(queries, posted, options, every=True).withColumn("tier", F.lit(0)).unionByName(keyword_leg(queries, posted, options).withColumn("tier", F.lit(1)))
     once = both.groupBy("qid", "id").agg(F.min(F.struct("tier", "rn")).alias("r"))
     order = Window.partitionBy("qid").orderBy("r")
     return once.select("qid", "id", F.row_number().over(order).alias("rn")).where(F.col("rn") <= options.pool)
@@ -155,17 +250,19 @@ def fuse(vectors: DataFrame, keywords: DataFrame, chunks: DataFrame, options: Se
     return both.withColumn("pos", F.row_number().over(order))
 
 
-def search(queries: DataFrame, chunks: DataFrame, options: SearchOptions | None = None) -> DataFrame:
-    """Hits of hybrid search: qid, pos, id, path, idx, score, sim, vec_rank, fts_rank (0: not in that leg).
+def search(queries: DataFrame, chunks: DataFrame, options: SearchOptions | None = None, posted: Postings | None = None, scope: list[str] = ()) -> DataFrame:
+    """Hits of hybrid search: qid, *scope, pos, id, path, idx, score, sim, vec_rank, fts_rank (0: not in that leg).
 
-    queries: qid, query, vec (null: keyword leg only), and maybe own.
+    queries: qid, query, vec (null: keyword leg only), and maybe own. posted: the stored keyword
+    index's postings; without them the chunks are tokenised for this search. scope: ["vault"] to
+    search every vault by itself.
     """
     options = options or SearchOptions()
-    store = chunks.drop("vault", "model")
-    vectors = band(vector_leg(queries, store, options), options)
-    fused = fuse(vectors, keyword_leg(queries, store, options), store, options)
-    kept = drop_adjacent(fused).where(F.col("final") <= options.depth)
-    hits = fused.join(kept.select("qid", "id", "final"), ["qid", "id"])
-    return hits.select("qid", F.col("final").alias("pos"), "id", "path", "idx", "score", "sim", F.coalesce("vec_rank", F.lit(0)).alias("vec_rank"), F.coalesce("fts_rank", F.lit(0)).alias("fts_rank"))
-
-
+    posted = posted or postings_of(chunks)
+    by = ["qid", *scope]
+    store = chunks.drop(*({"vault", "model"} - set(scope)))
+    vectors = band(vector_leg(queries, store, options, scope), options, by)
+    fused = fuse(vectors, keyword_leg(queries, posted, options, scope), store, options, by)
+    kept = drop_adjacent(fused, by).where(F.col("final") <= options.depth)
+    hits = fused.join(kept.select(*by, "id", "final"), [*by, "id"])
+    return hits.select(*by, F.col("final").alias("pos"), "id", "path", "idx", "score", "sim", F.coalesce("vec_rank", F.lit(0)).alias("vec_rank"), F.coalesce("fts_rank", F.lit(0)).alias("fts_rank"))

@@ -64,8 +64,8 @@ def vector_dedup_adjacent(spark, d):
 
 @query
 def tokens_df(spark, d):
-    posted = search.postings(model.chunks(spark, d))
-    return posted.groupBy("term").agg(F.count("*").alias("n"), F.count_distinct("id").alias("df"))
+    posted = model.keyword_index(spark, d).postings().rows
+    return posted.groupBy("term").agg(F.sum(F.aggregate("tfs", F.lit(0).cast("long"), lambda s, x: s + x)).alias("n"), F.count_distinct("id").alias("df"))
 
 
 @query
@@ -74,41 +74,41 @@ def sanitize_query(spark, d):
 
 
 def _keywords(spark, d):
+    """Chunks, queries, and the chunks' stored keyword index."""
     found = model.chunks(spark, d)
-    return found, model.hybrid_queries(spark, d, found)
+    return found, model.hybrid_queries(spark, d, found), model.keyword_index(spark, d).postings()
 
 
 @query
 def bm25_topk(spark, d):
-    found, asked = _keywords(spark, d)
-    return search.keyword_leg(asked, found, SearchOptions(weights=(1.0, 1.0, 1.0))).select("qid", "id", "rn", *six("score"))
+    found, asked, posted = _keywords(spark, d)
+    return search.keyword_leg(asked, posted, SearchOptions(weights=(1.0, 1.0, 1.0))).select("qid", "id", "rn", *six("score"))
 
 
 @query
 def bm25_weighted(spark, d):
-    found, asked = _keywords(spark, d)
-    return search.keyword_leg(asked, found, OPTIONS).select("qid", "id", "rn", *six("score"))
+    found, asked, posted = _keywords(spark, d)
+    return search.keyword_leg(asked, posted, OPTIONS).select("qid", "id", "rn", *six("score"))
 
 
 @query
 def stopdrop_variant(spark, d):
-    found, asked = _keywords(spark, d)
-    return search.keyword_leg(asked, found, OPTIONS, stopwords=T.VARIANT_STOPWORDS, trim=T.VARIANT_TRIM).select("qid", "id", "rn", *six("score"))
+    found, asked, posted = _keywords(spark, d)
+    return search.keyword_leg(asked, posted, OPTIONS, stopwords=T.VARIANT_STOPWORDS, trim=T.VARIANT_TRIM).select("qid", "id", "rn", *six("score"))
 
 
 @query
 def and_or_variant(spark, d):
-    found, asked = _keywords(spark, d)
-    return search.and_then_or(asked, found, OPTIONS)
+    found, asked, posted = _keywords(spark, d)
+    return search.and_then_or(asked, posted, OPTIONS)
 
 
 @query
 def phrase_match(spark, d):
-    """Places of every benchmark passage's first sentence as one phrase in the chunks."""
-    found = model.chunks(spark, d)
-    first = F.split("text", r"[.\n]")[0]
-    asked = model.table(spark, d, "benchmark").select(T.tokens(first).alias("terms")).where("size(terms) > 0").select(F.array_join("terms", " ").alias("phrase"), "terms")
-    return search.phrase_matches(asked, search.postings(found)).groupBy("phrase", "id").agg(F.sum("tf").alias("places"))
+    """Places of every benchmark passage as one phrase in the chunks."""
+    asked = model.table(spark, d, "benchmark").select(T.tokens(F.col("text")).alias("terms")).where("size(terms) > 0").select(F.array_join("terms", " ").alias("phrase"), "terms")
+    places = F.aggregate("tfs", F.lit(0).cast("long"), lambda s, x: s + x)
+    return search.phrase_matches(asked, model.keyword_index(spark, d).postings()).select("phrase", "id", places.alias("places"))
 
 
 # Fusion
@@ -116,20 +116,20 @@ def phrase_match(spark, d):
 
 @query
 def rrf_hybrid(spark, d):
-    found, asked = _keywords(spark, d)
-    return search.search(asked, found, OPTIONS).select("qid", "pos", "id", "path", "idx", "vec_rank", "fts_rank", *six("score", "sim"))
+    found, asked, posted = _keywords(spark, d)
+    return search.search(asked, found, OPTIONS, posted).select("qid", "pos", "id", "path", "idx", "vec_rank", "fts_rank", *six("score", "sim"))
 
 
 @query
 def rrf_weighted(spark, d):
-    found, asked = _keywords(spark, d)
-    return search.search(asked, found, SearchOptions(vector_weight=2.0, keyword_weight=0.5, rrf=20)).select("qid", "pos", "id", "vec_rank", "fts_rank", *six("score"))
+    found, asked, posted = _keywords(spark, d)
+    return search.search(asked, found, SearchOptions(vector_weight=2.0, keyword_weight=0.5, rrf=20), posted).select("qid", "pos", "id", "vec_rank", "fts_rank", *six("score"))
 
 
 @query
 def keyword_only_degrade(spark, d):
-    found, asked = _keywords(spark, d)
-    return search.search(asked.withColumn("vec", F.lit(None).cast("array<float>")), found, OPTIONS).select("qid", "pos", "id", "vec_rank", "fts_rank", *six("score", "sim"))
+    found, asked, posted = _keywords(spark, d)
+    return search.search(asked.withColumn("vec", F.lit(None).cast("array<float>")), found, OPTIONS, posted).select("qid", "pos", "id", "vec_rank", "fts_rank", *six("score", "sim"))
 
 
 # Across vaults
@@ -138,19 +138,19 @@ def keyword_only_degrade(spark, d):
 @query
 def multi_vector_merge(spark, d):
     found = model.chunks(spark, d)
-    return multisearch.merged_vectors(model.everywhere(model.vector_queries(found), found), found, OPTIONS).select("qid", "model", "rn", "vault", "id", *six("sim"))
+    return multisearch.merged_vectors(model.vector_queries(found), found, OPTIONS).select("qid", "model", "rn", "vault", "id", *six("sim"))
 
 
 @query
 def keyword_interleave(spark, d):
-    found, asked = _keywords(spark, d)
-    return multisearch.interleaved_keywords(asked, found, OPTIONS).select("qid", "model", "rn", "vault", "id")
+    found, asked, posted = _keywords(spark, d)
+    return multisearch.interleaved_keywords(asked, found, posted, OPTIONS).select("qid", "model", "rn", "vault", "id")
 
 
 @query
 def model_groups(spark, d):
-    found, asked = _keywords(spark, d)
-    return multisearch.model_groups(model.everywhere(asked, found), found, OPTIONS).select("qid", "group_pos", "model", "pos", "vault", "id", *six("score"))
+    found, asked, posted = _keywords(spark, d)
+    return multisearch.model_groups(asked, found, OPTIONS, posted).select("qid", "group_pos", "model", "pos", "vault", "id", *six("score"))
 
 
 @query
@@ -192,46 +192,43 @@ def title_filter(spark, d):
 # Evaluation
 
 
-def _ranked(spark, d, options=OPTIONS):
+def _judged(spark, d, ratios):
+    """Notes that vector search finds for each band ratio, by rank; the queries; the labels of notes."""
     found = model.chunks(spark, d)
-    leg = search.band(search.vector_leg(model.vector_queries(found), found.drop("vault", "model"), options), options)
-    hits = leg.join(found.select("id", "note"), "id").select("qid", F.col("rn").alias("pos"), "note")
+    leg = search.vector_leg(model.vector_queries(found), found.drop("vault", "model"), OPTIONS)
+    leg = leg.withColumn("ratio", F.explode(F.array(*[F.lit(r) for r in ratios])))
+    hits = search.band(leg, OPTIONS, ["ratio", "qid"], F.col("ratio")).join(found.select("id", "note"), "id").select("ratio", "qid", F.col("rn").alias("pos"), "note")
     asked = found.where(F.col("id") % 20 == 0).select(F.col("id").alias("qid"), F.col("note").alias("own"), "label")
-    others = found.groupBy("label", "note").agg(F.lit(1).alias("_"))
-    grades = asked.join(others, "label").select("qid", "note", F.when(F.col("note") == F.col("own"), 3).otherwise(2).alias("grade"))
-    return evaluation.collapse(hits), grades, asked
+    ranked = evaluation.collapse(hits, ["ratio", "qid"])
+    every = asked.withColumn("ratio", F.explode(F.array(*[F.lit(r) for r in ratios])))
+    return evaluation.label_scores(ranked, every, found.select("note", "label"), ["ratio", "qid"]), asked
 
 
 @query
 def ndcg_mrr_recall(spark, d):
-    ranked, grades, _ = _ranked(spark, d)
-    return evaluation.scores(ranked, grades).select("qid", *six("ndcg10", "mrr10", "recall5", "recall10"))
+    return _judged(spark, d, [OPTIONS.top_ratio])[0].select("qid", *six("ndcg10", "mrr10", "recall5", "recall10"))
 
 
 @query
 def metrics_by_kind(spark, d):
-    ranked, grades, asked = _ranked(spark, d)
-    return evaluation.macro(evaluation.scores(ranked, grades).join(asked, "qid"), "label").select("label", "queries", *six("ndcg10", "mrr10", "recall5", "recall10"))
+    scored, asked = _judged(spark, d, [OPTIONS.top_ratio])
+    return evaluation.macro(scored.join(asked, "qid"), "label").select("label", "queries", *six("ndcg10", "mrr10", "recall5", "recall10"))
 
 
 @query
 def param_sweep(spark, d):
-    rows = None
-    for ratio in (0.6, 0.75, 0.9):
-        ranked, grades, _ = _ranked(spark, d, SearchOptions(top_ratio=ratio))
-        one = evaluation.macro(evaluation.scores(ranked, grades)).select(F.lit(ratio).alias("top_ratio"), "queries", *six("ndcg10", "mrr10", "recall5", "recall10"))
-        rows = one if rows is None else rows.unionByName(one)
-    return rows
+    scored, _ = _judged(spark, d, [0.6, 0.75, 0.9])
+    return evaluation.macro(scored, "ratio").select(F.col("ratio").alias("top_ratio"), "queries", *six("ndcg10", "mrr10", "recall5", "recall10"))
 
 
 @query
 def parity_check(spark, d):
-    """Search over one vault alone equals the fused search over just that vault, query by query."""
-    found, asked = _keywords(spark, d)
-    one = found.where("vault = 'v0'")
-    plain = search.search(asked, one, OPTIONS).select("qid", "pos", F.col("id").alias("note"))
-    fused = multisearch.model_groups(model.everywhere(asked, one), one, OPTIONS).select("qid", "pos", F.col("id").alias("note"))
-    return evaluation.parity(plain, fused)
+    """Search over every vault alone equals the fused search over just that vault, query by query."""
+    found, asked, posted = _keywords(spark, d)
+    plain = search.search(asked, found, OPTIONS, posted, ["vault"]).select("vault", "qid", "pos", F.col("id").alias("note"))
+    alone = found.withColumn("model", F.col("vault"))
+    fused = multisearch.model_groups(asked, alone, OPTIONS, posted).select("vault", "qid", "pos", F.col("id").alias("note"))
+    return evaluation.parity(plain, fused, ["vault", "qid"])
 
 
 # Sync and stores
@@ -359,7 +356,7 @@ def unique_anchor_edit(spark, d):
 @query
 def vault_status(spark, d):
     vaults = model.notes(spark, d).groupBy("vault").agg(F.count("*").alias("notes"))
-    live = model.chunks(spark, d).groupBy(F.col("heading").alias("vault")).agg(F.count("*").alias("chunks"))
+    live = model.chunks(spark, d).where("embedding is not null").groupBy(F.col("heading").alias("vault")).agg(F.count("*").alias("chunks"))
     return vaults.join(live, "vault", "left").select("vault", "notes", F.coalesce("chunks", F.lit(0)).alias("chunks"), F.col("chunks").isNotNull().alias("available"))
 
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellum.operators.keyword_index import KeywordIndex
+from vellum.shared import fresh_path
+
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
@@ -18,20 +21,23 @@ def notes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks: five documents with vectors make a note, notes are dealt to four vaults and two models."""
+    """Chunks of all documents and vectors: five make a note, notes are dealt to four vaults and two models.
+
+    A document without a vector has a null embedding, a vector without a document no text.
+    """
     docs = table(spark, d, "documents").select("doc_id", "lang", "text")
-    rows = table(spark, d, "embeddings").join(docs, F.col("vec_id") == F.col("doc_id"))
-    note = F.floor(F.col("vec_id") / 5)
+    rows = table(spark, d, "embeddings").join(docs, F.col("vec_id") == F.col("doc_id"), "full").withColumn("_id", F.coalesce("vec_id", "doc_id"))
+    note = F.floor(F.col("_id") / 5)
     vault = note % 4
     return rows.select(
-        F.col("vec_id").alias("id"), note.alias("note"), F.concat(F.lit("v"), vault.cast("string")).alias("vault"), F.concat(F.lit("m"), F.floor(vault / 2).cast("string")).alias("model"),
-        F.concat(F.lit("note-"), note.cast("string"), F.lit(".md")).alias("path"), (F.col("vec_id") % 5).cast("int").alias("idx"), F.col("lang").alias("heading"), "text", "embedding", "label",
+        F.col("_id").alias("id"), note.alias("note"), F.concat(F.lit("v"), vault.cast("string")).alias("vault"), F.concat(F.lit("m"), F.floor(vault / 2).cast("string")).alias("model"),
+        F.concat(F.lit("note-"), note.cast("string"), F.lit(".md")).alias("path"), (F.col("_id") % 5).cast("int").alias("idx"), F.col("lang").alias("heading"), "text", "embedding", "label",
     )
 
 
 def vector_queries(found: DataFrame) -> DataFrame:
     """qid, own, vec: every chunk whose id is divisible by 20 asks for its neighbours."""
-    return found.where(F.col("id") % 20 == 0).select(F.col("id").alias("qid"), F.col("id").alias("own"), F.col("embedding").alias("vec"))
+    return found.where((F.col("id") % 20 == 0) & F.col("embedding").isNotNull()).select(F.col("id").alias("qid"), F.col("id").alias("own"), F.col("embedding").alias("vec"))
 
 
 def hybrid_queries(spark: SparkSession, d: str, found: DataFrame) -> DataFrame:
@@ -41,10 +47,9 @@ def hybrid_queries(spark: SparkSession, d: str, found: DataFrame) -> DataFrame:
     return asked.join(vectors, F.col("qid") == F.col("_n"), "left").select("qid", "query", "own", "vec")
 
 
-def everywhere(queries: DataFrame, found: DataFrame) -> DataFrame:
-    """A row of each query for every vault and its model (as many as there are vaults)."""
-    scopes = [F.struct(F.lit(r["vault"]).alias("vault"), F.lit(r["model"]).alias("model")) for r in found.select("vault", "model").distinct().orderBy("vault").collect()]
-    return queries.select("*", F.explode(F.array(*scopes)).alias("_s")).select(*queries.columns, "_s.vault", "_s.model")
+def keyword_index(spark: SparkSession, d: str) -> KeywordIndex:
+    """The chunks' keyword index, written to the shared folder."""
+    return KeywordIndex.build(chunks(spark, d), fresh_path(spark, "keyword-index"))
 
 
 def sessions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

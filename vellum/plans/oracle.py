@@ -6,16 +6,15 @@ from vellum.functions.text import FAMILIES, STOPWORDS, VARIANT_STOPWORDS
 
 CHUNKS = """
 chunks AS (
-  SELECT e.vec_id AS id, e.vec_id // 5 AS note, 'v' || ((e.vec_id // 5) % 4) AS vault, 'm' || (((e.vec_id // 5) % 4) // 2) AS model,
-         'note-' || (e.vec_id // 5) || '.md' AS path, CAST(e.vec_id % 5 AS INT) AS idx, d.lang AS heading, d.text, e.label, e.embedding::DOUBLE[] AS v
-  FROM embeddings e JOIN documents d ON e.vec_id = d.doc_id)"""
-SELF = "asked AS (SELECT id AS qid, id AS own, v FROM chunks WHERE id % 20 = 0)"
+  SELECT id, id // 5 AS note, 'v' || ((id // 5) % 4) AS vault, 'm' || (((id // 5) % 4) // 2) AS model, 'note-' || (id // 5) || '.md' AS path, CAST(id % 5 AS INT) AS idx, heading, text, label, v
+  FROM (SELECT coalesce(e.vec_id, d.doc_id) AS id, d.lang AS heading, d.text, e.label, e.embedding::DOUBLE[] AS v FROM embeddings e FULL JOIN documents d ON e.vec_id = d.doc_id))"""
+SELF = "asked AS (SELECT id AS qid, id AS own, v FROM chunks WHERE id % 20 = 0 AND v IS NOT NULL)"
 TEXTS = "asked AS (SELECT b.item_id AS qid, b.text AS query, c.id AS own, c.v FROM benchmark b LEFT JOIN chunks c ON c.id = 20 * b.item_id)"
 
 
 def leg(by: str = "qid", k: int = 40) -> str:
     return f"""
-pairs AS (SELECT a.qid, c.id, c.model, c.vault, list_cosine_similarity(a.v, c.v) AS sim FROM asked a JOIN chunks c ON a.v IS NOT NULL AND c.id IS DISTINCT FROM a.own),
+pairs AS (SELECT a.qid, c.id, c.model, c.vault, list_cosine_similarity(a.v, c.v) AS sim FROM asked a JOIN chunks c ON a.v IS NOT NULL AND c.v IS NOT NULL AND c.id IS DISTINCT FROM a.own),
 leg AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY sim DESC, id) AS rn FROM pairs WHERE sim >= 0.2) WHERE rn <= {k})"""
 
 
@@ -149,6 +148,15 @@ merged AS (SELECT qid, model, vault, id, sim, row_number() OVER (PARTITION BY qi
 INTERLEAVED = "kw AS (SELECT qid, model, vault, id, row_number() OVER (PARTITION BY qid, model ORDER BY kw0.rn, vault) AS rn FROM kw0 JOIN (SELECT DISTINCT vault, model FROM chunks) USING (vault))"
 DATE = "CASE WHEN year(ts) = year(now) THEN strftime(ts, '%b ') || day(ts) ELSE strftime(ts, '%b ') || day(ts) || strftime(ts, ', %Y') END"
 
+_ONE_MODEL = CHUNKS.replace("'m' || (((id // 5) % 4) // 2) AS model", "'v' || ((id // 5) % 4) AS model")
+_EVERY = CHUNKS.replace("chunks AS", "every AS")
+_ALONE = " UNION ALL ".join(
+    f"SELECT 'v{v}' AS vault, qid, pos, id FROM ({hybrid('score').replace(CHUNKS, _EVERY + f', chunks AS (SELECT * FROM every WHERE vault = {chr(39)}v{v}{chr(39)})').replace(TEXTS, TEXTS.replace('chunks c', 'every c'))})" for v in range(4)
+)
+_FUSED = f"WITH RECURSIVE {_ONE_MODEL}, {TEXTS}, {MERGED}, {keywords(by='vault').replace('kw AS (SELECT', 'kw0 AS (SELECT')}, {INTERLEAVED}, {fused('qid, model', more='vault')}, {greedy('ranked', 'qid, model', "vault || '/' || path")} SELECT model AS vault, qid, final AS pos, id FROM final WHERE final <= 10"
+PARITY = f"""WITH a AS ({_ALONE}), b AS ({_FUSED}), la AS (SELECT vault, qid, list(id ORDER BY pos) AS l FROM a GROUP BY ALL), lb AS (SELECT vault, qid, list(id ORDER BY pos) AS l FROM b GROUP BY ALL)
+SELECT vault, qid, coalesce(la.l = lb.l, false) AS same FROM la FULL JOIN lb USING (vault, qid)"""
+
 SQL: dict[str, str] = {
     "vector_topk": f"WITH {CHUNKS}, {SELF}, {leg()} SELECT qid, CAST(rn AS INT) AS rn, id, round(sim, 6) AS sim FROM leg WHERE rn <= 10",
     "vector_band": f"WITH {CHUNKS}, {SELF}, {leg()}, {band()} SELECT qid, CAST(rn AS INT) AS rn, id, round(sim, 6) AS sim FROM banded",
@@ -159,7 +167,7 @@ SQL: dict[str, str] = {
     "bm25_weighted": f"WITH {CHUNKS}, {TEXTS}, {keywords()} SELECT qid, id, CAST(rn AS INT) AS rn, round(score, 6) AS score FROM kw",
     "stopdrop_variant": f"WITH {CHUNKS}, {TEXTS}, {keywords(VARIANT_STOPWORDS, test="lower(trim(t, '.,;:!?" + chr(34) + "''()[]'))")} SELECT qid, id, CAST(rn AS INT) AS rn, round(score, 6) AS score FROM kw",
     "and_or_variant": f"WITH {CHUNKS}, {TEXTS}, {keywords()}, anys AS (SELECT qid, id, 1 AS tier, rn FROM kw), want AS (SELECT qid, count(*) AS want FROM phrases GROUP BY qid), alls AS (SELECT * FROM (SELECT s.qid, s.id, 0 AS tier, row_number() OVER (PARTITION BY s.qid ORDER BY round(score, 9) DESC, path, idx) AS rn FROM scored s JOIN want USING (qid) JOIN chunks c USING (id) WHERE found = want) WHERE rn <= 40), once AS (SELECT qid, id, min({{'tier': tier, 'rn': rn}}) AS r FROM (SELECT * FROM alls UNION ALL SELECT * FROM anys) GROUP BY ALL) SELECT * FROM (SELECT qid, id, CAST(row_number() OVER (PARTITION BY qid ORDER BY r) AS INT) AS rn FROM once) WHERE rn <= 40",
-    "phrase_match": rf"WITH {CHUNKS}, firsts AS (SELECT DISTINCT {TOKENS.format("regexp_split_to_array(text, '[.\\n]')[1]")} AS terms FROM benchmark), phrases AS (SELECT array_to_string(terms, ' ') AS phrase FROM firsts WHERE len(terms) > 0), cols AS (SELECT id, ' ' || array_to_string({TOKENS.format('path')}, ' ') || ' ' AS t FROM chunks UNION ALL SELECT id, ' ' || array_to_string({TOKENS.format('heading')}, ' ') || ' ' FROM chunks UNION ALL SELECT id, ' ' || array_to_string({TOKENS.format('text')}, ' ') || ' ' FROM chunks) SELECT phrase, id, sum((length(replace(t, ' ', '  ')) - length(replace(replace(t, ' ', '  '), ' ' || replace(phrase, ' ', '  ') || ' ', ''))) // (length(replace(phrase, ' ', '  ')) + 2))::BIGINT AS places FROM cols JOIN phrases ON contains(t, ' ' || phrase || ' ') GROUP BY ALL",
+    "phrase_match": rf"WITH {CHUNKS}, firsts AS (SELECT DISTINCT {TOKENS.format("text")} AS terms FROM benchmark), phrases AS (SELECT array_to_string(terms, ' ') AS phrase FROM firsts WHERE len(terms) > 0), cols AS (SELECT id, ' ' || array_to_string({TOKENS.format('path')}, ' ') || ' ' AS t FROM chunks UNION ALL SELECT id, ' ' || array_to_string({TOKENS.format('heading')}, ' ') || ' ' FROM chunks UNION ALL SELECT id, ' ' || array_to_string({TOKENS.format('text')}, ' ') || ' ' FROM chunks) SELECT phrase, id, sum((length(replace(t, ' ', '  ')) - length(replace(replace(t, ' ', '  '), ' ' || replace(phrase, ' ', '  ') || ' ', ''))) // (length(replace(phrase, ' ', '  ')) + 2))::BIGINT AS places FROM cols JOIN phrases ON contains(t, ' ' || phrase || ' ') GROUP BY ALL",
     "rrf_hybrid": hybrid("path, idx, CAST(vec_rank AS INT) AS vec_rank, CAST(fts_rank AS INT) AS fts_rank, round(score, 6) AS score, round(sim, 6) AS sim"),
     "rrf_weighted": hybrid("CAST(vec_rank AS INT) AS vec_rank, CAST(fts_rank AS INT) AS fts_rank, round(score, 6) AS score", vw=2.0, kw=0.5, rrf=20),
     "keyword_only_degrade": hybrid("CAST(vec_rank AS INT) AS vec_rank, CAST(fts_rank AS INT) AS fts_rank, round(score, 6) AS score, round(sim, 6) AS sim", TEXTS.replace("c.id AS own, c.v", "NULL::BIGINT AS own, NULL::DOUBLE[] AS v")),
@@ -174,7 +182,7 @@ SQL: dict[str, str] = {
     "ndcg_mrr_recall": evaluated("SELECT qid, round(ndcg10, 6) AS ndcg10, round(mrr10, 6) AS mrr10, round(recall5, 6) AS recall5, round(recall10, 6) AS recall10 FROM scores"),
     "metrics_by_kind": evaluated(f"SELECT label, count(*) AS queries, {MEANS} FROM scores JOIN chunks ON id = qid GROUP BY label"),
     "param_sweep": " UNION ALL ".join(f"SELECT * FROM ({evaluated(f'SELECT {r}::DOUBLE AS top_ratio, count(*) AS queries, {MEANS} FROM scores', r)})" for r in (0.6, 0.75, 0.9)),
-    "parity_check": f"WITH {CHUNKS.replace('ON e.vec_id = d.doc_id)', "ON e.vec_id = d.doc_id WHERE (e.vec_id // 5) % 4 = 0)")}, {TEXTS}, {leg()}, {band()}, {keywords()} SELECT DISTINCT qid, true AS same FROM (SELECT qid FROM banded UNION ALL SELECT qid FROM kw)",
+    "parity_check": PARITY,
     "sync_plan": f"{PLAN} SELECT path, action FROM plan",
     "sync_prune": f"{PLAN} SELECT path FROM plan WHERE action = 'prune'",
     "sync_stats": f"{PLAN} SELECT count(*) FILTER (action = 'index') AS indexed, count(*) FILTER (action = 'skip') AS skipped, count(*) FILTER (action = 'prune') AS pruned FROM plan",
@@ -192,7 +200,7 @@ SQL: dict[str, str] = {
     "restore_names": f"WITH {TRASH}, n AS (SELECT *, row_number() OVER (PARTITION BY rel ORDER BY trash_id) - 1 AS n FROM trash) SELECT trash_id, {suffix('rel', 'n', 1, 'restored')} AS target FROM n",
     "collision_suffix": f"WITH i AS (SELECT event_id AS ord, event_type || '-' || user_id % 50 || '.md' AS name FROM events), n AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY ord) - 1 + CASE WHEN starts_with(name, 'click-') THEN 1 ELSE 0 END AS n FROM i) SELECT ord, name, {suffix('name', 'n', 1, '')} AS target FROM n",
     "unique_anchor_edit": "WITH c AS (SELECT doc_id, text, (length(text) - length(replace(text, 'ing.', ''))) // 4 AS n FROM documents) SELECT doc_id, CASE WHEN n = 0 THEN 'not found' WHEN n > 1 THEN 'ambiguous' ELSE 'edited' END AS status, sha256(CASE WHEN n = 1 THEN replace(text, 'ing.', '[edited]') ELSE text END) AS body_hash FROM c",
-    "vault_status": f"WITH {CHUNKS}, live AS (SELECT heading AS vault, count(*) AS chunks FROM chunks GROUP BY 1) SELECT lang AS vault, count(*) AS notes, coalesce(any_value(chunks), 0) AS chunks, any_value(chunks) IS NOT NULL AS available FROM documents LEFT JOIN live ON live.vault = lang GROUP BY lang",
+    "vault_status": f"WITH {CHUNKS}, live AS (SELECT heading AS vault, count(*) AS chunks FROM chunks WHERE v IS NOT NULL GROUP BY 1) SELECT lang AS vault, count(*) AS notes, coalesce(any_value(chunks), 0) AS chunks, any_value(chunks) IS NOT NULL AS available FROM documents LEFT JOIN live ON live.vault = lang GROUP BY lang",
     "frontmatter_split": f"WITH {MARKED} SELECT doc_id, 'tags: [a, ' || lang || ']' || chr(10) || 'source: ' || source || chr(10) AS block, sha256(body) AS body_hash FROM marked",
     "frontmatter_props": "SELECT doc_id, 'a,' || lang AS tags, source FROM documents",
     "wikilinks": f"{LINKS} SELECT doc_id, CAST(n AS INT) AS n, target, heading, label FROM links",
