@@ -39,12 +39,12 @@ class Postings:
     rows: DataFrame
     sizes: DataFrame
 
-    def of_terms(self, terms: DataFrame) -> DataFrame:
-        """Postings in the folders of these terms (term); at most BUCKETS numbers come to the driver."""
+    def of_terms(self, terms: DataFrame) -> Postings:
+        """These, from the folders of these terms (term) only; at most BUCKETS numbers come to the driver."""
         if "bucket" not in self.rows.columns:
-            return self.rows
+            return self
         wanted = [r[0] for r in terms.select(bucket_of("term")).distinct().collect()]
-        return self.rows.where(F.col("bucket").isin(wanted)).drop("bucket")
+        return Postings(self.rows.where(F.col("bucket").isin(wanted)).drop("bucket"), self.sizes)
 
 
 def _terms(chunks: DataFrame) -> DataFrame:

@@ -35,8 +35,7 @@ def model_groups(queries: DataFrame, chunks: DataFrame, options: SearchOptions |
     options = options or SearchOptions()
     posted = posted or postings_of(chunks)
     fused = fuse(merged_vectors(queries, chunks, options), interleaved_keywords(queries, chunks, posted, options), chunks, options, ["qid", "model"])
-    kept = drop_adjacent(fused, ["qid", "model"], ("vault", "path")).where(F.col("final") <= options.depth)
-    hits = fused.join(kept.select("qid", "model", "id", "final"), ["qid", "model", "id"])
+    hits = drop_adjacent(fused, ["qid", "model"], ("vault", "path")).where(F.col("final") <= options.depth)
     top = F.max("score").over(Window.partitionBy("qid", "model"))
     hits = hits.withColumn("best", top)
     place = F.dense_rank().over(Window.partitionBy("qid").orderBy(F.desc("best"), "model"))

@@ -145,16 +145,16 @@ def band(leg: DataFrame, options: SearchOptions, by: list[str] = ("qid",), ratio
 
 
 def drop_adjacent(hits: DataFrame, by: list[str] = ("qid",), note: tuple[str, ...] = ("path",)) -> DataFrame:
-    """Hits in rank order (pos) without those next to a kept hit of the same note.
+    """Hits in rank order (pos) without those next to a kept hit of the same note; final is their place among the kept.
 
     A fold over at most a pool's hits of one query, as whether a hit stays depends on those kept.
     """
     key = F.concat_ws("\0", *note)
-    row = F.struct("pos", key.alias("note"), "idx", "id")
-    listed = hits.groupBy(*by).agg(F.array_sort(F.collect_list(row)).alias("l"))
-    near = lambda kept, h: F.exists(kept, lambda k: (k["note"] == h["note"]) & (F.abs(k["idx"] - h["idx"]) <= 1))
+    more = [c for c in hits.columns if c not in (*by, "pos", "idx")]
+    listed = hits.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("pos", key.alias("_note"), "idx", *more))).alias("l"))
+    near = lambda kept, h: F.exists(kept, lambda k: (k["_note"] == h["_note"]) & (F.abs(k["idx"] - h["idx"]) <= 1))
     kept = F.aggregate("l", F.slice("l", 1, 0), lambda acc, h: F.when(near(acc, h), acc).otherwise(F.concat(acc, F.array(h))))
-    return listed.select(*by, F.explode(F.transform(kept, lambda h, i: F.struct(h["id"].alias("id"), h["pos"].alias("pos"), (i + 1).alias("final")))).alias("k")).select(*by, "k.*")
+    return listed.select(*by, F.posexplode(kept).alias("_n", "k")).select(*by, "k.*", (F.col("_n") + 1).alias("final")).drop("_note")
 
 
 def phrases(queries: DataFrame, stopwords: list[str] = T.STOPWORDS, trim: str = "") -> DataFrame:
@@ -189,10 +189,11 @@ def phrase_matches(phrase: DataFrame, posted: Postings) -> DataFrame:
     phrase: phrase, terms. Terms that stand alone are read off the postings without their places.
     """
     distinct = phrase.select("phrase", "terms").distinct()
+    posted = posted.of_terms(distinct.select(F.explode("terms").alias("term")))
     one = distinct.where("size(terms) = 1").select("phrase", F.col("terms")[0].alias("term"))
-    alone = posted.of_terms(one).join(one, "term").select("vault", "phrase", "id", "len", "tfs")
+    alone = posted.rows.join(one, "term").select("vault", "phrase", "id", "len", "tfs")
     parts = distinct.where("size(terms) > 1").select("phrase", F.size("terms").alias("size"), F.posexplode("terms").alias("off", "term"))
-    met = posted.of_terms(parts).join(parts, "term").select("vault", "phrase", "size", "id", "len", "off", "gaps").mapInArrow(_starts, MATCH)
+    met = posted.rows.join(parts, "term").select("vault", "phrase", "size", "id", "len", "off", "gaps").mapInArrow(_starts, MATCH)
     whole = met.groupBy("vault", "phrase", "size", "id", "len", "col", "start").agg(F.count("*").alias("have")).where("have = size")
     tfs = F.array(*[F.count_if(F.col("col") == i).cast("int") for i in range(len(COLUMNS))])
     return alone.unionByName(whole.groupBy("vault", "phrase", "id", "len").agg(tfs.alias("tfs")))
@@ -263,6 +264,5 @@ def search(queries: DataFrame, chunks: DataFrame, options: SearchOptions | None
     store = chunks.drop(*({"vault", "model"} - set(scope)))
     vectors = band(vector_leg(queries, store, options, scope), options, by)
     fused = fuse(vectors, keyword_leg(queries, posted, options, scope), store, options, by)
-    kept = drop_adjacent(fused, by).where(F.col("final") <= options.depth)
-    hits = fused.join(kept.select(*by, "id", "final"), [*by, "id"])
+    hits = drop_adjacent(fused, by).where(F.col("final") <= options.depth)
     return hits.select(*by, F.col("final").alias("pos"), "id", "path", "idx", "score", "sim", F.coalesce("vec_rank", F.lit(0)).alias("vec_rank"), F.coalesce("fts_rank", F.lit(0)).alias("fts_rank"))
