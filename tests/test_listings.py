@@ -58,6 +58,16 @@ def test_folder_is_not_moved_into_itself(spark):
     assert listings.delete_prefix(notes, "a", "path").collect() == [("ab/x.md",)]
 
 
+def test_moves_onto_others(spark):
+    notes = spark.createDataFrame([("a/x.md",), ("b/y.md",), ("c.md",)], "path string")
+    assert listings.move_folder(notes, "a", "b").collect() == [("a/x.md", "a/x.md", "refused")]
+    assert listings.move_folder(notes, "a", "new").collect() == [("a/x.md", "new/x.md", "moved")]
+    moves = spark.createDataFrame([("a/x.md", "c"), ("b/y.md", "c.md"), ("c.md", "c.md"), ("no.md", "z")], "path string, target string")
+    assert {tuple(r) for r in listings.move_notes(notes, moves).collect()} == {("a/x.md", "a/x.md", "refused"), ("b/y.md", "b/y.md", "refused"), ("c.md", "c.md", "skipped"), ("no.md", "no.md", "missing")}
+    over = {tuple(r) for r in listings.move_notes(notes, moves, F.lit("1")).collect()}
+    assert over == {("a/x.md", "c.md", "moved"), ("c.md", ".trash/1/c.md", "trashed"), ("b/y.md", "b/y.md", "refused"), ("c.md", "c.md", "skipped"), ("no.md", "no.md", "missing")}
+
+
 def test_trash_is_emptied(spark):
     notes = spark.createDataFrame([("a.md",), (".trash/1/a.md",), ("b/.trash/1/c.md",)], "path string")
     assert sorted(r.path for r in listings.empty_trash(notes).collect()) == ["a.md", "b/.trash/1/c.md"]

@@ -90,10 +90,9 @@ def test_an_index_pass(spark, tmp_path):
             raise ValueError("bad text")
         return embed(some)
 
-    # One task a note, so a failed batch is one note's.
-    two = indexing.sync_notes(disk(spark, {"a.md": "poison", "b.md": "world"}), index, poisoned, concurrency=32)
-    assert tuple(two.stats.first()) == (0, 1, 0, 1) and two.errors.first()["sample"].startswith("a.md: ValueError")
-    assert {r["path"]: r["text"] for r in two.chunks.collect()} == {"a.md": "x y\n\nhello", "b.md": "world"}
+    two = indexing.sync_notes(disk(spark, {"a.md": "poison", "b.md": "world", "c.md": "of the same batch"}).coalesce(1), index, poisoned, concurrency=1)
+    assert tuple(two.stats.first()) == (1, 1, 0, 1) and two.errors.first()["sample"].startswith("a.md: ValueError")
+    assert {r["path"]: r["text"] for r in two.chunks.collect()} == {"a.md": "x y\n\nhello", "b.md": "world", "c.md": "of the same batch"}
     three = indexing.sync_notes(disk(spark, {"b.md": "changed"}), index, embed)
     assert tuple(three.stats.first()) == (1, 0, 1, 0) and [r["text"] for r in three.chunks.collect()] == ["changed"]
     only = indexing.sync_notes(disk(spark, {"b.md": "changed"}), index, embed, only=spark.createDataFrame([("b.md",)], "path string"))

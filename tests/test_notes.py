@@ -110,7 +110,7 @@ def test_failed_batches_leave_the_others_alone(spark):
 
     rows = spark.createDataFrame([(i, "poison" if i == 3 else f"word{i}") for i in range(200)], "id long, text string").coalesce(1)
     done, failed = embedding.good_and_failed(embedding.embed_texts(rows, poisoned, concurrency=1))
-    assert done.count() + failed.count() == 200 and 1 <= failed.count() <= 64
+    assert done.count() == 199 and [r["id"] for r in failed.collect()] == [3]
     assert "bad text" in failed.first()["error"]
 
 
@@ -123,6 +123,52 @@ def test_passing_failures_are_tried_again():
             raise embedding.Passing
         return [[1.0]] * len(some)
 
-    assert embedding.attempt(flaky, ["a"], (0.0, 0.0)) == [[1.0]] and len(calls) == 3
+    slept = []
+    assert embedding.attempt(flaky, ["a"], sleep=slept.append) == [[1.0]] and len(calls) == 3
+    assert 0.75 <= slept[0] <= 1.25 and 1.5 <= slept[1] <= 2.5
     with pytest.raises(ValueError):
-        embedding.attempt(lambda some: [], ["a"], (0.0,))
+        embedding.attempt(lambda some: [], ["a"], sleep=slept.append)
+    assert len(slept) == 2
+
+
+def test_loading_has_a_budget_of_its_own():
+    now, slept = [0.0], []
+
+    def wait(seconds):
+        slept.append(seconds)
+        now[0] += seconds
+
+    def loading(until):
+        def embed(some):
+            if now[0] < until:
+                raise embedding.Loading("soon")
+            return [[1.0]] * len(some)
+
+        return embed
+
+    assert embedding.attempt(loading(400), ["a"], sleep=wait, clock=lambda: now[0]) == [[1.0]] and max(slept) <= 5 * 1.25
+    now[0] = 0.0
+    with pytest.raises(embedding.Loading):
+        embedding.attempt(loading(10_000), ["a"], sleep=wait, clock=lambda: now[0])
+    assert 500 < now[0] <= 700
+
+
+def test_vectors_are_matched_by_place():
+    assert embedding.in_order([(1, [2.0]), (0, [1.0])], 2) == [[1.0], [2.0]]
+    for got in ([(0, [1.0])], [(0, [1.0]), (2, [1.0])], [(0, [1.0]), (0, [2.0])], [[1.0]]):
+        with pytest.raises(embedding.WrongAnswer):
+            embedding.in_order(got, 2)
+
+
+def test_a_failing_batch_is_halved_until_the_bad_texts_stand_alone():
+    calls = []
+
+    def embed(some):
+        calls.append(len(some))
+        if any(t.startswith("bad") for t in some):
+            raise RuntimeError("no")
+        return [[float(len(t))] for t in some]
+
+    texts = [("bad" if i in (5, 40) else "t") + str(i) for i in range(64)]
+    found = embedding.isolated(embed, texts)
+    assert [i for i, (v, e) in enumerate(found) if e] == [5, 40] and found[7] == ([2.0], None) and len(calls) <= 2 * 2 * 7

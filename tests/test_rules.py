@@ -36,13 +36,6 @@ def test_overlap():
     assert chunking.tail("один два".encode(), 7) == "два".encode()
 
 
-def test_names_pass_over_taken_numbers(spark):
-    imports = spark.createDataFrame([(1, "a.md"), (2, "a.md"), (3, "a (3).md"), (4, "b"), (5, "b")], "ord long, name string")
-    have = spark.createDataFrame([("a.md",), ("a (1).md",), ("b (1)",)], "name string")
-    got = {r["ord"]: r["target"] for r in stores.collision_names(imports, have).collect()}
-    assert got == {1: "a (2).md", 2: "a (4).md", 3: "a (3).md", 4: "b", 5: "b (2)"}
-
-
 def test_versions_of_any_length(spark):
     order = ["1.alpha", "1.0.0.0.0.beta", "1", "1.0.0.0.0.1", "1.0.0.0.0.2", "1.2", "1.2.0.0.0.0.9", "1.10", "2"]
     rows = spark.createDataFrame([(v,) for v in order[::-1]], "v string").orderBy(T.version_key(F.col("v")))

@@ -50,9 +50,6 @@ def test_sessions(spark):
 
 
 def test_names_and_trash(spark):
-    imports = spark.createDataFrame([(1, "a.md"), (2, "a.md"), (3, "b.md")], "ord long, name string")
-    names = stores.collision_names(imports, spark.createDataFrame([("a.md",)], "name string"))
-    assert {r["ord"]: r["target"] for r in names.collect()} == {1: "a (1).md", 2: "a (2).md", 3: "b.md"}
     rows = spark.createDataFrame([("20240102T030405-2", "d/n.md"), ("junk", "x.md")], "trash_id string, rel string")
     found = {r["trash_id"]: r for r in stores.trash_listing(rows).collect()}
     assert str(found["20240102T030405-2"]["deleted_at"]) == "2024-01-02 03:04:05" and found["junk"]["deleted_at"] is None

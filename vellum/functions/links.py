@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
-from vellum.functions.markdown import WIKILINK, fenced_lines
+from vellum.functions.markdown import WIKILINK, text_lines
 
 #: Beginning of a link to a note.
 SCHEME = "note:"
@@ -31,32 +31,56 @@ def link_of(m: re.Match) -> str:
     return f"[{label_of(m)}]({SCHEME}{quote(m[1].strip(), safe='$&+:=@')}{part})"
 
 
-def outside_code(text: str, change: Callable[[re.Match], str]) -> str:
-    """The text with every link outside fences, indented code and code spans changed."""
+def link_spans_of(text: str) -> list[re.Match]:
+    """The links outside fences, indented code and code spans, in order."""
     if "[[" not in text:
-        return text
-    lines = []
-    for line, inside, info in fenced_lines(text.split("\n")):
-        if not inside and info is None and not line.startswith(("    ", "\t")):
-            at, parts = 0, []
-            for span in _SPAN.finditer(line):
-                parts += [_LINK.sub(change, line[at : span.start()]), span[0]]
-                at = span.end()
-            line = "".join(parts) + _LINK.sub(change, line[at:])
-        lines.append(line)
-    return "\n".join(lines)
+        return []
+    found, at = [], 0
+    for line, code in text_lines(text.split("\n")):
+        if not code and "[[" in line:
+            spans = [m.span() for m in _SPAN.finditer(line)]
+            starts = [0, *(e for _, e in spans)]
+            for lo, hi in zip(starts, [*(s for s, _ in spans), len(line)]):
+                found += _LINK.finditer(text, at + lo, at + hi)
+        at += len(line) + 1
+    return found
+
+
+def outside_code(text: str, change: Callable[[re.Match], str]) -> str:
+    """The text with every link outside code changed."""
+    parts, at = [], 0
+    for m in link_spans_of(text):
+        parts += [text[at : m.start()], change(m)]
+        at = m.end()
+    return "".join([*parts, text[at:]])
 
 
 def links_in(text: str) -> list[tuple[str, str, str]]:
     """(target, heading, label) of every link outside code, in order."""
-    found: list[tuple[str, str, str]] = []
+    return [(m[1].strip(), m[2] or "", m[3] or "") for m in link_spans_of(text)]
 
-    def note(m: re.Match) -> str:
-        found.append((m[1].strip(), m[2] or "", m[3] or ""))
-        return m[0]
 
-    outside_code(text, note)
-    return found
+SPAN = "array<struct<start: int, end: int, target: string, heading: string, label: string>>"
+
+
+@F.pandas_udf(SPAN)
+def link_spans(body: pd.Series) -> pd.Series:
+    """Where each link outside code stands (code points from 0), and its trimmed parts."""
+    return body.fillna("").map(lambda t: [(m.start(), m.end(), *((m[i] or "").strip() for i in (1, 2, 3))) for m in link_spans_of(t)])
+
+
+@F.pandas_udf(StringType())
+def splice(body: pd.Series, spans: pd.Series) -> pd.Series:
+    """body with the parts that spans (start, end, text; sorted, apart from each other) name replaced; null: nothing to replace."""
+
+    def one(text: str, found) -> str:
+        parts, at = [], 0
+        for s in () if found is None else found:
+            parts += [text[at : s["start"]], s["text"]]
+            at = s["end"]
+        return "".join([*parts, text[at:]])
+
+    return pd.Series([one(t, f) for t, f in zip(body.fillna(""), spans)])
 
 
 @F.pandas_udf(StringType())

@@ -96,6 +96,60 @@ def fenced_lines(lines: list[str]):
             yield line, False, None
 
 
+_ITEM = re.compile(r"^([-*+]|\d{1,9}[.)])(?:( +)|$)")
+_ALONE = re.compile(r"^(#{1,6}( |$)|([-*_] *){3,}$)")
+
+
+def text_lines(lines: list[str]):
+    """(line, whether it is code) of each line: fences, also in list items, and indented code.
+
+    A line is indented code if it stands four columns or more in from the text of the open list item
+    (from the margin without one) and doesn't go on with a paragraph.
+    """
+    items: list[int] = []
+    mark, at, open_text = "", 0, False
+    for line in lines:
+        flat = line.expandtabs(4)
+        rest = flat.lstrip(" ")
+        indent = len(flat) - len(rest)
+        if mark and (not rest or indent >= at):
+            m = _FENCE.match(rest)
+            if m and indent - at < 4 and m[1][0] == mark[0] and len(m[1]) >= len(mark) and not m[2].strip():
+                mark = ""
+            yield line, True
+            continue
+        mark = ""
+        if not rest:
+            open_text = False
+            yield line, False
+            continue
+        goes_on = open_text and not _ITEM.match(rest)
+        if not goes_on:
+            while items and indent < items[-1]:
+                items.pop()
+        base = items[-1] if items else 0
+        if indent - base >= 4 and not open_text:
+            yield line, True
+            continue
+        while (m := _ITEM.match(rest)) and indent - (items[-1] if items else 0) < 4 and not re.match(r"^([-*_] *){3,}$", rest):
+            while items and indent < items[-1]:
+                items.pop()
+            gap = len(m[2] or "")
+            width = len(m[1]) + (gap if 0 < gap < 5 else 1)
+            items.append(indent + width)
+            rest = rest[len(m[1]) + (gap if gap < 5 else 1) :]
+            indent += width
+            if gap >= 5:  # the item begins with indented code
+                break
+        m = _FENCE.match(rest)
+        if m and not (m[1][0] == "`" and "`" in m[2]) and indent - (items[-1] if items else 0) < 4:
+            mark, at, open_text = m[1], items[-1] if items else 0, False
+            yield line, True
+            continue
+        open_text = bool(rest) and not _ALONE.match(rest)
+        yield line, False
+
+
 def code_blocks_of(body: str) -> list[dict]:
     """Fenced blocks with language, and kernel and version attributes of the info string."""
     out, current, opened = [], [], None
@@ -128,7 +182,7 @@ def without_code(body: pd.Series) -> pd.Series:
     """The note with fenced blocks and code spans blanked, so that links in code don't count."""
 
     def blank(text: str) -> str:
-        lines = ["" if inside or line.startswith(("    ", "\t")) else line for line, inside, _ in fenced_lines(text.split("\n"))]
+        lines = ["" if code else line for line, code in text_lines(text.split("\n"))]
         return re.sub(r"(`+)(?!`).*?(?<!`)\1(?!`)", "", "\n".join(lines))
 
     return body.fillna("").map(blank)
@@ -140,17 +194,22 @@ def wikilinks(body: Column) -> Column:
     return F.transform(whole, lambda x: F.struct(F.trim(F.regexp_extract(x, WIKILINK, 1)).alias("target"), F.regexp_extract(x, WIKILINK, 2).alias("heading"), F.regexp_extract(x, WIKILINK, 3).alias("label")))
 
 
+def first_heading_of(body: str) -> str | None:
+    """Text of the first heading outside fences, however far they and it are indented; None without one."""
+    fenced = False
+    for line in body.split("\n"):
+        line = line.strip()
+        if line.startswith(("```", "~~~")):
+            fenced = not fenced
+        elif not fenced and (m := _HEADING.match(line)) and m[2].strip():
+            return m[2].strip()
+    return None
+
+
 @F.pandas_udf(StringType())
 def first_heading(body: pd.Series) -> pd.Series:
     """Text of the first heading outside code; null without one."""
-
-    def find(text: str) -> str | None:
-        for line, inside, _ in fenced_lines(text.split("\n")):
-            if not inside and (m := _HEADING.match(line.strip())) and m[2]:
-                return m[2]
-        return None
-
-    return body.fillna("").map(find)
+    return body.fillna("").map(first_heading_of)
 
 
 @F.pandas_udf(ArrayType(PROPERTY))

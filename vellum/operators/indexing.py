@@ -38,7 +38,7 @@ def chunk_rows(notes: DataFrame, options: ChunkOptions | None = None) -> DataFra
     return rows.withColumn("embed_text", M.embed_text(M.note_title(F.col("path")), F.col("heading"), F.col("text")))
 
 
-def sync_notes(disk: DataFrame, index: DataFrame, embed: Embedder, options: ChunkOptions | None = None, force: bool = False, only: DataFrame | None = None, concurrency: int = 6) -> Synced:
+def sync_notes(disk: DataFrame, index: DataFrame, embed: Embedder, options: ChunkOptions | None = None, force: bool = False, only: DataFrame | None = None, concurrency: int | None = None) -> Synced:
     """Bring an index (path, idx, heading, text, doc_hash, embedding) up to the notes (path, body, doc_hash).
 
     Notes whose hash is the stored one never reach the chunker or the embedder. A note of which any

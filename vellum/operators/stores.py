@@ -50,30 +50,6 @@ def trash_listing(rows: DataFrame) -> DataFrame:
     return rows.select("trash_id", F.col("rel").alias("original_path"), F.concat(F.lit(".trash/"), "trash_id", F.lit("/"), "rel").alias("trash_path"), F.element_at(F.split("rel", "/"), -1).alias("name"), trash_time(F.col("trash_id")).alias("deleted_at"))
 
 
-def numbered(name: Column, n: Column, first: int = 1, label: str = "") -> Column:
-    """name with " (n)" before its extension from the n-th of its kind on; n counts from 0."""
-    stem, ext = F.regexp_replace(name, r"\.[^./]*$", ""), F.regexp_extract(name, r"(\.[^./]*)$", 1)
-    count = F.when((n == first) & F.lit(bool(label)), F.lit(f" ({label})"))
-    more = F.concat(F.lit(f" ({label} " if label else " ("), n.cast("string"), F.lit(")"))
-    return F.when(n < first, name).otherwise(F.concat(stem, F.coalesce(count, more), ext))
-
-
-def collision_names(imports: DataFrame, existing: DataFrame) -> DataFrame:
-    """imports (ord, name) with the free name each gets beside existing (name) ones.
-
-    Numbers whose name exists, or is the own name of another import, are passed over.
-    """
-    have = existing.groupBy("name").agg(F.lit(1).alias("taken"))
-    form = r"^(.*) \((\d+)\)(\.[^./]*)?$"
-    used = existing.select("name").unionByName(imports.select("name")).where(F.col("name").rlike(form))
-    used = used.groupBy(F.concat(F.regexp_extract("name", form, 1), F.regexp_extract("name", form, 3)).alias("name")).agg(F.array_sort(F.collect_set(F.regexp_extract("name", form, 2).cast("long"))).alias("used"))
-    nth = F.row_number().over(Window.partitionBy("name").orderBy("ord")) - 1
-    rows = imports.withColumn("nth", nth).join(have, "name", "left").join(used, "name", "left")
-    n = (F.col("nth") + F.coalesce("taken", F.lit(0))).cast("long")
-    free = F.aggregate(F.coalesce("used", F.array().cast("array<long>")), n, lambda at, k: F.when(k <= at, at + 1).otherwise(at))
-    return rows.select("ord", "name", numbered(F.col("name"), F.when(n > 0, free).otherwise(n)).alias("target"))
-
-
 def anchor_edit(body: Column, old: Column, new: Column) -> Column:
     """struct(status, body): old replaced by new where it stands exactly once."""
     count = F.when(old == "", F.lit(0)).otherwise(((F.char_length(body) - F.char_length(F.replace(body, old, F.lit("")))) / F.char_length(old)).cast("int"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from vellum.functions import links as L
 from vellum.functions import markdown as M
 from vellum.functions import text as T
-from vellum.operators import evaluation, graph, listings, multisearch, search, stores, sync, tables
+from vellum.operators import evaluation, free_names, graph, linking, listings, multisearch, search, stores, sync, tables
 from vellum.operators.chunking import chunk_notes
 from vellum.plans import model
 from vellum.plans.oracle import SQL
@@ -335,16 +335,27 @@ def trash_listing(spark, d):
 
 @query
 def restore_names(spark, d):
-    """Where several trashed files had one path, the later ones get a restored suffix."""
-    rows = _trash(spark, d).withColumn("n", (F.row_number().over(Window.partitionBy("rel").orderBy("trash_id")) - 1).cast("int"))
-    return rows.select("trash_id", stores.numbered(F.col("rel"), F.col("n"), 1, "restored").alias("target"))
+    """Trashed files go back beside the notes that exist now: those of the views."""
+    rows = _trash(spark, d).select(F.row_number().over(Window.partitionBy("rel").orderBy("trash_id")).cast("long").alias("ord"), "trash_id", F.col("rel").alias("path"))
+    notes = model.runs(spark, d).where("event_type = 'view'").select(F.concat("event_type", F.lit("/"), "note_path").alias("path")).distinct()
+    return rows.select("trash_id", "ord", "path").join(free_names.restore_names(rows.select("ord", "path"), notes), ["ord", "path"]).select("trash_id", "target")
 
 
 @query
 def collision_suffix(spark, d):
-    imports = model.table(spark, d, "events").select(F.col("event_id").alias("ord"), F.concat("event_type", F.lit("-"), (F.col("user_id") % 50).cast("string"), F.lit(".md")).alias("name"))
+    """Imports of .md and .markdown files into a folder that holds some of their names."""
+    i = F.col("event_id")
+    imports = model.table(spark, d, "events").select(i.alias("ord"), F.concat("event_type", F.lit("-"), (F.col("user_id") % 50).cast("string"), F.when(i % 2 == 0, ".md").otherwise(".markdown")).alias("name"))
     existing = model.table(spark, d, "events").where("event_type = 'click'").select(F.concat(F.lit("click-"), (F.col("user_id") % 50).cast("string"), F.lit(".md")).alias("name"))
-    return stores.collision_names(imports, existing)
+    return free_names.import_names(imports, existing.distinct())
+
+
+@query
+def untitled_names(spark, d):
+    """A new note in the folder of every event's user; users with a purchase have an Untitled.md."""
+    folder = F.concat(F.lit("u"), F.col("user_id").cast("string"))
+    rows = model.table(spark, d, "events")
+    return free_names.untitled_names(rows.select(F.col("event_id").alias("ord"), folder.alias("folder")), rows.where("event_type = 'purchase'").select(F.concat(folder, F.lit("/Untitled.md")).alias("path")).distinct())
 
 
 @query
@@ -412,7 +423,9 @@ def block_hash(spark, d):
 
 @query
 def first_heading(spark, d):
-    return _marked(spark, d).select("doc_id", M.first_heading(M.note_body(F.col("body"))).alias("heading"))
+    """Of notes that begin with a fence in a list item, then have a text's first line as heading."""
+    body = F.concat(F.lit("- item\n    ```\n    # no heading\n    ```\n####### seven\n#tag\n  ## "), F.split("text", "\n")[0], F.lit("\n# Later"))
+    return model.table(spark, d, "documents").select("doc_id", M.first_heading(body).alias("heading"))
 
 
 @query
@@ -548,15 +561,25 @@ def settings_parse(spark, d):
 
 
 def _linked(spark, d):
-    """A line of links and code for each document."""
-    n = (F.col("doc_id") % 7).cast("string")
-    line = F.concat(F.lit("See [[My Note "), n, F.lit("#Part "), "lang", F.lit("]], `[[code]]` and [["), "source", F.lit("/x|"), "lang", F.lit("]]\n```\n[[kept]]\n```\n[[a&b"), n, F.lit("]]"))
-    return model.table(spark, d, "documents").select("doc_id", line.alias("body"))
+    """Notes with a heading from their text, and links in paragraphs, nested lists and code to other notes."""
+    docs = model.table(spark, d, "documents")
+    i = F.col("doc_id")
+    line = F.regexp_extract("text", r"^[^\n\[\]|#]*", 0)
+    other = F.concat(F.lit("doc-"), (i * 7 % 100).cast("string"))
+    body = F.concat(
+        F.when(i % 3 > 0, F.concat(F.lit("# "), line, F.lit("\n\n"))).otherwise(""),
+        F.lit("See [["), other, F.lit("]] and [["), other, F.lit("#Part "), "lang", F.lit("|alias]]\n\n- a\n    - nested [["), other, F.lit("#Part "), "lang",
+        F.lit("]]\n\nText\n\n    [[code]]\n\n`[[span]]` [[no such "), "source", F.lit("/x]]\n```\n[[kept]]\n```"),
+    )
+    return docs.select("doc_id", F.concat("source", F.lit("/doc-"), i.cast("string"), F.lit(".md")).alias("path"), body.alias("body"))
 
 
 @query
 def links_rewritten(spark, d):
-    return _linked(spark, d).select("doc_id", L.rewrite_links("body").alias("linked"), L.flatten_links("body").alias("flat"))
+    notes = _linked(spark, d)
+    bodies = notes.select(F.col("doc_id").alias("id"), "body")
+    linked, flat = linking.show_links(bodies, notes), linking.show_links(bodies, notes, flat=True)
+    return linked.join(flat.withColumnRenamed("text", "flat"), "id").select(F.col("id").alias("doc_id"), F.col("text").alias("linked"), "flat")
 
 
 @query
@@ -675,7 +698,7 @@ def hits_of_json(spark, d):
 @query
 def image_names(spark, d):
     refs = model.table(spark, d, "events").select(F.col("event_id").alias("ord"), F.col("user_id").alias("image"), F.concat(F.lit("pic"), (F.col("user_id") % 7).cast("string"), F.lit(".png")).alias("name"))
-    return listings.image_names(refs)
+    return free_names.image_names(refs)
 
 
 @query
@@ -691,9 +714,30 @@ def folder_delete(spark, d):
 
 @query
 def folder_move(spark, d):
+    """A folder moved to a free name, and to one that the notes of another folder have."""
+    notes = model.notes(spark, d).select("path")
+    return listings.move_folder(notes, "src1", "moved").unionByName(listings.move_folder(notes, "src2", "src3"))
+
+
+def _note_moves(spark, d):
     notes = model.notes(spark, d)
-    there = notes.where("doc_id % 3 = 0").select(F.regexp_replace("path", "^src1/", "moved/").alias("path"))
-    return listings.move_folder(notes.select("path").union(there).distinct(), "src1", "moved")
+    i = F.col("doc_id")
+    to = F.when(i % 5 == 0, F.concat("source", F.lit("/doc-"), (i + 5).cast("string"), F.lit(".md"))).when(i % 5 == 1, F.col("path")).when(i % 5 == 2, F.concat(F.lit("all/"), F.floor(i / 10).cast("string"))).otherwise(F.concat(F.lit("new/"), i.cast("string")))
+    notes = notes.join(model.table(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    moves = notes.where(i % 5 < 4).select("path", to.alias("target")).unionByName(model.table(spark, d, "pages").select(F.concat(F.lit("gone/"), F.col("page_id").cast("string")).alias("path"), F.lit("x").alias("target")))
+    return notes.select("path"), moves
+
+
+@query
+def note_moves(spark, d):
+    """Single notes moved onto others, to where they are, several to one name, and to free names."""
+    return listings.move_notes(*_note_moves(spark, d))
+
+
+@query
+def note_moves_over(spark, d):
+    """The same where a note in the way goes to the trash."""
+    return listings.move_notes(*_note_moves(spark, d), trash_id=F.lit("20240101T000000"))
 
 
 @query

@@ -157,6 +157,29 @@ _FUSED = f"WITH RECURSIVE {_ONE_MODEL}, {TEXTS}, {MERGED}, {keywords(by='vault')
 PARITY = f"""WITH a AS ({_ALONE}), b AS ({_FUSED}), la AS (SELECT vault, qid, list(id ORDER BY pos) AS l FROM a GROUP BY ALL), lb AS (SELECT vault, qid, list(id ORDER BY pos) AS l FROM b GROUP BY ALL)
 SELECT vault, qid, coalesce(la.l = lb.l, false) AS same FROM la FULL JOIN lb USING (vault, qid)"""
 
+_OTHER = "'doc-' || (doc_id * 7) % 100"
+_LINE = r"regexp_extract(text, '^[^\n\[\]|#]*', 0)"
+_BODY = "{head} || 'See {a} and {b}' || e'\n\n- a\n    - nested ' || {c} || e'\n\nText\n\n    [[code]]\n\n`[[span]]` ' || {d} || e'\n```\n[[kept]]\n```'"
+
+
+def _linked_sql(link) -> str:
+    """The body with its links shown by link(label, target, heading)."""
+    shown, part, lost = "coalesce(title, other)", "'Part ' || lang", "'no such ' || source || '/x'"
+    parts = [link(shown, "other", None), link("'alias'", "other", part), link(f"{shown} || ' › ' || {part}", "other", part), link(lost, lost, None)]
+    text = _BODY.replace("'See {a} and {b}'", "'See ' || {a} || ' and ' || {b}").format(head="head", a=parts[0], b=parts[1], c=parts[2], d=parts[3])
+    return text
+
+
+_HREF = lambda label, target, heading: f"'[' || {label} || '](note:' || replace(replace({target}, ' ', '%20'), '/', '%2F') || " + (f"'#' || replace({heading}, ' ', '%20') || " if heading else "") + "')'"
+LINKED = f"""WITH notes AS (SELECT doc_id, lang, source, {_OTHER} AS other, CASE WHEN doc_id % 3 > 0 THEN '# ' || {_LINE} || e'\\n\\n' ELSE '' END AS head, trim({_LINE}, ' ' || chr(9) || chr(13)) AS line FROM documents),
+titles AS (SELECT 'doc-' || doc_id AS other, CASE WHEN doc_id % 3 > 0 AND line <> '' THEN line ELSE 'doc-' || doc_id END AS title FROM notes)
+SELECT doc_id, {_linked_sql(_HREF)} AS linked, {_linked_sql(lambda label, target, heading: label)} AS flat FROM notes LEFT JOIN titles USING (other)"""
+MOVES = """WITH notes AS (SELECT doc_id, source, source || '/doc-' || doc_id || '.md' AS path FROM documents),
+moves AS (SELECT path, CASE doc_id % 5 WHEN 0 THEN source || '/doc-' || (doc_id + 5) || '.md' WHEN 1 THEN path WHEN 2 THEN 'all/' || doc_id // 10 || '.md' ELSE 'new/' || doc_id || '.md' END AS target FROM notes WHERE doc_id % 5 < 4
+          UNION ALL SELECT 'gone/' || page_id, 'x.md' FROM pages),
+placed AS (SELECT *, row_number() OVER (PARTITION BY target, here AND path <> target ORDER BY path) AS nth FROM (
+  SELECT *, path IN (SELECT path FROM notes) AS here, target IN (SELECT path FROM notes) AS there FROM moves))"""
+
 SQL: dict[str, str] = {
     "vector_topk": f"WITH {CHUNKS}, {SELF}, {leg()} SELECT qid, CAST(rn AS INT) AS rn, id, round(sim, 6) AS sim FROM leg WHERE rn <= 10",
     "vector_band": f"WITH {CHUNKS}, {SELF}, {leg()}, {band()} SELECT qid, CAST(rn AS INT) AS rn, id, round(sim, 6) AS sim FROM banded",
@@ -197,8 +220,9 @@ SQL: dict[str, str] = {
     "run_prune_not_in": f"WITH {RUNS} SELECT note_path, event_type, event_id FROM runs WHERE NOT (note_path IN (SELECT note_path FROM runs WHERE value > 50) AND event_type NOT IN ('click', 'purchase'))",
     "folder_prefix_rename": f"WITH {NOTES}, r AS (SELECT path, max(doc_id) AS doc_id FROM (SELECT path, doc_id FROM notes UNION ALL SELECT regexp_replace(path, '^src1/', 'moved/'), -doc_id - 1 FROM notes) GROUP BY path), m AS (SELECT starts_with(path, 'src1/') AS moved, CASE WHEN starts_with(path, 'src1/') THEN 'moved' || path[5:] ELSE path END AS path, doc_id FROM r) SELECT path, arg_max(doc_id, moved::INT) AS doc_id FROM m GROUP BY path",
     "trash_listing": f"WITH {TRASH} SELECT trash_id, rel AS original_path, '.trash/' || trash_id || '/' || rel AS trash_path, 'n.md' AS name, strftime(ts, '%Y-%m-%d %H:%M:%S') AS deleted_at FROM trash",
-    "restore_names": f"WITH {TRASH}, n AS (SELECT *, row_number() OVER (PARTITION BY rel ORDER BY trash_id) - 1 AS n FROM trash) SELECT trash_id, {suffix('rel', 'n', 1, 'restored')} AS target FROM n",
-    "collision_suffix": f"WITH i AS (SELECT event_id AS ord, event_type || '-' || user_id % 50 || '.md' AS name FROM events), n AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY ord) - 1 + CASE WHEN starts_with(name, 'click-') THEN 1 ELSE 0 END AS n FROM i) SELECT ord, name, {suffix('name', 'n', 1, '')} AS target FROM n",
+    "restore_names": f"WITH {TRASH}, n AS (SELECT *, row_number() OVER (PARTITION BY rel ORDER BY trash_id) - 1 + CASE WHEN starts_with(rel, 'view/') THEN 1 ELSE 0 END AS n FROM trash) SELECT trash_id, {suffix('rel', 'n', 1, 'restored')} AS target FROM n",
+    "collision_suffix": f"WITH i AS (SELECT event_id AS ord, event_type || '-' || user_id % 50 AS stem, CASE WHEN event_id % 2 = 0 THEN '.md' ELSE '.markdown' END AS ext FROM events), n AS (SELECT ord, stem || ext AS name, stem || '.md' AS base, row_number() OVER (PARTITION BY stem ORDER BY ord) - 1 + CASE WHEN starts_with(stem, 'click-') THEN 1 ELSE 0 END AS n FROM i) SELECT ord, name, {suffix('base', 'n', 1, '')} AS target FROM n",
+    "untitled_names": "WITH n AS (SELECT event_id AS ord, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 + CASE WHEN user_id IN (SELECT user_id FROM events WHERE event_type = 'purchase') THEN 1 ELSE 0 END AS n FROM events) SELECT ord, 'u' || user_id || '/Untitled' || CASE WHEN n > 0 THEN ' ' || n ELSE '' END || '.md' AS target FROM n",
     "unique_anchor_edit": "WITH c AS (SELECT doc_id, text, (length(text) - length(replace(text, 'ing.', ''))) // 4 AS n FROM documents) SELECT doc_id, CASE WHEN n = 0 THEN 'not found' WHEN n > 1 THEN 'ambiguous' ELSE 'edited' END AS status, sha256(CASE WHEN n = 1 THEN replace(text, 'ing.', '[edited]') ELSE text END) AS body_hash FROM c",
     "vault_status": f"WITH {CHUNKS}, live AS (SELECT heading AS vault, count(*) AS chunks FROM chunks WHERE v IS NOT NULL GROUP BY 1) SELECT lang AS vault, count(*) AS notes, coalesce(any_value(chunks), 0) AS chunks, any_value(chunks) IS NOT NULL AS available FROM documents LEFT JOIN live ON live.vault = lang GROUP BY lang",
     "frontmatter_split": f"WITH {MARKED} SELECT doc_id, 'tags: [a, ' || lang || ']' || chr(10) || 'source: ' || source || chr(10) AS block, sha256(body) AS body_hash FROM marked",
@@ -207,7 +231,7 @@ SQL: dict[str, str] = {
     "resolve_links": f"{LINKS}, keys AS (SELECT path, string_split(path, '/') AS walk, unnest(list_distinct([lower(regexp_replace(path, '\\.md$', '')), 'doc-' || doc_id])) AS key FROM marked), firsts AS (SELECT key, arg_min(path, walk) AS path FROM keys GROUP BY key), tried AS (SELECT doc_id * 10 + n AS link_id, target, unnest(list_distinct([lower(target), regexp_extract(lower(target), '[^/]*$')])) AS key FROM links) SELECT link_id, target, arg_min(path, string_split(path, '/')) AS path FROM tried LEFT JOIN firsts USING (key) GROUP BY link_id, target",
     "code_blocks": "SELECT doc_id, CAST(0 AS INT) AS idx, lower(lang) AS lang, 'k' AS kernel, sha256('# no heading [[none]]' || chr(10) || 'print(1)') AS block_hash FROM documents",
     "block_hash": "SELECT doc_id, sha256(text) AS block_hash FROM documents",
-    "first_heading": "SELECT doc_id, source AS heading FROM documents",
+    "first_heading": "WITH l AS (SELECT doc_id, trim(string_split(text, chr(10))[1], ' ' || chr(9) || chr(13)) AS t FROM documents) SELECT doc_id, CASE WHEN t = '' THEN 'Later' ELSE t END AS heading FROM l",
     "tree_listing": f"WITH {NOTES} SELECT path, regexp_extract(path, '^[^/]*') AS parent, CAST(2 AS INT) AS depth, false AS is_dir FROM notes UNION SELECT regexp_extract(path, '^[^/]*'), '', 1, true FROM notes",
     "html_headings": r"WITH h AS (SELECT page_id, regexp_extract_all(html, '(?is)<h[1-5]\b[^>]*>.*?</h[1-5]>') AS l FROM pages) SELECT page_id, CAST(generate_subscripts(l, 1) - 1 AS INT) AS n, unnest(l) AS heading FROM h",
     "office_markers": r"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents), t AS (SELECT *, ltrim(line) AS lt FROM l) SELECT doc_id, CAST(n AS INT) AS n, CASE n % 4 WHEN 0 THEN 'bullet' WHEN 1 THEN 'number' WHEN 2 THEN 'letter' ELSE CASE WHEN regexp_matches(lt, '^[•◦▪▫‣⁃·●○■□–—*\-][ \t]+') THEN 'bullet' WHEN regexp_matches(lt, '^\d{1,3}[.)][ \t]+') THEN 'number' WHEN regexp_matches(lt, '^[a-z][.)][ \t]+') THEN 'letter' ELSE 'none' END END AS kind, sha256(trim(CASE WHEN n % 4 < 3 THEN line ELSE CASE WHEN regexp_matches(lt, '^[•◦▪▫‣⁃·●○■□–—*\-][ \t]+') THEN regexp_replace(lt, '^[•◦▪▫‣⁃·●○■□–—*\-][ \t]+', '') WHEN regexp_matches(lt, '^\d{1,3}[.)][ \t]+') THEN regexp_replace(lt, '^\d{1,3}[.)][ \t]+', '') WHEN regexp_matches(lt, '^[a-z][.)][ \t]+') THEN regexp_replace(lt, '^[a-z][.)][ \t]+', '') ELSE line END END)) AS rest_hash, trim(line) <> '' AND strlen(trim(line)) <= 50 AND NOT contains(trim(line), ':') AND NOT ends_with(trim(line), '.') AS is_heading, CAST(greatest(1, (n * 200) // 360 + 1) AS INT) AS level FROM t",
@@ -224,7 +248,7 @@ SQL: dict[str, str] = {
     "percent_encode": "SELECT doc_id, source || '/ein%20s%C3%BC%C3%9Fer%20text/' || lang || '%20%C3%A9.md' AS encoded FROM documents",
     "embed_prefixes": f"WITH n AS (SELECT doc_id, {BASE_MODELS}[doc_id % 5 + 1] AS name FROM documents) SELECT doc_id, {prefix_sql(1)} AS query_prefix, {prefix_sql(2)} AS doc_prefix FROM n",
     "settings_parse": "SELECT event_id, CAST(CASE WHEN event_id % 40 BETWEEN 1 AND 30 THEN event_id % 40 ELSE 10 END AS INT) AS k, round(CASE WHEN event_id % 3 > 0 AND value / 100 BETWEEN 0 AND 0.95 THEN value / 100 ELSE 0.2 END, 6) AS min_sim FROM events",
-    "links_rewritten": "WITH d AS (SELECT doc_id, lang, source, doc_id % 7 AS n FROM documents) SELECT doc_id, 'See [My Note ' || n || ' › Part ' || lang || '](note:My%20Note%20' || n || '#Part%20' || lang || '), `[[code]]` and [' || lang || '](note:' || source || '%2Fx)' || e'\n```\n[[kept]]\n```\n' || '[a&b' || n || '](note:a&b' || n || ')' AS linked, 'See My Note ' || n || ' › Part ' || lang || ', `[[code]]` and ' || lang || e'\n```\n[[kept]]\n```\n' || 'a&b' || n AS flat FROM d",
+    "links_rewritten": LINKED,
     "source_labels": "SELECT doc_id, CASE WHEN doc_id % 5 > 0 THEN lang || ' › ' ELSE '' END || source || '/doc-' || doc_id || '.md' || CASE WHEN doc_id % 3 > 0 THEN ' › Part ' || doc_id % 3 ELSE '' END AS label FROM documents",
     "group_vault_names": "WITH f AS (SELECT source, lang, min(doc_id) FILTER (doc_id % 4 > 0) AS first FROM documents GROUP BY ALL) SELECT source, coalesce(string_agg(lang, ', ' ORDER BY first) FILTER (first IS NOT NULL), '') AS names FROM f GROUP BY source",
     "image_chips": "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_type WHEN event_id % 2 = 0 THEN event_type || '.png' ELSE 'image' END AS label FROM events",
@@ -244,7 +268,9 @@ SQL: dict[str, str] = {
     "image_names": "WITH f AS (SELECT user_id AS image, min(event_id) AS ord FROM events GROUP BY 1), n AS (SELECT image, row_number() OVER (PARTITION BY image % 7 ORDER BY ord) AS n FROM f) SELECT image, 'pic' || image % 7 || CASE WHEN n > 1 THEN '-' || n ELSE '' END || '.png' AS name FROM n",
     "letter_ordinals": "WITH p AS (SELECT p_partkey, p_partkey - 1 AS z FROM part), l AS (SELECT *, chr(CAST(97 + greatest(z, 0) % 26 AS INT)) AS c1, CASE WHEN z >= 26 THEN chr(CAST(97 + (z // 26 - 1) % 26 AS INT)) ELSE '' END AS c2, CASE WHEN z >= 702 THEN chr(CAST(97 + ((z // 26 - 1) // 26 - 1) % 26 AS INT)) ELSE '' END AS c3, CASE WHEN z >= 18278 THEN chr(CAST(97 + (((z // 26 - 1) // 26 - 1) // 26 - 1) % 26 AS INT)) ELSE '' END AS c4 FROM p) SELECT p_partkey, CASE WHEN z < 0 THEN '' ELSE c4 || c3 || c2 || c1 END AS letters, CAST(least(greatest(p_partkey % 11 - 2, 1), 6) AS INT) AS level FROM l",
     "folder_delete": "SELECT source || '/doc-' || doc_id || '.md' AS path FROM documents WHERE source <> 'src1'",
-    "folder_move": "SELECT 'src1/doc-' || doc_id || '.md' AS path, CASE WHEN doc_id % 3 = 0 THEN 'src1/doc-' ELSE 'moved/doc-' END || doc_id || '.md' AS target, CASE WHEN doc_id % 3 = 0 THEN 'taken' ELSE 'moved' END AS status FROM documents WHERE source = 'src1'",
+    "folder_move": "WITH p AS (SELECT source, source || '/doc-' || doc_id || '.md' AS path FROM documents), o AS (SELECT count(*) > 0 AS there FROM p WHERE source = 'src3') SELECT path, 'moved' || path[5:] AS target, 'moved' AS status FROM p WHERE source = 'src1' UNION ALL SELECT path, CASE WHEN there THEN path ELSE 'src3' || path[5:] END, CASE WHEN there THEN 'refused' ELSE 'moved' END FROM p, o WHERE source = 'src2'",
+    "note_moves": f"{MOVES} SELECT path, CASE WHEN status = 'moved' THEN target ELSE path END AS target, status FROM (SELECT *, CASE WHEN NOT here THEN 'missing' WHEN path = target THEN 'skipped' WHEN there OR nth > 1 THEN 'refused' ELSE 'moved' END AS status FROM placed)",
+    "note_moves_over": f"{MOVES}, told AS (SELECT *, CASE WHEN NOT here THEN 'missing' WHEN path = target THEN 'skipped' WHEN nth > 1 THEN 'refused' ELSE 'moved' END AS status FROM placed) SELECT path, CASE WHEN status = 'moved' THEN target ELSE path END AS target, status FROM told UNION ALL SELECT target, '.trash/20240101T000000/' || target, 'trashed' FROM told WHERE status = 'moved' AND there",
     "trash_moves": "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN '.trash/20240101T000000/' ELSE '' END || source || '/doc-' || doc_id || '.md' AS path FROM documents WHERE doc_id % 7 > 0 OR doc_id % 2 = 0",
     "sql_note_tables": f"{LINKS} SELECT doc_id, 'link' AS kind, CAST(n AS INT) AS n, target AS value FROM links UNION ALL SELECT doc_id, 'code', 0, lower(lang) FROM documents",
 }
