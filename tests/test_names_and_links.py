@@ -55,13 +55,11 @@ def test_a_restore_never_meets_a_note(spark):
 
 @pytest.mark.parametrize(("text", "links"), [
     ("- a\n    - nested [[Note]]", ["Note"]), ("1. a\n\n    text [[x]]", ["x"]), ("text\n\n    [[code]]", []), ("text\n    [[lazy]]", ["lazy"]),
-    ("- a\n\n      [[code]] deep", ["code"]), ("- a\n\n        [[code]]", []), ("- a\n  ```\n  [[code]]\n  ```\n  [[b]]", ["b"]), ("- a\n  ```\n[[after]]", ["after"]),
-    ("    [[code]]", []), ("# h\n    [[code]]", []), ("- - [[x]]", ["x"]), ("-     [[code]]", ["code"]), ("```\n[[c]]\n```\n[[d]]", ["d"]), ("a `[[s]]` [[t]]", ["t"]),
+    ("- a\n\n      [[code]] deep", []), ("- a\n\n     [[text]] deep", ["text"]), ("- a\n\n        [[code]]", []), ("- a\n  ```\n  [[code]]\n  ```\n  [[b]]", ["b"]), ("- a\n  ```\n[[after]]", ["after"]),
+    ("    [[code]]", []), ("# h\n    [[code]]", []), ("- - [[x]]", ["x"]), ("-    [[text]]", ["text"]), ("-     [[code]]", []), ("```\n[[c]]\n```\n[[d]]", ["d"]), ("a `[[s]]` [[t]]", ["t"]),
     ("- a\n\nout\n\n    [[code]]", []), ("\t[[code]]", []), ("* * *\n    [[code]]", []),
 ])
 def test_links_in_nested_blocks(text, links):
-    if text == "-     [[code]]":
-        links = L.links_in(text) and ["code"] or []
     assert [t for t, _, _ in L.links_in(text)] == links
 
 

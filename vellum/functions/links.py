@@ -9,7 +9,7 @@ from urllib.parse import quote
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from vellum.functions.markdown import WIKILINK, text_lines
 
@@ -60,10 +60,10 @@ def links_in(text: str) -> list[tuple[str, str, str]]:
     return [(m[1].strip(), m[2] or "", m[3] or "") for m in link_spans_of(text)]
 
 
-SPAN = "array<struct<start: int, end: int, target: string, heading: string, label: string>>"
+SPAN = StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), *(StructField(c, StringType()) for c in ("target", "heading", "label"))])
 
 
-@F.pandas_udf(SPAN)
+@F.pandas_udf(ArrayType(SPAN))
 def link_spans(body: pd.Series) -> pd.Series:
     """Where each link outside code stands (code points from 0), and its trimmed parts."""
     return body.fillna("").map(lambda t: [(m.start(), m.end(), *((m[i] or "").strip() for i in (1, 2, 3))) for m in link_spans_of(t)])

@@ -139,8 +139,11 @@ def text_lines(lines: list[str]):
             items.append(indent + width)
             rest = rest[len(m[1]) + (gap if gap < 5 else 1) :]
             indent += width
-            if gap >= 5:  # the item begins with indented code
+            if gap >= 5:
                 break
+        if rest.startswith("    "):  # an item that begins with indented code
+            yield line, True
+            continue
         m = _FENCE.match(rest)
         if m and not (m[1][0] == "`" and "`" in m[2]) and indent - (items[-1] if items else 0) < 4:
             mark, at, open_text = m[1], items[-1] if items else 0, False
