@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.functions.text import version_key
+from vellum.functions.semver import covers, is_release, is_version, precedence
 
 
 def vault_key(path: Column, case_sensitive: bool = True) -> Column:
@@ -50,10 +50,31 @@ def newest_installable(packages: DataFrame, pins: DataFrame) -> DataFrame:
 
     packages: family, version, artifacts; pins: family, pin. A pin that isn't the newest gives no row.
     """
-    best = packages.where(F.array_contains("artifacts", "any")).groupBy("family").agg(F.max_by("version", version_key(F.col("version"))).alias("version"))
+    best = packages.where(F.array_contains("artifacts", "any")).groupBy("family").agg(F.max_by("version", precedence(F.col("version"))).alias("version"))
     return best.join(pins, "family", "left").where("pin IS NULL OR pin = version").select("family", "version")
 
 
+def resolve_packages(packages: DataFrame, asked: DataFrame) -> DataFrame:
+    """family, core, pin, version, reason of asked (family, core, pin) packages.
+
+    packages: family, version, range, artifacts. For a core that is a released version: the greatest
+    version with an artifact for any platform whose range covers it, or the pinned one if it does.
+    Any other core can't be checked: the greatest version, and a pin must be that. reason tells why
+    version is null.
+    """
+    wanted = asked.select("family", "core", "pin").distinct()
+    usable = packages.where(F.array_contains("artifacts", "any") & is_version(F.col("version"))).select("family", "version", "range").distinct()
+    met = wanted.where(is_release(F.col("core"))).join(usable, "family").where(covers(F.col("range"), F.col("core")) & (F.col("pin").isNull() | (F.col("pin") == F.col("version"))))
+    checked = met.groupBy("family", "core", "pin").agg(F.max_by("version", precedence(F.col("version"))).alias("version"))
+    newest = usable.groupBy("family").agg(F.max_by("version", precedence(F.col("version"))).alias("version"))
+    free = wanted.where(~is_release(F.col("core"))).join(newest, "family").where("pin IS NULL OR pin = version").select("family", "core", "pin", "version")
+    found = checked.unionByName(free).withColumn("_pin", F.coalesce("pin", F.lit(""))).drop("pin")
+    known = packages.select("family").distinct().withColumn("_known", F.lit(True))
+    rows = wanted.withColumn("_pin", F.coalesce("pin", F.lit(""))).join(found, ["family", "core", "_pin"], "left").join(known, "family", "left")
+    reason = F.when(F.col("version").isNotNull(), F.lit(None).cast("string")).when(F.col("_known").isNull(), "no such package").when(F.col("pin").isNotNull(), "no such version").otherwise("no installable version")
+    return rows.select("family", "core", "pin", "version", reason.alias("reason"))
+
+
 def adopt_settings(values: DataFrame, new: DataFrame) -> DataFrame:
     """Key-value rows (key, value, updated_at): the latest value of each key."""
     w = Window.partitionBy("key").orderBy(F.desc("updated_at"), F.desc("value"))

@@ -10,14 +10,18 @@ from pyspark.sql import functions as F
 from vellum.functions import links as L
 from vellum.functions import markdown as M
 from vellum.functions import text as T
-from vellum.operators import evaluation, free_names, graph, linking, listings, multisearch, search, stores, sync, tables
+from vellum.functions.settings import settings_of
+from vellum.operators import evaluation, free_names, graph, linking, listings, multisearch, runs, search, stores, sync, tables, vaults
 from vellum.operators.chunking import chunk_notes
 from vellum.plans import model
 from vellum.plans.oracle import SQL
 from vellum.schema import GraphOptions, SearchOptions
+from vellum.shared import fresh_path
+from vellum.sources import vault
 from vellum.sources.html import html_to_markdown
 from vellum.sources.notes import import_route, note_relative
 from vellum.sources.office import indent_level, join_runs, list_marker, looks_like_heading
+from vellum.streaming import run_states as run_states_of
 from vellum.streaming.changes import classify, complete_runs, debounced
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -552,9 +556,75 @@ def embed_prefixes(spark, d):
 
 @query
 def settings_parse(spark, d):
-    """Settings in the events' properties: absent and out of range count as the default."""
-    rows = model.table(spark, d, "events").select("event_id", F.from_json(F.to_json(F.struct((F.col("event_id") % 40).alias("k"), F.when(F.col("event_id") % 3 > 0, F.col("value") / 100).alias("minSim"))), "k int, minSim double").alias("s"))
-    return rows.select("event_id", F.when(F.col("s.k").between(1, 30), F.col("s.k")).otherwise(10).alias("k"), F.round(F.when(F.col("s.minSim").between(0, 0.95), F.col("s.minSim")).otherwise(0.2), 6).alias("min_sim"))
+    """Settings of the events, some absent, out of range, of another kind, or in broken JSON."""
+    i = F.col("event_id")
+    stored = F.to_json(F.struct((i % 40).alias("k"), F.when(i % 3 > 0, F.col("value") / 100).alias("minSim"), (i % 50 - 5).alias("indexConcurrency"), (i * 997 % 9_000_000).alias("convertMaxPixels"), F.when(i % 5 > 0, i % 9000).alias("convertPageTimeoutSec")))
+    stored = F.when(i % 11 == 0, F.lit('{"k": ')).when(i % 13 == 0, F.lit(None)).otherwise(stored)
+    return model.table(spark, d, "events").select("event_id", settings_of(stored).alias("s")).select("event_id", "s.k", F.round("s.minSim", 6).alias("min_sim"), F.col("s.indexConcurrency").alias("concurrency"), F.col("s.convertMaxPixels").alias("pixels"), F.col("s.convertPageTimeoutSec").alias("timeout"))
+
+
+# Packages, runs and vault folders
+
+
+@query
+def packages_resolved(spark, d):
+    """A version of each family for released cores, for a core that is none, and at a pin."""
+    i = F.col("p_partkey")
+    number = lambda *p: F.concat_ws(".", *[x.cast("string") for x in p])
+    parts = model.table(spark, d, "part")
+    version = F.concat(number(i % 3, i % 7, i % 11), F.when(i % 4 == 0, F.concat(F.lit("-rc."), (i % 13).cast("string"))).otherwise(""))
+    range_ = F.element_at(F.array(*[F.lit(r) for r in (">=1.2.0, <2.0.0", "^1.1", "~1.2", "1.x || 2.1.*", "!=1.3.1")]), (i % 5 + 1).cast("int"))
+    artifacts = F.when(i % 6 == 0, F.array(F.lit("linux"))).otherwise(F.array(F.lit("linux"), F.lit("any")))
+    family = F.concat(F.lit("f"), (i % 40).cast("string"))
+    packages = parts.select(family.alias("family"), version.alias("version"), range_.alias("range"), artifacts.alias("artifacts"))
+    s = F.col("s_suppkey")
+    core = F.when(s % 9 == 0, "dev").when(s % 9 == 1, "v1.2.0-3-gabc").otherwise(number(s % 2 + 1, s % 4, s % 3))
+    pin = F.when(s % 5 == 0, number(s % 3, s % 7, s % 11))
+    asked = model.table(spark, d, "supplier").select(F.concat(F.lit("f"), (s % 42).cast("string")).alias("family"), core.alias("core"), pin.alias("pin"))
+    return vaults.resolve_packages(packages, asked)
+
+
+def _run_events(spark, d):
+    i = F.col("event_id")
+    kind = F.element_at(F.array(*[F.lit(k) for k in ("run", "save", "run", "discard", "run", "delete", "run")]), (i % 7 + 1).cast("int"))
+    return model.table(spark, d, "events").select(F.concat(F.lit("u"), (F.col("user_id") % 40).cast("string")).alias("note_path"), F.concat(F.lit("h"), F.col("event_type")).alias("block_hash"), i.cast("long").alias("ord"), kind.alias("type"), F.concat(F.lit("r"), i.cast("string")).alias("result"))
+
+
+@query
+def run_states(spark, d):
+    return runs.settle(_run_events(spark, d)).select("note_path", "block_hash", "saved", "pending")
+
+
+@query
+def run_states_stream(spark, d):
+    """The same events as a stream, in three micro-batches at least; the last row of a key counts."""
+    events = _run_events(spark, d)
+    at, out, checkpoint = (fresh_path(spark, f"run-states-{x}") for x in ("in", "out", "checkpoint"))
+    schema = events.schema
+    ends = events.agg(F.max("ord").alias("m")).first()["m"] or 0
+    for n in range(3):  # three files in the order of the events
+        lo, hi = n * ends // 3, (n + 1) * ends // 3
+        events.where((F.col("ord") > lo if n else F.lit(True)) & (F.col("ord") <= hi)).coalesce(1).write.mode("append").parquet(at)
+
+    def keep(batch, n):
+        batch.withColumn("batch", F.lit(n)).write.mode("append").parquet(out)
+
+    stream = run_states_of.settle_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(at))
+    stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    last = Window.partitionBy("note_path", "block_hash").orderBy(F.desc("batch"))
+    rows = spark.read.parquet(out).withColumn("_n", F.row_number().over(last)).where("_n = 1")
+    return rows.where("saved IS NOT NULL OR pending IS NOT NULL").select("note_path", "block_hash", "saved", "pending")
+
+
+@query
+def vault_notes(spark, d):
+    """Notes written to a folder as files, some then removed, and read back with their hashes."""
+    rows = model.notes(spark, d)
+    root = fresh_path(spark, "vault")
+    place = F.concat(F.when(F.col("doc_id") % 4 == 0, "_in/").when(F.col("doc_id") % 4 == 1, ".hidden/").otherwise(""), "path")
+    vault.write_notes(rows.select(place.alias("path"), F.coalesce("body", F.lit("")).alias("body")), root)
+    vault.write_notes(rows.where("doc_id % 10 = 3").select(place.alias("path"), F.lit(None).cast("string").alias("body")), root)
+    return vault.read_notes(spark, root).select("path", "doc_hash")
 
 
 # Links, names and listings

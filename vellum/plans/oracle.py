@@ -180,6 +180,27 @@ moves AS (SELECT path, CASE doc_id % 5 WHEN 0 THEN source || '/doc-' || (doc_id
 placed AS (SELECT *, row_number() OVER (PARTITION BY target, here AND path <> target ORDER BY path) AS nth FROM (
   SELECT *, path IN (SELECT path FROM notes) AS here, target IN (SELECT path FROM notes) AS there FROM moves))"""
 
+PACKAGES = """WITH p AS (SELECT 'f' || p_partkey % 40 AS family, p_partkey % 3 AS a, p_partkey % 7 AS b, p_partkey % 11 AS c, CASE WHEN p_partkey % 4 = 0 THEN p_partkey % 13 ELSE 99 END AS rc, p_partkey % 5 AS kind FROM part WHERE p_partkey % 6 > 0),
+versions AS (SELECT DISTINCT *, a || '.' || b || '.' || c || CASE WHEN rc < 99 THEN '-rc.' || rc ELSE '' END AS version FROM p),
+asked AS (SELECT DISTINCT 'f' || s_suppkey % 42 AS family, CASE WHEN s_suppkey % 9 > 1 THEN s_suppkey % 2 + 1 END AS x, s_suppkey % 4 AS y, s_suppkey % 3 AS z,
+  CASE s_suppkey % 9 WHEN 0 THEN 'dev' WHEN 1 THEN 'v1.2.0-3-gabc' ELSE (s_suppkey % 2 + 1) || '.' || s_suppkey % 4 || '.' || s_suppkey % 3 END AS core,
+  CASE WHEN s_suppkey % 5 = 0 THEN s_suppkey % 3 || '.' || s_suppkey % 7 || '.' || s_suppkey % 11 END AS pin FROM supplier),
+met AS (SELECT q.family, core, pin, version, row_number() OVER (PARTITION BY q.family, core, pin ORDER BY a DESC, b DESC, c DESC, rc DESC) AS n FROM asked q JOIN versions v USING (family)
+  WHERE x IS NOT NULL AND (pin IS NULL OR pin = version) AND CASE kind WHEN 0 THEN x = 1 AND y >= 2 WHEN 1 THEN x = 1 AND y >= 1 WHEN 2 THEN x = 1 AND y = 2 WHEN 3 THEN x = 1 OR x = 2 AND y = 1 ELSE NOT (x = 1 AND y = 3 AND z = 1) END),
+newest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY a DESC, b DESC, c DESC, rc DESC) AS n FROM versions) WHERE n = 1),
+got AS (SELECT family, core, pin, version FROM met WHERE n = 1 UNION ALL SELECT q.family, core, pin, version FROM asked q JOIN newest USING (family) WHERE x IS NULL AND (pin IS NULL OR pin = version))
+SELECT DISTINCT q.family, q.core, q.pin, g.version, CASE WHEN g.version IS NOT NULL THEN NULL WHEN q.family NOT IN (SELECT 'f' || p_partkey % 40 FROM part) THEN 'no such package' WHEN q.pin IS NOT NULL THEN 'no such version' ELSE 'no installable version' END AS reason
+FROM asked q LEFT JOIN got g ON g.family = q.family AND g.core = q.core AND g.pin IS NOT DISTINCT FROM q.pin"""
+RUN_STATES = """WITH e AS (SELECT 'u' || user_id % 40 AS note_path, 'h' || event_type AS block_hash, event_id AS ord, ['run', 'save', 'run', 'discard', 'run', 'delete', 'run'][event_id % 7 + 1] AS type, 'r' || event_id AS result FROM events),
+l AS (SELECT *, sum((type = 'delete')::INT) OVER (PARTITION BY note_path, block_hash ORDER BY ord DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS later FROM e),
+a AS (SELECT * FROM l WHERE later = 0),
+first AS (SELECT note_path, block_hash, min(ord) AS ord FROM a WHERE type = 'run' GROUP BY ALL),
+saves AS (SELECT s.note_path, s.block_hash, s.ord, max(p.ord) AS before FROM a s JOIN a p ON p.note_path = s.note_path AND p.block_hash = s.block_hash AND p.ord < s.ord WHERE s.type = 'save' GROUP BY ALL),
+kept AS (SELECT s.note_path, s.block_hash, max(s.before) AS ord FROM saves s JOIN a r ON r.note_path = s.note_path AND r.block_hash = s.block_hash AND r.ord = s.before AND r.type = 'run' GROUP BY ALL),
+saved AS (SELECT f.note_path, f.block_hash, greatest(f.ord, coalesce(k.ord, f.ord)) AS ord, f.ord AS first FROM first f LEFT JOIN kept k USING (note_path, block_hash)),
+tail AS (SELECT note_path, block_hash, max(ord) AS ord, arg_max(type, ord) AS type FROM a GROUP BY ALL)
+SELECT s.note_path, s.block_hash, 'r' || s.ord AS saved, CASE WHEN t.type = 'run' AND t.ord > s.first THEN 'r' || t.ord END AS pending FROM saved s JOIN tail t USING (note_path, block_hash)"""
+
 SQL: dict[str, str] = {
     "vector_topk": f"WITH {CHUNKS}, {SELF}, {leg()} SELECT qid, CAST(rn AS INT) AS rn, id, round(sim, 6) AS sim FROM leg WHERE rn <= 10",
     "vector_band": f"WITH {CHUNKS}, {SELF}, {leg()}, {band()} SELECT qid, CAST(rn AS INT) AS rn, id, round(sim, 6) AS sim FROM banded",
@@ -247,7 +268,11 @@ SQL: dict[str, str] = {
     "snippets": "WITH l AS (SELECT doc_id, string_split(trim(text, ' ' || chr(9) || chr(10) || chr(13)), chr(10))[1] AS t FROM documents) SELECT doc_id, CASE WHEN length(t) > 120 THEN t[1:120] || '…' ELSE t END AS snippet FROM l",
     "percent_encode": "SELECT doc_id, source || '/ein%20s%C3%BC%C3%9Fer%20text/' || lang || '%20%C3%A9.md' AS encoded FROM documents",
     "embed_prefixes": f"WITH n AS (SELECT doc_id, {BASE_MODELS}[doc_id % 5 + 1] AS name FROM documents) SELECT doc_id, {prefix_sql(1)} AS query_prefix, {prefix_sql(2)} AS doc_prefix FROM n",
-    "settings_parse": "SELECT event_id, CAST(CASE WHEN event_id % 40 BETWEEN 1 AND 30 THEN event_id % 40 ELSE 10 END AS INT) AS k, round(CASE WHEN event_id % 3 > 0 AND value / 100 BETWEEN 0 AND 0.95 THEN value / 100 ELSE 0.2 END, 6) AS min_sim FROM events",
+    "settings_parse": "WITH e AS (SELECT *, event_id % 11 > 0 AND event_id % 13 > 0 AS ok FROM events) SELECT event_id, CAST(CASE WHEN ok AND event_id % 40 BETWEEN 1 AND 30 THEN event_id % 40 ELSE 10 END AS INT) AS k, round(CASE WHEN ok AND event_id % 3 > 0 AND value / 100 BETWEEN 0 AND 0.95 THEN value / 100 ELSE 0.2 END, 6) AS min_sim, CAST(CASE WHEN ok AND event_id % 50 > 5 THEN least(event_id % 50 - 5, 32) ELSE 6 END AS INT) AS concurrency, CASE WHEN ok AND event_id * 997 % 9000000 > 0 THEN least(greatest(event_id * 997 % 9000000, 100000), 8000000) ELSE 2500000 END AS pixels, CASE WHEN ok AND event_id % 5 > 0 AND event_id % 9000 > 0 THEN least(greatest(event_id % 9000, 30), 7200) ELSE 600 END AS timeout FROM e",
+    "packages_resolved": PACKAGES,
+    "run_states": RUN_STATES,
+    "run_states_stream": RUN_STATES,
+    "vault_notes": "SELECT CASE WHEN doc_id % 4 = 0 THEN '_in/' ELSE '' END || source || '/doc-' || doc_id || '.md' AS path, sha256(coalesce(text, '')) AS doc_hash FROM documents WHERE doc_id % 4 <> 1 AND doc_id % 10 <> 3",
     "links_rewritten": LINKED,
     "source_labels": "SELECT doc_id, CASE WHEN doc_id % 5 > 0 THEN lang || ' › ' ELSE '' END || source || '/doc-' || doc_id || '.md' || CASE WHEN doc_id % 3 > 0 THEN ' › Part ' || doc_id % 3 ELSE '' END AS label FROM documents",
     "group_vault_names": "WITH f AS (SELECT source, lang, min(doc_id) FILTER (doc_id % 4 > 0) AS first FROM documents GROUP BY ALL) SELECT source, coalesce(string_agg(lang, ', ' ORDER BY first) FILTER (first IS NOT NULL), '') AS names FROM f GROUP BY source",
