@@ -6,7 +6,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from vellum.operators import embedding, indexing, runs, vaults
-from vellum.sources.word import blocks_of, blocks_to_markdown
+from vellum.sources.word import blocks_of, blocks_to_markdown, images_of
 
 
 def test_pending_and_saved_runs(spark):
@@ -129,5 +129,46 @@ def test_word_files(spark):
     blocks = blocks_of(files).cache()
     assert [r["doc"] for r in blocks.where("error is not null").collect()] == ["bad.docx"]
     found = {r["doc"]: r["markdown"] for r in blocks_to_markdown(blocks.where("error is null").drop("error")).collect()}
-    assert found["a.docx"] == "## Top\n\nsee **bold** [link](http://u)\n\n1. one\n  - deep\n2. two\n\ntext\n\n1. anew"
+    assert found["a.docx"] == "## Top\n\nsee **bold** [link](http://u)\n\n1. one\n  - deep\n\n2. two\n\ntext\n\n1. anew"
     assert found["b.odt"] == "###### H\n\na **b**\n\n- x\n  - y"
+
+
+def run(text, *marks):
+    style = "".join(f"<w:{m}/>" for m in marks)
+    return f'<w:r><w:rPr>{style}</w:rPr><w:t xml:space="preserve">{text}</w:t></w:r>'
+
+
+def para(inner, style=""):
+    return f"<w:p><w:pPr>{style}</w:pPr>{inner}</w:p>"
+
+
+def picture(rel):
+    return f'<w:r><w:drawing><a:blip xmlns:a="a" r:embed="{rel}"/></w:drawing></w:r>'
+
+
+def test_word_walk(spark):
+    levels = '<w:abstractNum w:abstractNumId="1"><w:lvl w:ilvl="0"><w:numFmt w:val="bullet"/></w:lvl><w:lvl w:ilvl="1"><w:numFmt w:val="decimal"/></w:lvl></w:abstractNum>'
+    numbering = f'<w:numbering {WORDS}>{levels}<w:num w:numId="5"><w:abstractNumId w:val="1"/></w:num><w:num w:numId="6"><w:abstractNumId w:val="1"/><w:lvlOverride w:ilvl="0"><w:lvl w:ilvl="0"><w:numFmt w:val="upperRoman"/></w:lvl></w:lvlOverride></w:num></w:numbering>'
+    kinds = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    images = "".join(f'<Relationship Id="{i}" Type="{kinds}/image" Target="{t}"/>' for i, t in (("p1", "media/p.png"), ("p2", "media2/p.png"), ("p3", "media/p-2.png"), ("p4", "media/none.png")))
+    relations = f'<Relationships xmlns="x">{images}<Relationship Id="r1" Type="{kinds}/hyperlink" Target="http://u"/></Relationships>'
+    box = f"<mc:AlternateContent><mc:Choice><w:pict><w:txbxContent>{para(run('in a box'))}</w:txbxContent></w:pict></mc:Choice><mc:Fallback>{para(run('in a box'))}</mc:Fallback></mc:AlternateContent>"
+    cell = lambda t: f"<w:tc>{para(run(t))}</w:tc>"
+    body = [
+        para(run("Short and bold", "b")), para(run("Label: bold", "b")), para(run("a*b_c [d] `e` \\", "i") + run(" both ", "b", "i")),
+        para('<w:hyperlink r:id="r1">' + run("two ") + run("runs", "b") + "</w:hyperlink>" + picture("p1") + picture("p2") + picture("p1") + picture("p3")),
+        para(f"<w:r>{box}</w:r>" + run("outside")), item("dot", 0, 5), item("one", 1, 5), item("two", 1, 5), item("roman", 0, 6),
+        para(run("1) first") + "<w:r><w:br/></w:r>" + run("2) second"), '<w:ind w:left="720"/>'), para(run("a. lettered")), para(run("b. again")), para(run("* star")), para(run("1990s were"), '<w:tabs><w:tab w:val="left"/></w:tabs>'),
+        f"<w:tbl><w:tr>{cell('c1')}{cell('c2')}</w:tr></w:tbl>", para(picture("p4")), para(run("deep"), '<w:pStyle w:val="heading9"/>'), para(run("  ")),
+    ]
+    raw = zipped({"word/document.xml": f"<w:document {WORDS}><w:body>{''.join(body)}</w:body></w:document>", "word/numbering.xml": numbering, "word/_rels/document.xml.rels": relations, "word/media/p.png": "1", "word/media2/p.png": "2", "word/media/p-2.png": "3"})
+    files = spark.createDataFrame([("a.docx", raw), ("none.docx", zipped({"x": "y"}))], "path string, content binary")
+    blocks = blocks_of(files)
+    assert [r["doc"] for r in blocks.where("error is not null").collect()] == ["none.docx"]
+    (row,) = blocks_to_markdown(blocks.where("error is null").drop("error")).collect()
+    assert row["markdown"].split("\n\n") == [
+        "## Short and bold", "**Label: bold**", "_a\\*b\\_c \\[d\\] \\`e\\` \\\\_ _**both**_", "[two **runs**](http://u)", "![](attachments/p.png)", "![](attachments/p-2.png)", "![](attachments/p.png)", "![](attachments/p-2-2.png)",
+        "outside", "in a box", "- dot\n  1. one\n  2. two\n1. roman\n  1. first\n  2. second\nb. lettered\nc. again", "- star", "1990s were", "c1", "c2", "![](attachments/none.png)", "###### deep",
+    ]
+    found = {r["name"]: (bytes(r["content"]) if r["content"] else None, r["error"]) for r in images_of(files.where("path = 'a.docx'")).collect()}
+    assert found == {"p.png": (b"1", None), "p-2.png": (b"2", None), "p-2-2.png": (b"3", None), "none.png": (None, "KeyError: no such entry")}

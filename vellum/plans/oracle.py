@@ -255,7 +255,7 @@ SQL: dict[str, str] = {
     "first_heading": "WITH l AS (SELECT doc_id, trim(string_split(text, chr(10))[1], ' ' || chr(9) || chr(13)) AS t FROM documents) SELECT doc_id, CASE WHEN t = '' THEN 'Later' ELSE t END AS heading FROM l",
     "tree_listing": f"WITH {NOTES} SELECT path, regexp_extract(path, '^[^/]*') AS parent, CAST(2 AS INT) AS depth, false AS is_dir FROM notes UNION SELECT regexp_extract(path, '^[^/]*'), '', 1, true FROM notes",
     "html_headings": r"WITH h AS (SELECT page_id, regexp_extract_all(html, '(?is)<h[1-5]\b[^>]*>.*?</h[1-5]>') AS l FROM pages) SELECT page_id, CAST(generate_subscripts(l, 1) - 1 AS INT) AS n, unnest(l) AS heading FROM h",
-    "office_markers": r"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents), t AS (SELECT *, ltrim(line) AS lt FROM l) SELECT doc_id, CAST(n AS INT) AS n, CASE n % 4 WHEN 0 THEN 'bullet' WHEN 1 THEN 'number' WHEN 2 THEN 'letter' ELSE CASE WHEN regexp_matches(lt, '^[•◦▪▫‣⁃·●○■□–—*\-][ \t]+') THEN 'bullet' WHEN regexp_matches(lt, '^\d{1,3}[.)][ \t]+') THEN 'number' WHEN regexp_matches(lt, '^[a-z][.)][ \t]+') THEN 'letter' ELSE 'none' END END AS kind, sha256(trim(CASE WHEN n % 4 < 3 THEN line ELSE CASE WHEN regexp_matches(lt, '^[•◦▪▫‣⁃·●○■□–—*\-][ \t]+') THEN regexp_replace(lt, '^[•◦▪▫‣⁃·●○■□–—*\-][ \t]+', '') WHEN regexp_matches(lt, '^\d{1,3}[.)][ \t]+') THEN regexp_replace(lt, '^\d{1,3}[.)][ \t]+', '') WHEN regexp_matches(lt, '^[a-z][.)][ \t]+') THEN regexp_replace(lt, '^[a-z][.)][ \t]+', '') ELSE line END END)) AS rest_hash, trim(line) <> '' AND strlen(trim(line)) <= 50 AND NOT contains(trim(line), ':') AND NOT ends_with(trim(line), '.') AS is_heading, CAST(greatest(1, (n * 200) // 360 + 1) AS INT) AS level FROM t",
+    "office_markers": r"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents), t AS (SELECT *, ltrim(line) AS lt FROM l) SELECT doc_id, CAST(n AS INT) AS n, CASE n % 4 WHEN 0 THEN 'bullet' WHEN 1 THEN 'number' WHEN 2 THEN 'letter' ELSE CASE WHEN regexp_matches(lt, '^[•◦▪‣·–*\-][ \t]+') THEN 'bullet' WHEN regexp_matches(lt, '^\d{1,3}[.)][ \t]+') THEN 'number' WHEN regexp_matches(lt, '^[a-z][.)][ \t]+') THEN 'letter' ELSE 'none' END END AS kind, sha256(trim(CASE WHEN n % 4 < 3 THEN line ELSE CASE WHEN regexp_matches(lt, '^[•◦▪‣·–*\-][ \t]+') THEN regexp_replace(lt, '^[•◦▪‣·–*\-][ \t]+', '') WHEN regexp_matches(lt, '^\d{1,3}[.)][ \t]+') THEN regexp_replace(lt, '^\d{1,3}[.)][ \t]+', '') WHEN regexp_matches(lt, '^[a-z][.)][ \t]+') THEN regexp_replace(lt, '^[a-z][.)][ \t]+', '') ELSE line END END)) AS rest_hash, trim(line) <> '' AND strlen(trim(line)) <= 50 AND NOT contains(trim(line), ':') AND NOT ends_with(trim(line), '.') AS is_heading, CAST(greatest(1, (n * 200) // 360) AS INT) AS level FROM t",
     "pdf_line_join": "WITH r AS (SELECT user_id AS doc, event_id AS ord, event_type AS s, (event_id % 10) * 30.0 AS x, event_id // 3 AS y, CASE WHEN event_id % 2 = 0 THEN 30.0 ELSE 20.0 END AS w FROM events), g AS (SELECT *, CASE WHEN lag(y) OVER o IS NULL THEN '' WHEN abs(y - lag(y) OVER o) > 12 THEN chr(10) WHEN x - (lag(x) OVER o + lag(w) OVER o) >= 12.0 / 5 THEN ' ' ELSE '' END || s AS t FROM r WINDOW o AS (PARTITION BY doc ORDER BY ord)) SELECT doc, CAST(1 AS INT) AS page, sha256(string_agg(t, '' ORDER BY ord)) AS text_hash FROM g GROUP BY doc",
     "import_router": "SELECT page_id, CASE page_id % 7 WHEN 0 THEN 'markdown' WHEN 1 THEN 'html' WHEN 2 THEN 'docx' WHEN 3 THEN 'odt' WHEN 4 THEN 'pdf' WHEN 5 THEN '' ELSE 'text' END AS converter, CASE WHEN page_id % 7 = 5 THEN 'unsupported' WHEN strlen(html) > 2000 THEN 'too-large' WHEN page_id % 7 = 4 THEN 'no-convert-model' ELSE '' END AS code FROM pages",
     "image_paths": "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN source || '/a.png' WHEN 1 THEN 'b.png' WHEN 2 THEN NULL ELSE 'x/d.png' END AS path FROM documents",

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Bullet glyphs; twips of an indent level; most bytes of a bold line that is a heading.
-BULLETS = "•◦▪▫‣⁃·●○■□–—*-"
+BULLETS = "•◦▪‣·–*-"
 INDENT, HEADING_BYTES = 360, 50
 
 
@@ -26,7 +26,7 @@ def looks_like_heading(text: Column) -> Column:
 
 
 def indent_level(twips: Column) -> Column:
-    return F.greatest(F.lit(1), F.floor(twips / INDENT) + 1).cast("int")
+    return F.greatest(F.lit(1), F.floor(twips / INDENT)).cast("int")
 
 
 def join_runs(runs: DataFrame) -> DataFrame:
