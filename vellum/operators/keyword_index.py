@@ -25,6 +25,8 @@ COLUMNS = ("path", "heading", "text")
 #: Folders that terms are dealt to; chunks whose terms a task sorts at once.
 BUCKETS, PASS = 64, 1024
 POSTING = "vault string, term string, id long, len int, tfs array<int>, gaps array<array<int>>"
+#: A row with null term is a chunk of its own (SIZE); such rows lie in the folder SIZES.
+ROW, SIZES = f"{POSTING}, path string, idx int", -1
 SIZE = "vault string, id long, path string, idx int, len int"
 
 
@@ -53,7 +55,10 @@ def _terms(chunks: DataFrame) -> DataFrame:
 
 
 def posting_rows(chunks: DataFrame) -> DataFrame:
-    """POSTING of chunks (id, path, idx, heading, text, maybe vault); built where the chunk is, without a shuffle."""
+    """ROW of chunks (id, path, idx, heading, text, maybe vault): its postings, and one row for the chunk itself.
+
+    Built where the chunk is, without a shuffle.
+    """
     n = len(COLUMNS)
 
     def lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
@@ -80,24 +85,27 @@ def posting_rows(chunks: DataFrame) -> DataFrame:
                 posting = np.cumsum(new) - 1
                 tfs = np.bincount(posting * n + col, minlength=n * int(new.sum()))
                 at = row[new]
+                names = ["vault", "term", "id", "len", "tfs", "gaps", "path", "idx"]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(pa.array(at)), terms.dictionary.take(pa.array(code[new])), batch.column(1).take(pa.array(at)), pa.array(sum(sizes)[at].astype(np.int32)),
-                        lists(tfs, np.full(len(at), n)), lists(lists(gaps, tfs), np.full(len(at), n)),
+                        lists(tfs, np.full(len(at), n)), lists(lists(gaps, tfs), np.full(len(at), n)), pa.nulls(len(at), pa.string()), pa.nulls(len(at), pa.int32()),
                     ],
-                    names=["vault", "term", "id", "len", "tfs", "gaps"],
+                    names=names,
                 )
+                none = [pa.nulls(batch.num_rows, t) for t in (pa.string(), pa.list_(pa.int32()), pa.list_(pa.list_(pa.int32())))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), none[0], batch.column(1), pa.array(sum(sizes).astype(np.int32)), none[1], none[2], batch.column(2 + n), batch.column(3 + n)], names=names)
 
-    return _terms(chunks).select("vault", "id", *[f"t{i}" for i in range(n)]).mapInArrow(run, POSTING)
+    return _terms(chunks).select("vault", "id", *[f"t{i}" for i in range(n)], "path", "idx").mapInArrow(run, ROW)
 
 
-def size_rows(chunks: DataFrame) -> DataFrame:
-    return _terms(chunks).select("vault", "id", "path", "idx", sum((F.size(f"t{i}") for i in range(1, len(COLUMNS))), F.size("t0")).cast("int").alias("len"))
+def _split(rows: DataFrame) -> Postings:
+    return Postings(rows.where("term is not null").drop("path", "idx"), rows.where("term is null").select(*[c.split()[0] for c in SIZE.split(", ")]))
 
 
 def postings_of(chunks: DataFrame) -> Postings:
     """Postings that are worked out anew wherever they are read."""
-    return Postings(posting_rows(chunks), size_rows(chunks))
+    return _split(posting_rows(chunks))
 
 
 class KeywordIndex:
@@ -119,7 +127,7 @@ class KeywordIndex:
         Returns the new segment's number. An id may come again where its old chunk goes.
         """
         vault = F.coalesce(F.col("vault").cast("string"), F.lit("")) if "vault" in changed.columns else F.lit("")
-        gone = self._live("sizes", SIZE).join(changed.select(vault.alias("vault"), "path").distinct(), ["vault", "path"], "left_semi").select(F.col("segment").alias("of"), "id")
+        gone = self._sizes().join(changed.select(vault.alias("vault"), "path").distinct(), ["vault", "path"], "left_semi").select(F.col("segment").alias("of"), "id")
         segment = max(self.segments()) + 1
         self._write(segment, chunks, gone)
         return segment
@@ -127,15 +135,20 @@ class KeywordIndex:
     def compact(self, root: str) -> KeywordIndex:
         """The live rows as one segment in another folder."""
         fresh = KeywordIndex(self.spark, root)
-        fresh._store(0, self._live("postings", f"{POSTING}, bucket int").drop("segment"), self._live("sizes", SIZE).drop("segment"), None)
+        fresh._store(0, self._live("postings", f"{ROW}, bucket int").drop("segment"), None)
         return fresh
 
     def segments(self) -> list[int]:
         return [r[0] for r in self.spark.read.schema("segment int").parquet(f"{self.root}/committed").collect()]
 
     def postings(self) -> Postings:
-        segments = self.segments()
-        return Postings(self._live("postings", f"{POSTING}, bucket int", segments).drop("segment"), self._live("sizes", SIZE, segments).drop("segment"))
+        rows = self._live("postings", f"{ROW}, bucket int")
+        sizes = rows.where(F.col("bucket") == SIZES).select(*[c.split()[0] for c in SIZE.split(", ")])
+        return Postings(rows.where(F.col("bucket") != SIZES).drop("segment", "path", "idx"), sizes)
+
+    def _sizes(self) -> DataFrame:
+        """SIZE and segment of the live chunks."""
+        return self._live("postings", f"{ROW}, bucket int").where(F.col("bucket") == SIZES)
 
     def _live(self, part: str, schema: str, segments: list[int] | None = None) -> DataFrame:
         """Rows of the committed segments whose chunk wasn't replaced by a later one."""
@@ -147,13 +160,13 @@ class KeywordIndex:
         return read(part, schema).join(gone, ["segment", "id"], "left_anti")
 
     def _write(self, segment: int, chunks: DataFrame, gone: DataFrame | None) -> None:
-        self._store(segment, posting_rows(chunks).select("*", bucket_of("term")), size_rows(chunks), gone)
+        self._store(segment, posting_rows(chunks).select("*", F.when(F.col("term").isNull(), SIZES).otherwise(bucket_of("term")).alias("bucket")), gone)
 
-    def _store(self, segment: int, postings: DataFrame, sizes: DataFrame, gone: DataFrame | None) -> None:
-        # Rebalancing keeps a bucket's files few and still splits the bucket of a term that is everywhere.
-        spread = postings.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "id")
+    def _store(self, segment: int, postings: DataFrame, gone: DataFrame | None) -> None:
+        # A bucket has as many files as there are tasks for it, so a term that is everywhere is dealt to all of them.
+        tasks = -(-int(self.spark.conf.get("spark.sql.shuffle.partitions")) // BUCKETS)
+        spread = postings.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(tasks))).sortWithinPartitions("bucket", "term", "id")
         spread.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/postings/segment={segment}")
-        sizes.write.mode("overwrite").parquet(f"{self.root}/sizes/segment={segment}")
         if gone is not None:
             gone.write.mode("overwrite").parquet(f"{self.root}/gone/segment={segment}")
         self.spark.range(1).select(F.lit(segment).alias("segment")).coalesce(1).write.mode("append").parquet(f"{self.root}/committed")

@@ -60,7 +60,7 @@ class NoteStore(KeywordIndex):
         numbered = chunks.withColumn("_group", group).withColumn("id", F.lit(-1 if last is None else last) + 1 + nth * self.GROUPS + F.col("_group"))
         # Written before anything is built from it: ids are the same for chunks and postings.
         fresh = materialize(numbered.select(F.lit(vault).alias("vault"), "id", "path", F.col("idx").cast("int").alias("idx"), "heading", "text", "doc_hash", "embedding"), "chunks")
-        gone = self._live("sizes", "vault string, id long, path string, idx int, len int").where(F.col("vault") == vault).join(changed.select("path").distinct(), "path", "left_semi")
+        gone = self._sizes().where(F.col("vault") == vault).join(changed.select("path").distinct(), "path", "left_semi")
         self._put(max(self.segments()) + 1, fresh, gone.select(F.col("segment").alias("of"), "id"))
 
     def delete(self, notes: DataFrame) -> None:

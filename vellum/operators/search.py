@@ -131,7 +131,7 @@ def vector_leg(queries: DataFrame, chunks: DataFrame, options: SearchOptions, sc
     """Pool of the most similar chunks above the floor in every scope: qid, *scope, id, sim, rn."""
     own = F.col("own") if "own" in queries.columns else F.lit(None).cast("long")
     asked = queries.where("vec is not null").select("qid", own.alias("own"), unit(F.col("vec")).alias("u"))
-    return nearest(asked, chunks.select(*scope, "id", unit(F.col("embedding")).alias("u")), options.pool, options.min_sim, scope)
+    return nearest(asked, chunks.where("embedding is not null").select(*scope, "id", unit(F.col("embedding")).alias("u")), options.pool, options.min_sim, scope)
 
 
 def band(leg: DataFrame, options: SearchOptions, by: list[str] = ("qid",), ratio: Column | None = None, sim: str = "sim", rn: str = "rn") -> DataFrame:
@@ -225,7 +225,10 @@ def bm25(queries: DataFrame, posted: Postings, weights=(2.0, 1.5, 1.0), stopword
 
 def keyword_leg(queries: DataFrame, posted: Postings, options: SearchOptions, scope: list[str] = (), **how) -> DataFrame:
     """Pool of the best BM25 chunks: qid, *scope, id, score, rn; scores equal to nine places are ties, by path and idx."""
-    scored = bm25(queries, posted, options.weights, scope=scope, **how).join(posted.sizes.select("id", "path", "idx"), "id")
+    scored = bm25(queries, posted, options.weights, scope=scope, **how)
+    # Ties at the end of the pool stay until paths are known; only what may be in the pool meets them.
+    tied = F.rank().over(Window.partitionBy("qid", *scope).orderBy(F.desc(F.round("score", 9))))
+    scored = scored.withColumn("_r", tied).where(F.col("_r") <= options.pool).drop("_r").join(posted.sizes.select("id", "path", "idx"), "id")
     best = Window.partitionBy("qid", *scope).orderBy(F.desc(F.round("score", 9)), "path", "idx")
     return scored.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= options.pool).select("qid", *scope, "id", "score", "rn")
 
