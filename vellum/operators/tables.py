@@ -32,7 +32,11 @@ class NoteChunks:
 
 
 def register(spark: SparkSession) -> None:
-    """note_links(body), note_code(body) and note_chunks(body), null bodies giving no rows; rows travel in Arrow batches."""
+    """note_links(body), note_code(body) and note_chunks(body), null bodies giving no rows.
+
+    Bodies and rows travel in Arrow batches, but each body is handled by itself in Python: meant for
+    SQL over some notes; columns of `functions` do the same work on whole vaults.
+    """
     spark.udtf.register("note_links", udtf(NoteLinks, returnType="n int, target string, heading string, label string", useArrow=True))
     spark.udtf.register("note_code", udtf(NoteCode, returnType="idx int, lang string, kernel string, version string, code string", useArrow=True))
     spark.udtf.register("note_chunks", udtf(NoteChunks, returnType="idx int, heading string, text string", useArrow=True))

@@ -11,7 +11,7 @@ from vellum.functions import links as L
 from vellum.functions import markdown as M
 from vellum.functions import text as T
 from vellum.functions.settings import settings_of
-from vellum.operators import evaluation, free_names, graph, linking, listings, multisearch, runs, search, stores, sync, tables, vaults
+from vellum.operators import evaluation, free_names, graph, layout, linking, listings, multisearch, runs, search, stores, sync, tables, vaults
 from vellum.operators.chunking import chunk_notes
 from vellum.plans import model
 from vellum.plans.oracle import SQL
@@ -188,6 +188,15 @@ def knn_degrees(spark, d):
     return graph.degrees(notes, graph.knn_edges(notes, GRAPH)).orderBy("id")
 
 
+@query
+def layout_step(spark, d):
+    """Where the graph's notes stand after one tick from the circle."""
+    notes = _notes(spark, d)
+    edges = graph.knn_edges(notes, GRAPH)
+    placed = layout.force_layout(graph.degrees(notes, edges), edges, ticks=1)
+    return placed.select("id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+
+
 @query
 def title_filter(spark, d):
     return model.notes(spark, d).where(T.matches_all_words(F.concat_ws(" ", M.note_title(F.col("path")), "vault"), F.lit(" EN doc-1 "))).select("doc_id", "path")

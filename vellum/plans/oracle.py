@@ -222,6 +222,15 @@ SQL: dict[str, str] = {
     "note_centroids": f"{GRAPH} SELECT id, CAST(i AS INT) AS i, round(x, 6) AS x FROM (SELECT id, unnest(list_transform(v, lambda x: x / sqrt(list_inner_product(v, v)))) AS x, generate_subscripts(v, 1) - 1 AS i FROM units)",
     "knn_edges": f"{GRAPH} SELECT a, b, round(weight, 6) AS weight FROM edges",
     "knn_degrees": f"{GRAPH}, ends AS (SELECT a AS id FROM edges UNION ALL SELECT b FROM edges) SELECT u.id, count(e.id) AS degree FROM units u LEFT JOIN ends e ON e.id = u.id GROUP BY u.id",
+    "layout_step": f"""{GRAPH}, ends AS (SELECT a AS id FROM edges UNION ALL SELECT b FROM edges),
+deg AS (SELECT u.id, count(e.id) AS degree, row_number() OVER (ORDER BY u.id) - 1 AS i, count(*) OVER () AS n FROM units u LEFT JOIN ends e ON e.id = u.id GROUP BY u.id),
+pos AS (SELECT id, degree, cos(i / n * 2 * pi()) * 240 AS x, sin(i / n * 2 * pi()) * 240 AS y FROM deg),
+charge AS (SELECT p.id, sum((q.x - p.x) * -800 / greatest((q.x - p.x) ** 2 + (q.y - p.y) ** 2, 25)) AS vx, sum((q.y - p.y) * -800 / greatest((q.x - p.x) ** 2 + (q.y - p.y) ** 2, 25)) AS vy FROM pos p JOIN pos q ON p.id <> q.id GROUP BY p.id),
+l AS (SELECT a, b, weight, q.x - p.x AS dx, q.y - p.y AS dy, sqrt((q.x - p.x) ** 2 + (q.y - p.y) ** 2) AS d, q.degree / (p.degree + q.degree) AS share FROM edges JOIN pos p ON p.id = a JOIN pos q ON q.id = b),
+f AS (SELECT *, (d - 55) / d * 0.5 * (0.5 + 0.5 * weight) AS f FROM l),
+pull AS (SELECT id, sum(mx) AS mx, sum(my) AS my FROM (SELECT a AS id, dx * f * share AS mx, dy * f * share AS my FROM f UNION ALL SELECT b, -dx * f * (1 - share), -dy * f * (1 - share) FROM f) GROUP BY id),
+moved AS (SELECT id, x + coalesce(mx, 0) + coalesce(vx, 0) * 0.6 AS x, y + coalesce(my, 0) + coalesce(vy, 0) * 0.6 AS y FROM pos LEFT JOIN charge USING (id) LEFT JOIN pull USING (id))
+SELECT id, round(x - avg(x) OVER (), 4) AS x, round(y - avg(y) OVER (), 4) AS y FROM moved""",
     "title_filter": f"WITH {NOTES} SELECT doc_id, path FROM notes WHERE contains(lower(regexp_replace(regexp_extract(path, '[^/]*$'), '\\.[^.]*$', '') || ' ' || vault), 'en') AND contains(lower(regexp_replace(regexp_extract(path, '[^/]*$'), '\\.[^.]*$', '') || ' ' || vault), 'doc-1')",
     "ndcg_mrr_recall": evaluated("SELECT qid, round(ndcg10, 6) AS ndcg10, round(mrr10, 6) AS mrr10, round(recall5, 6) AS recall5, round(recall10, 6) AS recall10 FROM scores"),
     "metrics_by_kind": evaluated(f"SELECT label, count(*) AS queries, {MEANS} FROM scores JOIN chunks ON id = qid GROUP BY label"),
