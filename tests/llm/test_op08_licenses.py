@@ -1,7 +1,8 @@
+import random
 import re
 
 from tests.llm.fixtures import documents, nothing, texts
-from vellum.llm.op08_licenses import BASE, TEMPLATES, scan_licenses
+from vellum.llm.op08_licenses import BASE, COVERAGE, SLACK, TEMPLATES, corpus_idf, scan_licenses
 
 SOME = [
     (1, "Some text. Licensed under the Apache License, Version 2.0.\nMore", "a"), (2, "Released under the MIT License. mit license", "a"),
@@ -38,3 +39,44 @@ def test_all_notices_at_once(spark):
     text = " and then ".join(notice for _, notice, _ in TEMPLATES)
     got = scan_licenses(documents(spark, [(1, text, "a"), *((2 + i, f"other words here {i}", "b") for i in range(20))])).collect()
     assert next(r["labels"] for r in got if r["doc_id"] == 1) == ",".join(sorted({label for label, _, _ in TEMPLATES}))
+
+
+def brute_labels(text, idf):
+    """Labels of all templates at every place of the text."""
+    words = [w.encode() for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))]
+    labels = set(filter(None, brute(text)[4].split(",")))
+    for label, notice, key in TEMPLATES:
+        notice, key = notice.encode().split(), key.encode().split()
+        total = sum(idf[w] for w in notice)
+        for start in range(-len(notice) - SLACK, len(words) + SLACK + 1):
+            near = words[max(start - SLACK, 0) : max(start + len(notice) + SLACK, 0)]
+            if any(near[i : i + len(key)] == key for i in range(len(near))):
+                got = sum(idf[w] for q, w in enumerate(notice) if w in words[max(start + q - SLACK, 0) : max(start + q + SLACK + 1, 0)])
+                if got / total >= COVERAGE:
+                    labels.add(label)
+    return ",".join(sorted(labels))
+
+
+def edited(rng, notice):
+    words = notice.split()
+    for _ in range(rng.randint(0, max(len(words) // 6, 1))):
+        i = rng.randrange(len(words))
+        words[i : i + 1] = rng.choice([[], ["changed"], [words[i], "more"], [words[i].upper()]])
+    return " ".join(words)
+
+
+def test_labels_of_edited_notices_against_every_place(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(120):
+        parts = [" ".join(rng.choice(["the", "of", "and", "is", "house", "license", "software", "river"]) for _ in range(rng.randint(0, 30))) for _ in range(3)]
+        for k in range(rng.randint(0, 2)):
+            parts.insert(k, edited(rng, rng.choice(TEMPLATES)[1]))
+        rows.append((i, "\n".join(parts), "a"))
+    rows += [(200, "SPDX-License-Identifier: ISC", "a"), (201, "Licensed under the European Union Public Licence (EUPL) 1.2", "a"), (202, "Redistribution and use in source and binary forms, with modification, are permitted", "a"), (203, "", "a")]
+    docs = documents(spark, rows)
+    idf = corpus_idf(docs)
+    got = {r["doc_id"]: r["labels"] for r in scan_licenses(docs).collect()}
+    assert got == {i: brute_labels(t, idf) for i, t, _ in rows}
+    assert (got[200], got[201], got[202]) == ("isc", "eupl", "bsd") and sum(map(bool, got.values())) > 40
+    assert any("," in x for x in got.values())
