@@ -31,6 +31,7 @@ def test_notes_and_hidden_folders(spark, tmp_path):
     notes = {r["path"]: r for r in vault.read_notes(spark, str(tmp_path)).collect()}
     assert set(notes) == {"a.md", "a/b.MD", "a-b.md", "_draft.md", ".dot.md", "_in/_f.markdown", "deep/er/x.md"}
     assert notes["a/b.MD"]["body"] == "b" and notes["a.md"]["created"] is not None and notes["a.md"]["modified"] is not None
+    assert vault.Folder(f"file:{tmp_path}").base == vault.Folder(f"file://{tmp_path}").base == str(tmp_path)
     all_ = vault.read_notes(spark, f"file://{tmp_path}", hidden=True)
     assert {".trash/1/old.md", ".obsidian/app.md"} <= {r["path"] for r in all_.collect()} and all_.count() == 9
     walked = [r["path"] for r in vault.read_notes(spark, str(tmp_path)).orderBy(vault.walk_key()).collect()]

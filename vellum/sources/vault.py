@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import time
 import uuid
 import zlib
@@ -35,6 +36,7 @@ class Folder:
     def __init__(self, root: str):
         from pyarrow import fs
 
+        root = re.sub(r"^file:/+", "/", root)
         self.fs, self.base = fs.FileSystem.from_uri(root if "://" in root else os.path.abspath(root))
         self.base = self.base.rstrip("/")
         self.kinds, self.selector = fs.FileType, fs.FileSelector
