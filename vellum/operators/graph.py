@@ -13,7 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from vellum.functions.vectors import unit
-from vellum.operators.search import nearest
+from vellum.operators.search import ROW_BLOCK, nearest
 from vellum.schema import GraphOptions
 
 
@@ -65,7 +65,8 @@ def knn_edges(notes: DataFrame, options: GraphOptions | None = None) -> DataFram
     Every note is a query, so groups of near notes that the floor keeps apart are left out, exactly.
     """
     options = options or GraphOptions()
-    centres = min(MOST_CENTRES, math.isqrt(notes.count() // 16 or 1))
+    n = notes.count()
+    centres = min(MOST_CENTRES, math.isqrt(n // 16)) if n > ROW_BLOCK else 1  # one block meets itself anyway
     picks = nearest(notes.select(F.col("id").alias("qid"), F.col("id").alias("own"), "u"), notes, max(options.k, 1), options.min_sim, centres=centres)
     return picks.groupBy(F.least("qid", "id").alias("a"), F.greatest("qid", "id").alias("b")).agg(F.max("sim").alias("weight"))
 
