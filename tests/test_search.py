@@ -180,6 +180,26 @@ def test_nearest_over_any_blocks(spark, rows, table, monkeypatch, centres, block
     assert got == {q: w for q, w in want.items() if w}
 
 
+def test_blocks_meet_whatever_the_partitions(spark, rows, table, monkeypatch):
+    """Without coalesced partitions, blocks of both sides must be dealt alike."""
+    monkeypatch.setattr(search, "LEAST_BLOCK", 16)
+    monkeypatch.setattr(search, "QUERY_BLOCK", 40)
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "31"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        units = table.select("id", unit(F.col("embedding")).alias("u")).where("u is not null")
+        got = defaultdict(list)
+        for r in search.nearest(units.select(F.col("id").alias("qid"), F.col("id").alias("own"), "u"), units, 6, 0.2).orderBy("qid", "rn").collect():
+            got[r["qid"]].append((r["id"], round(r["sim"], 6)))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    want = {r[0]: [(i, round(s, 6)) for i, s in plain_near(rows, r[7], r[0], 6, 0.2)] for r in rows if r[7] is not None}
+    assert got == {q: w for q, w in want.items() if w}
+
+
 def test_far_groups_are_not_compared(spark):
     units = spark.createDataFrame([(i, angle((i % 3) * 120 + i / 50)) for i in range(300)], "id long, u array<double>")
     at = search._centres(units, 12)
