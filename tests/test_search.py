@@ -140,6 +140,21 @@ def test_a_search_reads_the_folders_and_columns_it_needs(spark, table, tmp_path,
     assert one and all(re.search(r"PartitionFilters:.*bucket#\d+ = \d+", s) for s in one)
 
 
+def test_long_phrases_of_common_words(spark):
+    """Places of phrases with common and repeated words against a scan; few phrases shuffle no postings."""
+    rng = random.Random(29)
+    texts = [" ".join(rng.choice(POOL[:3]) for _ in range(rng.randint(0, 60))) for _ in range(60)] + [None, ""]
+    asked = {" ".join(t.split()[i : i + n]) for t in texts[:20] for i, n in ((3, 2), (5, 3), (0, 5), (2, 9)) if t and len(t.split()) >= i + n} | {"amber nowhere birch", "amber amber"}
+    table = spark.createDataFrame([(i, "v", "m", f"n{i}.md", 0, "", t, None) for i, t in enumerate(texts)], CHUNK)
+    phrase = spark.createDataFrame([(p, p.split()) for p in sorted(asked)], "phrase string, terms array<string>")
+    found = search.phrase_matches(phrase, postings_of(table))
+    want = {(p, i): n for p in asked for i, t in enumerate(texts) if (n := sum((t or "").split()[j : j + len(p.split())] == p.split() for j in range(len((t or "").split()))))}
+    assert {(r["phrase"], r["id"]): r["tfs"][2] for r in found.collect()} == want
+    alone = search.phrase_matches(spark.createDataFrame([("amber", ["amber"])], "phrase string, terms array<string>"), postings_of(table))
+    plan = alone._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_an_unfinished_segment_does_not_count(spark, table, tmp_path):
     index = KeywordIndex.build(table, f"file://{tmp_path}/one")
     before = index.postings().rows.count()
