@@ -1,8 +1,10 @@
 """What queries hold and write as tables grow."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from vellum.plans import catalog, model
+from vellum.shared import small_batches
 
 
 def tables(spark, folder):
@@ -18,3 +20,20 @@ def test_terms_are_counted_without_an_index(spark, tmp_path, monkeypatch):
     got = {r["term"]: (r["n"], r["df"]) for r in catalog.QUERIES["tokens_df"](spark, str(tmp_path)).collect()}
     # path "note-0.md" of four rows; ids 1 (twice), 2 and 3
     assert got == {"one": (1, 1), "two": (4, 2), "three": (1, 1), "note": (4, 3), "0": (4, 3), "md": (4, 3), "en": (2, 1), "de": (2, 2)}
+
+
+@pytest.mark.parametrize("name", ["chunk_stats", "find_in_note", "wikilinks"])
+def test_whole_texts_reach_python_in_small_batches(spark, tmp_path, name):
+    tables(spark, tmp_path)
+    settings = [f"spark.sql.execution.arrow.{x}" for x in ("maxRecordsPerBatch", "maxBytesPerBatch")]
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        small_batches(spark)
+        small = {k: spark.conf.get(k) for k in settings}
+        for k in settings:
+            spark.conf.unset(k)
+        catalog.QUERIES[name](spark, str(tmp_path)).collect()
+        assert {k: spark.conf.get(k) for k in settings} == small
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
