@@ -155,6 +155,21 @@ def test_long_phrases_of_common_words(spark):
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
 
 
+def test_all_then_any_scores_once(spark, rows, table, monkeypatch):
+    seen, plain = [], search.bm25
+    monkeypatch.setattr(search, "bm25", lambda *a, **how: seen.append(how) or plain(*a, **how))
+    posted, options = postings_of(table), SearchOptions(k=3)
+    got = defaultdict(list)
+    for r in search.and_then_or(asked(spark), posted, options).orderBy("qid", "rn").collect():
+        got[r["qid"]].append(r["id"])
+    assert len(seen) == 1
+    place, want = {r[0]: (r[3], r[4]) for r in rows}, {}
+    for q, t in TERMS.items():
+        whole, some = (plain_bm25(rows, t, options.weights, every) for every in (True, False))
+        want[q] = sorted(some, key=lambda i: (i not in whole, -round(some[i], 9), place[i]))[: options.pool]
+    assert got == {q: w for q, w in want.items() if w}
+
+
 def test_an_unfinished_segment_does_not_count(spark, table, tmp_path):
     index = KeywordIndex.build(table, f"file://{tmp_path}/one")
     before = index.postings().rows.count()
