@@ -230,6 +230,32 @@ def test_blocks_meet_whatever_the_partitions(spark, rows, table, monkeypatch):
     assert got == {q: w for q, w in want.items() if w}
 
 
+def test_equal_vectors_tie_in_any_block(spark, monkeypatch):
+    """Copies have the very same similarity, as if each pair were measured alone, and go by id."""
+    for name in ("ROW_BLOCK", "QUERY_BLOCK", "LEAST_BLOCK"):
+        monkeypatch.setattr(search, name, 5)
+    rng = np.random.default_rng(5)
+    kinds = rng.normal(size=(12, 64)).astype(np.float32)
+    vectors = {i: kinds[i % 12] for i in range(96)}
+    rows = [(i, f"v{i % 2}", v.tolist()) for i, v in vectors.items()] + [(96, "v0", [float("nan")] * 64)]
+    table = spark.createDataFrame(rows, "id long, vault string, embedding array<float>")
+    got = defaultdict(list)
+    asked = table.where("id % 4 = 0").select(F.col("id").alias("qid"), F.col("id").alias("own"), F.col("embedding").alias("vec"))
+    for r in search.vector_leg(asked, table, SearchOptions(k=2, min_sim=-1.0), ["vault"]).where("rn <= 8").orderBy("qid", "vault", "rn").collect():
+        got[r["qid"], r["vault"]].append((r["id"], r["sim"]))
+
+    def alone(a, b):
+        dot = aa = bb = 0.0
+        for x, y in zip(map(float, a), map(float, b)):
+            dot, aa, bb = dot + x * y, aa + x * x, bb + y * y
+        return max(-1.0, min(1.0, dot / math.sqrt(aa * bb)))
+
+    for q in range(0, 96, 4):
+        for vault in (0, 1):
+            best = sorted((-alone(vectors[q], v), i) for i, v in vectors.items() if i != q and i % 2 == vault)
+            assert got[q, f"v{vault}"] == [(i, -s) for s, i in best[:8]]
+
+
 def test_far_groups_are_not_compared(spark):
     units = spark.createDataFrame([(i, angle((i % 3) * 120 + i / 50)) for i in range(300)], "id long, u array<double>")
     at = search._centres(units, 12)
