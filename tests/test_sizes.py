@@ -3,6 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+from vellum.operators import search
+from vellum.operators.keyword_index import postings_of
 from vellum.plans import catalog, model
 from vellum.shared import small_batches
 
@@ -22,6 +24,24 @@ def test_terms_are_counted_without_an_index(spark, tmp_path, monkeypatch):
     assert got == {"one": (1, 1), "two": (4, 2), "three": (1, 1), "note": (4, 3), "0": (4, 3), "md": (4, 3), "en": (2, 1), "de": (2, 2)}
 
 
+def test_searches_write_the_postings_they_ask_for(spark, tmp_path):
+    tables(spark, tmp_path)
+    chunks = model.chunks(spark, str(tmp_path))
+    asked = spark.createDataFrame([(1, "two three-one"), (2, "two absent")], "qid long, query string")
+    whole, some = postings_of(chunks), search.postings_asked(asked, chunks)
+    assert sorted(map(str, some.sizes.collect())) == sorted(map(str, whole.sizes.collect()))
+    want = whole.rows.where("term in ('one', 'two', 'three')").withColumn("gaps", F.expr("CASE WHEN term <> 'two' THEN gaps END"))
+    assert sorted(map(str, some.rows.collect())) == sorted(map(str, want.select(some.rows.columns).collect()))
+
+
+@pytest.mark.parametrize("name", ["bm25_topk", "keyword_interleave", "keyword_only_degrade"])
+def test_searches_write_no_index(spark, tmp_path, monkeypatch, name):
+    tables(spark, tmp_path)
+    spark.createDataFrame([(1, "two three"), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    monkeypatch.setattr(model, "keyword_index", None)
+    assert {r["qid"] for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()} == {1}
+
+
 @pytest.mark.parametrize("name", ["chunk_stats", "find_in_note", "wikilinks"])
 def test_whole_texts_reach_python_in_small_batches(spark, tmp_path, name):
     tables(spark, tmp_path)

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
+from vellum.shared import materialize
 
 COLUMNS = ("path", "heading", "text")
 #: Folders that terms are dealt to; chunks whose terms a task sorts at once.
@@ -108,6 +109,17 @@ def postings_of(chunks: DataFrame) -> Postings:
     return _split(posting_rows(chunks))
 
 
+def postings_for(chunks: DataFrame, terms: DataFrame) -> Postings:
+    """Postings of these terms (term, distinct; placed: whether their places are wanted) and the sizes of all chunks.
+
+    Written once where the chunks are, without a shuffle, for searches that need no index afterwards.
+    """
+    told = terms.select("term", "placed").unionByName(terms.sparkSession.sql("SELECT CAST(NULL AS STRING) AS term, false AS placed")).withColumnRenamed("term", "_term")
+    rows = posting_rows(chunks)
+    rows = rows.join(told, F.col("term").eqNullSafe(F.col("_term"))).withColumn("gaps", F.when(F.col("placed"), F.col("gaps")))
+    return _split(materialize(rows.select(*[c.split()[0] for c in ROW.split(", ")]), "asked-postings"))
+
+
 class KeywordIndex:
     """The index in a folder that driver and executors share."""
 
