@@ -4,7 +4,7 @@ import numpy as np
 
 from tests.llm.fixtures import documents
 from vellum.llm import near_copies
-from vellum.llm.op09_simhash import keep_one
+from vellum.llm.op09_simhash import fingerprint, keep_one
 
 
 def jaccard(a, b):
@@ -52,3 +52,22 @@ def test_miss_rate_at_the_limit():
         a, b = s[:270], np.r_[s[:240], s[270:]]  # 240 shared of 300: 0.8
         missed += not (near_copies.band_keys(a) == near_copies.band_keys(b)).any()
     assert missed == 0
+
+
+def test_fingerprints_bring_copies_together(spark, monkeypatch):
+    """Without a shared minimum, texts that op9's fingerprints link still meet, and their whole sets decide."""
+    monkeypatch.setattr(near_copies, "band_keys", lambda s: np.arange(near_copies.BANDS) ^ near_copies.digest(s))
+    rng = random.Random(6)
+    texts = [" ".join(f"b{rng.randrange(10**6)}" for _ in range(1500)) for _ in range(12)]
+    texts += [edited(rng, t, 1 + i % 3) for i, t in enumerate(texts)]
+    body = " ".join(f"c{i}" for i in range(400))
+    texts += [" ".join([*[body] * 12, *(f"{x}{i}" for i in range(200))]) for x in "de"]
+    fps = [fingerprint(t) for t in texts]
+    close = {(i, j) for i in range(len(texts)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4}
+    far = {(i, j) for i, j in close if jaccard(texts[i], texts[j]) < 0.8}
+    assert (25, 24) in far and len(close - far) >= 10  # similar fingerprints, half of the shingles
+    label = list(range(len(texts)))
+    for i, j in sorted(close - far):
+        label = [label[j] if x == label[i] else x for x in label]
+    kept = [r["doc_id"] for r in keep_one(documents(spark, [(i, t, "a") for i, t in enumerate(texts)])).collect()]
+    assert sorted(kept) == sorted(set(label))

@@ -4,7 +4,8 @@ Texts with equal shingle sets are one class from the start. Each class gets BAND
 ROWS minima of the set under different mixings; two classes of similarity s share at least one key
 with probability 1 - (1 - s^ROWS)^BANDS, so at 0.8 a pair is missed 3 times in a million, at 0.9 less
 than once in 10^12. Classes that share a key are compared on their whole sets, and only a similarity
-of LEAST or more links them. Keys with the very same members count once. Members of a key with more
+of LEAST or more links them. Callers may add groups of classes that meet in the same way, such as
+those of op9's fingerprints. Keys with the very same members count once. Members of a key with more
 than TOKENS shingles are dealt in pairs of sub-blocks; in a block those already linked aren't compared
 again, and a task returns a spanning forest of the links, never all pairs.
 
@@ -14,7 +15,7 @@ shingle is one shingle.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -57,19 +58,20 @@ def band_keys(s: np.ndarray) -> np.ndarray:
     return (least.reshape(BANDS, ROWS) * _JOIN).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
-def signatures(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataFrame:
-    """doc_id, fp (digest of the shingle set), its size and its keys, for every text."""
+def signatures(docs: DataFrame, mark: Callable[[str], int], words: int = WORDS, seed: int = SEED) -> DataFrame:
+    """doc_id, fp (digest of the shingle set), its size and its keys, for every text; mark: an unsigned number of the text, as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t, words, seed) for t in batch.column(1).to_pylist()]
+            whole = batch.column(1).to_pylist()
+            sets = [shingles(t, words, seed) for t in whole]
             keys = np.concatenate([band_keys(s) for s in sets]) if sets else np.zeros(0, np.int64)
             at = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS)
-            columns = [batch.column(0), pa.array([digest(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(at, pa.array(keys))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "size", "keys"])
+            columns = [batch.column(0), pa.array([digest(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(at, pa.array(keys)), pa.array(np.array([mark(t) for t in whole], np.uint64).view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "size", "keys", "mark"])
 
     small_batches(docs.sparkSession)
-    return texts(docs).mapInArrow(run, "doc_id long, fp long, size long, keys array<long>")
+    return texts(docs).mapInArrow(run, "doc_id long, fp long, size long, keys array<long>, mark long")
 
 
 def linked(sets: list[np.ndarray], least: float = LEAST) -> list[tuple[int, int]]:
@@ -110,9 +112,13 @@ def sets_of(docs: DataFrame, wanted: DataFrame, words: int, seed: int) -> DataFr
     return rows.mapInArrow(run, "fp long, s array<long>").dropDuplicates(["fp"])
 
 
-def links(docs: DataFrame, classes: DataFrame, words: int = WORDS, seed: int = SEED, least: float = LEAST) -> DataFrame:
-    """Edges (a, b) that connect the classes (fp, rep, size, keys) linked by chains of similar pairs."""
+def links(docs: DataFrame, classes: DataFrame, groups: DataFrame, words: int = WORDS, seed: int = SEED, least: float = LEAST) -> DataFrame:
+    """Edges (a, b) that connect the classes (fp, rep, size, keys) linked by chains of similar pairs.
+
+    groups: fp, v (distinct): further classes that are compared with each other, those of equal v.
+    """
     keyed = classes.where("size > 0").select("fp", "size", F.posexplode("keys").alias("t", "v"))
+    keyed = keyed.unionByName(classes.where("size > 0").join(groups, "fp").select("fp", "size", F.lit(BANDS).alias("t"), "v"))
     met = keyed.groupBy("t", "v").agg(F.count("*").alias("n"), F.sum("size").alias("tokens"), F.bit_xor(F.xxhash64("fp")).alias("x"), F.bit_xor(F.xxhash64("fp", F.lit(1))).alias("y")).where("n > 1")
     once = met.groupBy("n", "tokens", "x", "y").agg(F.min(F.struct("t", "v")).alias("k")).select("k.t", "k.v", "tokens")
     members = keyed.join(materialize(once, "keys"), ["t", "v"])

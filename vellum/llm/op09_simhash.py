@@ -190,18 +190,30 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, seed: int = SEED, bits:
     return with_components(fps, classes, links(classes.select("fp"), bits))
 
 
+def groups(found: DataFrame, bits: int = MAX_BITS) -> DataFrame:
+    """fp, v: shingle sets (fp) by the component of their texts' fingerprints (mark); a set may have several."""
+    held = materialize(found.where("size > 0").select("fp", "mark").distinct(), "marks")
+    roots = components(links(materialize(held.select(F.col("mark").alias("fp")).distinct(), "fingerprints"), bits))
+    of = held.join(roots, held["mark"] == roots["node"], "left").select("fp", F.coalesce("root", "mark").alias("v"))
+    return materialize(of.distinct(), "groups")
+
+
 def near_copies_of(docs: DataFrame, words: int = near_copies.WORDS, seed: int = SEED, least: float = near_copies.LEAST) -> DataFrame:
-    """doc_id, fp (of the shingle set) and component_id of every document, linked by shingle similarity."""
-    found = materialize(near_copies.signatures(docs, words, seed), "signatures")
+    """doc_id, fp (of the shingle set) and component_id of every document, linked by shingle similarity.
+
+    Documents meet whose fingerprints op9 links, and those that share minima; their whole sets decide.
+    """
+    found = materialize(near_copies.signatures(docs, fingerprint, words, seed), "signatures")
     classes = materialize(found.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("keys").alias("keys")), "classes")
-    edges = near_copies.links(docs, classes, words, seed, least)
+    edges = near_copies.links(docs, classes, groups(found), words, seed, least)
     return with_components(found.select("doc_id", "fp"), classes.select("fp", "rep"), edges)
 
 
 def keep_one(docs: DataFrame, words: int = near_copies.WORDS, seed: int = SEED, least: float = near_copies.LEAST) -> DataFrame:
     """docs without all but one document of each component (that with the least doc_id).
 
-    Documents are linked by the similarity of their word shingles (near_copies), not by op9's 4 bits.
+    Documents are linked by the similarity of their word shingles. Those within op9's 4 bits are found by
+    fingerprints and pivots, the similar ones that lie further apart by their minima (near_copies).
     Of rows that share that doc_id too, one stays; documents without doc_id stay only where their
     component has no other.
     """
