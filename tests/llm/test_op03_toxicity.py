@@ -55,6 +55,37 @@ def test_blocks_give_the_exact_neighbours():
         assert list(near.labels[rows]) == [i % 2 for i in near.ids[rows]]
 
 
+def test_equal_examples_tie_and_queries_stand_alone():
+    """To the last bit: copies of an example, and a query asked alone or with others, skipped blocks or none."""
+    rng = random.Random(8)
+    weight = np.array([rng.uniform(1, 5) for _ in range(3000)])
+    some = lambda: {min(int(rng.expovariate(0.004)), 2999): rng.randint(1, 3) for _ in range(rng.randint(20, 120))}
+    counts = [some() for _ in range(700)]
+    counts += [counts[i] for i in rng.sample(range(700), 200)] + [{2990 + i % 10: 1, 2999: 1} for i in range(60)]
+    order = rng.sample(range(len(counts)), len(counts))
+    counts = [counts[i] for i in order]
+    near = NearestExamples(weight, np.arange(len(counts)), np.arange(len(counts)) % 2, *entries(counts))
+    asked = counts[:150] + [some() for _ in range(50)]
+    together = near.nearest([query(c) for c in asked])
+    for c, (cosine, rows) in zip(asked, together):
+        alone = near.nearest([query(c)])[0]
+        assert list(alone[0]) == list(cosine) and list(near.ids[alone[1]]) == list(near.ids[rows])
+        found = {}
+        for s, r in zip(cosine, rows):
+            found.setdefault(tuple(sorted(counts[near.ids[r]].items())), set()).add(s)
+        assert all(len(s) == 1 for s in found.values())
+
+
+def test_long_lists_are_read_as_they_are_kept():
+    """An entry costs the bytes of its example and count, not a weight of its own as well, which is most of what a search reads."""
+    counts = [{(i * 7 + j * 13) % 100: 1 for j in range(4)} for i in range(2000)]
+    near = NearestExamples(np.ones(100), np.arange(2000), np.arange(2000) % 2, *entries(counts))
+    cosine, rows = near.nearest([query(counts[5])])[0]
+    assert near.ids[rows[0]] == 5 and abs(cosine[0] - 1) < 1e-12 and near.frequent[1].shape[1] == 0
+    parts = [x for v in near.__dict__.values() for x in (v if isinstance(v, tuple) else (v,)) if isinstance(x, np.ndarray) and len(x) == len(near.entries[0])]
+    assert sum(x.nbytes for x in parts) < 8 * len(near.entries[0])
+
+
 def plain(docs, marks):
     """doc_id: (share of votes, cosines) by dense vectors over all words."""
     fold = {i: zlib.crc32(str(i).encode()) % 5 for i, _ in docs}
