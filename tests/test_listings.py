@@ -68,6 +68,13 @@ def test_moves_onto_others(spark):
     assert over == {("a/x.md", "c.md", "moved"), ("c.md", ".trash/1/c.md", "trashed"), ("b/y.md", "b/y.md", "refused"), ("c.md", "c.md", "skipped"), ("no.md", "no.md", "missing")}
 
 
+def test_letters_of_large_numbers(spark):
+    """Five letters and more; numbers that doubles don't tell apart."""
+    letters = {475254: "zzzz", 475255: "aaaaa", 12356631: "aaaaaa", 14636698788954112: "cyqtaeuocyaz", 2**63 - 1: "crpxnlskvljfhg"}
+    rows = spark.createDataFrame([(n,) for n in letters], "n long")
+    assert {r["n"]: r["s"] for r in rows.select("n", listings.letter_ordinal(F.col("n")).alias("s")).collect()} == letters
+
+
 def test_trash_is_emptied(spark):
     notes = spark.createDataFrame([("a.md",), (".trash/1/a.md",), ("b/.trash/1/c.md",)], "path string")
     assert sorted(r.path for r in listings.empty_trash(notes).collect()) == ["a.md", "b/.trash/1/c.md"]
